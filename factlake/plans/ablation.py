@@ -6,11 +6,13 @@ on neither k nor temperature, so a smaller k only cuts the ranked list.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.functions.prompt import build_context, context_budget, fill_prompt
 from factlake.operators.evaluate import (
     classification_metrics,
     latency_summary,
@@ -25,10 +27,8 @@ from factlake.operators.scoring import (
     score,
     vote,
 )
-from factlake.operators.similarity import similarity_join
-from factlake.plans.verify import attach_documents, with_prompts
+from factlake.plans.verify import nearest_documents
 from factlake.schemas import results_schema
-from factlake.settings import Settings
 from factlake.sources.tables import append_results
 
 Variant = tuple[str, str]
@@ -39,34 +39,34 @@ def retrieve_variants(
     kbs: dict[Variant, DataFrame],
     k: int,
     exclude_own: bool = False,
+    columns: Sequence[str] = ("label",),
 ) -> DataFrame:
-    """embedding, chunking, query_id, docs (label, distance) for every variant;
-    `queries` holds the query vectors of each model."""
+    """embedding, chunking, query_id, docs for every variant; `queries` holds
+    the query vectors of each model."""
     parts = []
     for (embedding, chunking), kb in kbs.items():
-        found = similarity_join(queries[embedding], kb, k, exclude_own)
-        labelled = found.join(kb.select("vec_id", F.col("label").cast("int")), "vec_id")
+        found = nearest_documents(queries[embedding], kb, k, exclude_own, columns)
         parts.append(
-            labelled.select(
-                F.lit(embedding).alias("embedding"),
-                F.lit(chunking).alias("chunking"),
-                "query_id",
-                "rank",
-                "vec_id",
-                "label",
-                "distance",
+            found.withColumns(
+                {"embedding": F.lit(embedding), "chunking": F.lit(chunking)}
             )
         )
     every = reduce(DataFrame.unionByName, parts)
     return collect_neighbours(every, ["embedding", "chunking", "query_id"])
 
 
+def with_configs(retrieved: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every configuration's share of the neighbours: the first k of its
+    variant. The grid is a handful of rows and the only side broadcast."""
+    return retrieved.join(F.broadcast(grid), ["embedding", "chunking"]).withColumn(
+        "docs", F.slice("docs", 1, F.col("top_k"))
+    )
+
+
 def vote_configs(retrieved: DataFrame, grid: DataFrame, max_distance: float = 1.0) -> DataFrame:
-    """config_id, query_id, verdict of the built-in vote. The grid is a handful
-    of rows and the only side broadcast."""
-    docs = F.slice("docs", 1, F.col("top_k"))
-    voted = vote(docs, max_distance)
-    return retrieved.join(F.broadcast(grid), ["embedding", "chunking"]).select(
+    """config_id, query_id, verdict of the built-in vote."""
+    voted = vote(F.col("docs"), max_distance)
+    return with_configs(retrieved, grid).select(
         "config_id",
         "query_id",
         voted["label"].alias("verdict"),
@@ -76,35 +76,29 @@ def vote_configs(retrieved: DataFrame, grid: DataFrame, max_distance: float = 1.
 
 
 def score_configs(
-    queries: dict[str, DataFrame],
-    kbs: dict[Variant, DataFrame],
+    retrieved: DataFrame,
+    news: DataFrame,
     grid: DataFrame,
     scorer: Scorer,
     context_cap: int = 8192,
-    exclude_own: bool = False,
 ) -> DataFrame:
-    """As `vote_configs`, but a user's model is asked. One job per variant and
-    k; the configurations are the rows of a small table read on the driver."""
-    parts = []
-    for cfg in grid.collect():
-        kb = kbs[(cfg["embedding"], cfg["chunking"])]
-        own = queries[cfg["embedding"]]
-        settings = Settings(cfg["chunk_type"], cfg["top_k"], cfg["temperature"], context_cap)
-        found = attach_documents(similarity_join(own, kb, cfg["top_k"], exclude_own), kb)
-        docs = collect_neighbours(
-            found.select("query_id", "rank", "vec_id", "content", "label", "distance")
-        )
-        asked = with_prompts(own.select("query_id", "news"), docs, settings)
-        request = asked.select(
-            F.lit(cfg["config_id"]).alias("config_id"),
+    """As `vote_configs`, but a user's model is asked: one call per
+    configuration and article of (query_id, news)."""
+    k, kind = F.col("top_k"), F.col("chunk_type")
+    texts = F.transform("docs", lambda d: d["content"])
+    request = (
+        with_configs(retrieved, grid)
+        .join(news, "query_id")
+        .select(
+            "config_id",
             "query_id",
-            "prompt",
-            "num_ctx",
-            F.lit(cfg["temperature"]).alias("temperature"),
-            F.lit(cfg["thinking"]).alias("thinking"),
+            fill_prompt(build_context(texts), F.col("news")).alias("prompt"),
+            context_budget(k, kind, F.lit(context_cap)).alias("num_ctx"),
+            "temperature",
+            "thinking",
         )
-        parts.append(parse_scores(score(request, scorer)).drop("prompt"))
-    return reduce(DataFrame.unionByName, parts)
+    )
+    return parse_scores(score(request, scorer)).drop("prompt")
 
 
 def summarise(predictions: DataFrame, truth: DataFrame, grid: DataFrame) -> DataFrame:
@@ -127,6 +121,7 @@ def run_ablation(
     max_distance: float = 1.0,
     exclude_own: bool = False,
     max_k: int = 10,
+    context_cap: int = 8192,
 ) -> DataFrame:
     """Scores the configurations that `done` lacks; appends to the results at
     `path` when given. `truth` holds (doc_id, label) of the queries."""
@@ -135,7 +130,9 @@ def run_ablation(
         retrieved = retrieve_variants(queries, kbs, max_k, exclude_own)
         predictions = vote_configs(retrieved, todo, max_distance)
     else:
-        predictions = score_configs(queries, kbs, todo, scorer, exclude_own=exclude_own)
+        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content", "label"))
+        news = next(iter(queries.values())).select("query_id", "news")
+        predictions = score_configs(retrieved, news, todo, scorer, context_cap)
     table = summarise(predictions, truth, todo)
     if path is not None:
         append_results(table.select(*results_schema().names), path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from factlake.functions.prompt import (
     context_overflow,
     fill_prompt,
 )
-from factlake.operators.scale import skew_join
+from factlake.operators.scale import materialize, skew_join
 from factlake.operators.scoring import (
     Scorer,
     collect_neighbours,
@@ -23,21 +25,29 @@ from factlake.operators.similarity import similarity_join
 from factlake.settings import Settings
 
 
-def attach_documents(neighbours: DataFrame, kb: DataFrame) -> DataFrame:
-    """Content and label of every neighbour, joined by id after the top-k, so
-    that only ids and vectors take part in the search. One article may be near
-    to many queries: such ids are split."""
-    return skew_join(neighbours, kb.select("vec_id", "content", "label"), "vec_id", "query_id")
+def nearest_documents(
+    queries: DataFrame,
+    kb: DataFrame,
+    k: int,
+    exclude_own: bool = False,
+    columns: Sequence[str] = ("content", "label"),
+) -> DataFrame:
+    """The k nearest rows of every query with some of their columns. These are
+    joined by id after the top-k, so that only ids and vectors take part in the
+    search; the found ids (k per query) are written down first, as the search
+    is the costly part. One article may be near to many queries: such ids are
+    split."""
+    found = materialize(similarity_join(queries, kb, k, exclude_own), "neighbours")
+    return skew_join(found, kb.select("vec_id", *columns), "vec_id", "query_id").select(
+        "query_id", "rank", "vec_id", *columns, "distance"
+    )
 
 
 def retrieve(
     queries: DataFrame, kb: DataFrame, k: int, exclude_own: bool = False
 ) -> DataFrame:
     """query_id and `docs`: content, label, distance of its neighbours."""
-    found = attach_documents(similarity_join(queries, kb, k, exclude_own), kb)
-    return collect_neighbours(
-        found.select("query_id", "rank", "vec_id", "content", "label", "distance")
-    )
+    return collect_neighbours(nearest_documents(queries, kb, k, exclude_own))
 
 
 def with_prompts(queries: DataFrame, retrieved: DataFrame, settings: Settings) -> DataFrame:
