@@ -8,11 +8,11 @@ of queries are one matrix product; only the k best per query leave a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.vectors import DISTANCE_DIGITS, cosine_distance
@@ -204,9 +204,10 @@ def similarity_join(
     return top_k_per_query(pairs, k)
 
 
-def search(corpus: DataFrame, vector: Column, k: int) -> DataFrame:
+def search(corpus: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
     """One query: order by distance, limit k. The vector is not returned."""
-    distance = cosine_distance(F.col("embedding"), vector)
+    wanted = F.array(*[F.lit(float(x)) for x in vector])
+    distance = cosine_distance(F.col("embedding"), wanted)
     return (
         corpus.withColumn("distance", distance)
         .drop("embedding")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions.prompt import docs_json, full_prompt
@@ -48,7 +48,12 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def render_na(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Numbers as text, 'N/A' where there is none."""
+    """Numbers as text without needless zeros, 'N/A' where there is none."""
     names = [c for c in df.columns if c in METRICS or c == "latency_mean_sec"]
-    text = {c: F.coalesce(F.format_number(c, f"0.{'0' * digits}"), F.lit("N/A")) for c in names}
-    return df.withColumns(text)
+
+    def text(c: str) -> Column:
+        fixed = F.format_string(f"%.{digits}f", F.col(c))
+        short = F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
+        return F.when(F.col(c).isNull(), "N/A").otherwise(short)
+
+    return df.withColumns({c: text(c) for c in names})

@@ -165,8 +165,8 @@ def context_budget(spark, sf):
 
 
 @query(
-    "SELECT event_id, CAST(floor(value) // 60 AS BIGINT) || 'm' || CAST(floor(value) % 60 AS BIGINT) || 's' "
-    "AS elapsed FROM events"
+    "SELECT event_id, s // 60 || 'm' || s % 60 || 's' AS elapsed "
+    "FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS s FROM events)"
 )
 def durations(spark, sf):
     elapsed = pr.format_duration(F.col("value"))

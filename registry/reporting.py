@@ -30,7 +30,8 @@ SHORT = "config_id, embedding, chunking, top_k, f1, latency_mean_sec"
 COLUMNS = SHORT.split(", ")
 MEAN_COLUMNS = report.MEANS
 MEANS = ", ".join(f"avg({c}) AS {c}" for c in MEAN_COLUMNS)
-ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in MEAN_COLUMNS)
+# A mean of 4-digit values over 8 or 16 rows has at most 8 digits.
+ROUNDED = ", ".join(f"round({c}, 8) AS {c}" for c in MEAN_COLUMNS)
 
 
 @query(R + "SELECT * FROM results")
@@ -60,9 +61,6 @@ def model_names(spark, sf):
     )
 
 
-REDERIVED = "trunc(round(accuracy * 100 - trunc(recall * 50), 9)) / 50"
-
-
 @query(
     R + "SELECT * EXCLUDE (specificity), (trunc(accuracy * 100 - trunc(recall * 50)) / 50) AS specificity FROM results"
 )
@@ -102,7 +100,7 @@ def config_styles(spark, sf):
 def summary_by_k(spark, sf):
     """Written as one CSV file and read back."""
     path = scratch_path(spark, "summary")
-    summary = report.summary_by(results(spark, sf), "top_k")
+    summary = report.summary_by(results(spark, sf), "top_k", digits=8)
     tb.write_summary(summary, path)
     return spark.read.schema(summary.schema).option("header", True).csv(path)
 
@@ -112,11 +110,11 @@ def summary_by_k(spark, sf):
     WHEN grouping(top_k) = 0 THEN 'top_k' ELSE 'temperature' END AS hyperparameter,
   CASE WHEN grouping(embedding) = 0 THEN embedding WHEN grouping(chunking) = 0 THEN chunking
     WHEN grouping(top_k) = 0 THEN CAST(top_k AS VARCHAR) ELSE CAST(temperature AS VARCHAR) END AS value,
-  {', '.join(f'round(avg({c}), 4) AS {c}' for c in MEAN_COLUMNS)}
+  {', '.join(f'round(avg({c}), 8) AS {c}' for c in MEAN_COLUMNS)}
 FROM results GROUP BY GROUPING SETS ((embedding), (chunking), (top_k), (temperature))"""
 )
 def summary_all(spark, sf):
-    return report.summary_all(results(spark, sf))
+    return report.summary_all(results(spark, sf), digits=8)
 
 
 GROUPS = """SELECT embedding, chunking, top_k, round(avg(f1), 6) AS f1,
@@ -148,13 +146,15 @@ def sorted_results(spark, sf):
     return report.sort_results(results(spark, sf))
 
 
+def rendered_sql(c: str) -> str:
+    return rf"coalesce(regexp_replace(printf('%.6f', {c}), '(\.\d+?)0+$', '\1'), 'N/A')"
+
+
 @query(
     with_(RESULTS, metrics_sql("aligned", "1 AS one", "overall")).replace(
         "GROUP BY 1 AS one", "GROUP BY one"
     )
-    + """SELECT system, coalesce(printf('%.6f', accuracy), 'N/A') AS accuracy,
-  coalesce(printf('%.6f', precision), 'N/A') AS precision, coalesce(printf('%.6f', recall), 'N/A') AS recall,
-  coalesce(printf('%.6f', f1), 'N/A') AS f1, coalesce(printf('%.6f', latency_mean_sec), 'N/A') AS latency_mean_sec
+    + f"""SELECT system, {', '.join(f"{rendered_sql(c)} AS {c}" for c in MEAN_COLUMNS)}
 FROM (
   SELECT 'RAG' AS system, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision,
     round(recall, 4) AS recall, round(f1, 4) AS f1,

@@ -58,7 +58,7 @@ ORDER BY {distance_sql('q.embedding', 'c.embedding')} ASC NULLS LAST, c.vec_id L
 def single_search(spark, sf):
     """One article against the whole knowledge base."""
     vectors = kb(spark, sf)
-    wanted = vectors.filter("vec_id = 0").select("embedding").scalar()
+    wanted = vectors.filter("vec_id = 0").select("embedding").first()[0]
     found = similarity.search(vectors.drop("source_index"), wanted, 10)
     return found.select("vec_id", "label", F.round("distance", 6).alias("distance"))
 

@@ -126,7 +126,7 @@ VERDICTS = """calls AS (
   SELECT event_id AS doc_id, event_id // 32 AS position,
     CAST(event_id % 32 + 1 AS INTEGER) AS config_id,
     CAST((event_id // 32 + user_id) % 2 AS INTEGER) AS label,
-    value / 10 AS latency,
+    sqrt(value) AS latency,
     CASE WHEN event_id % 17 <> 0 THEN 0 ELSE 1 + event_id // 17 % 4 END AS fault,
     CASE WHEN (user_id + length(event_type)) % 3 = 0 THEN 'fake' ELSE 'real' END AS guess,
     event_id % 10 AS tenth, event_type
@@ -196,7 +196,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
             at.alias("position"),
             (event % 32 + 1).cast("int").alias("config_id"),
             ((at + F.col("user_id")) % 2).cast("int").alias("label"),
-            F.when(F.col("fault") != 1, F.col("value") / 10).alias("latency_sec"),
+            F.when(F.col("fault") != 1, F.sqrt("value")).alias("latency_sec"),
             raw.alias("raw"),
             F.lit(None).cast("string").alias("call_error"),
         )
@@ -289,18 +289,18 @@ def lexicon(words: DataFrame) -> DataFrame:
 def lexicon_sql(words: str) -> str:
     names = ", ".join(f"'{a}'" for a in AFFECTS)
     return f"""lexicon AS (
-  SELECT DISTINCT word, ([{names}])[at + 1] AS affect FROM (
-    SELECT word, {hex_digit_sql('1')} AS at FROM {words}
-    UNION ALL SELECT word, {hex_digit_sql('2')} FROM {words}) WHERE at < {len(AFFECTS)})"""
+  SELECT DISTINCT word, list_extract([{names}], slot + 1) AS affect FROM (
+    SELECT word, {hex_digit_sql('1')} AS slot FROM {words}
+    UNION ALL SELECT word, {hex_digit_sql('2')} FROM {words}) WHERE slot < {len(AFFECTS)})"""
 
 
 def word_vectors(words: DataFrame) -> DataFrame:
-    digits = [(hex_digit(i) - 7.5) / 7.5 for i in range(1, VECTOR_DIM + 1)]
+    digits = [(hex_digit(i) - 7.5) / 7.3 for i in range(1, VECTOR_DIM + 1)]
     return words.select("word", F.array(*digits).alias("vector"))
 
 
 def word_vectors_sql(words: str) -> str:
     digits = ", ".join(
-        f"({hex_digit_sql(str(i))} - CAST(7.5 AS DOUBLE)) / 7.5" for i in range(1, VECTOR_DIM + 1)
+        f"({hex_digit_sql(str(i))} - CAST(7.5 AS DOUBLE)) / 7.3" for i in range(1, VECTOR_DIM + 1)
     )
     return f"vectors AS (SELECT word, [{digits}] AS vector FROM {words})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factlake.functions import prompt as pr
 from factlake.functions.encoders import hashing_encoder
 from factlake.operators import grid, scoring
-from factlake.operators.scale import scratch_path
+from factlake.operators.scale import materialize, scratch_path
 from factlake.plans import ablation, verify
 from factlake.settings import Settings
 from factlake.sources import tables as tb
@@ -285,7 +285,7 @@ def verify_arrivals(spark, sf):
         F.col("text").alias("content"),
         (F.col("n_chars") % 2).cast("int").alias("label"),
     )
-    corpus = scoring.embed(docs, hashing_encoder())
+    corpus = materialize(scoring.embed(docs, hashing_encoder()), "corpus")
     log = scratch_path(spark, "log")
     stream = spark.readStream.schema(turns.schema).parquet(arrivals)
     verify_stream(
