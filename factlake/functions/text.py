@@ -73,6 +73,30 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
 
 
+def tally(items: Column) -> Column:
+    """Array of structs (item, n): every distinct item of an array with the
+    number of times it occurs. Counting inside the row needs no shuffle."""
+
+    def runs(s: Column) -> Column:
+        at = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
+        )
+        counted = let(
+            at,
+            lambda a: F.transform(
+                a,
+                lambda i, j: F.struct(
+                    F.get(s, i).alias("item"),
+                    (F.coalesce(F.get(a, j + 1), F.size(s)) - i).alias("n"),
+                ),
+            ),
+        )
+        return F.when(F.size(s) > 0, counted)
+
+    return let(F.sort_array(items), runs)
+
+
 def sliding_windows(c: Column, size: int = 256, overlap: int = 64) -> Column:
     """All word windows of a text: one for every start below the word count,
     so the last may lie inside the one before it. Blank text has none."""

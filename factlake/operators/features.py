@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import head_chars, terms, words
+from factlake.functions.text import head_chars, tally, terms, words
 from factlake.operators.scale import lookup_join
 
 # Cuts of the vocabulary, the emotions in feature order, and the
@@ -38,11 +38,11 @@ FEATURE_NAMES = (
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", column: str = "content") -> DataFrame:
-    """key, term, tf: how often each term occurs in each document."""
-    return (
-        docs.select(key, F.explode(terms(F.col(column))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
+    """key, term, tf: how often each term occurs in each document. The terms of
+    a document are counted in its row, so nothing is shuffled by document."""
+    counted = docs.select(key, F.explode(tally(terms(F.col(column)))).alias("t"))
+    return counted.select(
+        key, F.col("t.item").alias("term"), F.col("t.n").cast("long").alias("tf")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from factlake.functions.vectors import DISTANCE_DIGITS, norm
 from factlake.operators.scale import has_at_most, materialize
+from factlake.operators.sampling import sample_n
 from factlake.operators.similarity import (
     BLOCK,
     MAX_MATRIX_BYTES,
@@ -23,8 +24,10 @@ from factlake.operators.similarity import (
     unit_matrix,
 )
 
-# Lists per kind of chunk.
+# Lists per kind of chunk, and rows to train them on.
 LISTS = {"full": 100, "sliding": 200}
+TRAIN_PER_LIST = 50
+TRAIN_AT_LEAST = 10_000
 CENTROIDS = T.StructType(
     [
         T.StructField("list_id", T.IntegerType()),
@@ -34,10 +37,14 @@ CENTROIDS = T.StructType(
 
 
 def train_ivf(kb: DataFrame, lists: int, seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """Centroids (list_id, embedding) by cosine k-means. The number of lists is
-    cut to the number of rows; zero and NULL vectors are left out."""
-    usable = kb.select(F.col("embedding").cast("array<double>").alias("embedding"))
-    usable = materialize(usable.filter(norm(F.col("embedding")) > 0), "ivf")
+    """Centroids (list_id, embedding) by cosine k-means. As the index we follow,
+    it trains on a random sample (of 50 rows per list, 10,000 at least); every
+    row is assigned afterwards. The number of lists is cut to the number of
+    rows; zero and NULL vectors are left out."""
+    usable = kb.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    usable = usable.filter(norm(F.col("embedding")) > 0)
+    taken = sample_n(usable, max(TRAIN_PER_LIST * lists, TRAIN_AT_LEAST), "vec_id", seed)
+    usable = materialize(taken.select("embedding"), "ivf")
     lists = min(lists, usable.limit(lists).count())
     if lists < 2:
         centres = [list(r["embedding"]) for r in usable.limit(1).collect()]
@@ -105,11 +112,14 @@ def ivf_search(
     """Top-k among the members of the `probes` lists nearest to each query. May
     return fewer than k rows. `kb` may already hold `list_id`; a list of any
     size is cut into pieces that fit a task, and so are its queries."""
-    if "list_id" not in kb.columns:
-        kb = assign_lists(kb, centroids)
-    members = slim(kb, "vec_id", exclude_own, "list_id").withColumnRenamed("list_id", "cell")
+    if "list_id" in kb.columns:
+        members = slim(kb, "vec_id", exclude_own, "list_id")
+    else:
+        members = assign_lists(slim(kb, "vec_id", exclude_own), centroids)
+        members = materialize(members, "members")
+    members = members.withColumnRenamed("list_id", "cell")
     probed = probe_lists(slim(queries, "query_id", exclude_own), centroids, probes)
-    probed = probed.drop("place").withColumnRenamed("list_id", "cell")
+    probed = materialize(probed.drop("place").withColumnRenamed("list_id", "cell"), "probes")
     dim = _dim(centroids)
     rows = max(1, max_matrix_bytes // (8 * dim))
     return top_k_per_query(best_in_cells(probed, members, k, dim, rows), k)

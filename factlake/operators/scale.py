@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by `key` over all cores when the input has fewer splits than
+    that (a single small file); an input with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Counts no further than `rows` + 1."""
     return df.limit(rows + 1).count() <= rows

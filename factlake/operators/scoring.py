@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlake.functions.text import tally
 from factlake.functions.verdict import encode_verdict, parse_verdict
 from factlake.operators.scale import lookup_join
 
@@ -19,20 +20,34 @@ Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 Scorer = Callable[[dict], str]
 
 
-def embed(df: DataFrame, encoder: Encoder, batch_size: int = 128, column: str = "content") -> DataFrame:
-    """Adds `embedding`. `encoder` is called with up to `batch_size` texts."""
+def embed_variants(
+    df: DataFrame,
+    encoders: Mapping[str, Encoder],
+    batch_size: int = 128,
+    column: str = "content",
+    model: str = "embedding_model",
+) -> DataFrame:
+    """Adds `embedding`, made by the encoder that the `model` column names. An
+    encoder is called with up to `batch_size` texts."""
     field = T.StructField("embedding", T.ArrayType(T.FloatType()))
     schema = T.StructType([f for f in df.schema if f.name != "embedding"] + [field])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                yield part.assign(embedding=list(encoder(part[column].tolist())))
+            for name, rows in frame.groupby(model, sort=False):
+                for at in range(0, len(rows), batch_size):
+                    part = rows.iloc[at : at + batch_size]
+                    yield part.assign(embedding=list(encoders[name](part[column].tolist())))
 
     return df.drop("embedding").mapInPandas(run, schema)
 
 
+def embed(df: DataFrame, encoder: Encoder, batch_size: int = 128, column: str = "content") -> DataFrame:
+    """The same with one encoder for all rows."""
+    only = df.withColumn("_model", F.lit("only"))
+    return embed_variants(only, {"only": encoder}, batch_size, column, "_model").drop("_model")
+
+
 def score(df: DataFrame, scorer: Scorer, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
     """Adds `raw` (the model's JSON text), `latency_sec` and `call_error`. A
     call that raises is reported in its row; the others go on."""
@@ -121,15 +136,15 @@ def vote_verdict(neighbours: DataFrame, max_distance: float = 1.0) -> DataFrame:
 
 def embed_mean(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id") -> DataFrame:
     """Mean word vector per document from (key, `words` array); words without a
-    vector count as zeros. Words are counted per document first, and only one
-    vector sum per document is shuffled."""
-    counted = (
-        docs.select(key, F.explode("words").alias("word")).groupBy(key, "word").count()
+    vector count as zeros. Words are counted inside their document's row, and
+    only one vector sum per document is shuffled."""
+    counted = docs.select(key, F.explode(tally(F.col("words"))).alias("t")).select(
+        key, F.col("t.item").alias("word"), F.col("t.n").alias("n")
     )
     known = lookup_join(counted, vectors, "word", spread_by=key).select(
         key,
         array_to_vector(
-            F.transform("vector", lambda x: x.cast("double") * F.col("count"))
+            F.transform("vector", lambda x: x.cast("double") * F.col("n"))
         ).alias("v"),
     )
     sums = known.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("sum"))

@@ -19,6 +19,7 @@ from factlake.operators.evaluate import (
     round_metrics,
 )
 from factlake.operators.grid import pending_configs
+from factlake.operators.scale import materialize
 from factlake.operators.scoring import (
     Scorer,
     align,
@@ -98,7 +99,8 @@ def score_configs(
             "thinking",
         )
     )
-    return parse_scores(score(request, scorer)).drop("prompt")
+    # Written down, so that no call is paid for twice.
+    return parse_scores(materialize(score(request, scorer).drop("prompt"), "answers"))
 
 
 def summarise(predictions: DataFrame, truth: DataFrame, grid: DataFrame) -> DataFrame:

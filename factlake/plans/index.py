@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factlake.operators.chunking import chunk_full, chunk_sliding, with_document
 from factlake.operators.grid import CHUNK_TYPE, CHUNKINGS
 from factlake.operators.kb import index_checkpoint, pending_documents, rollback
-from factlake.operators.scoring import Encoder, embed
+from factlake.operators.scoring import Encoder, embed_variants
 from factlake.sources.kb import read_kb, snapshot_kb, write_kb
 
 # Rows per call of an encoder, and calls between two snapshots.
@@ -21,17 +21,15 @@ ROWS_PER_COMMIT = 1_000_000
 
 
 def kb_rows(news: DataFrame, encoders: Mapping[str, Encoder]) -> DataFrame:
-    """Rows of the knowledge base for every model and chunking. The chunks are
-    built once per chunking and embedded once per model."""
+    """Rows of the knowledge base for every model and chunking."""
     docs = with_document(news).select("source_index", "label", "content")
-    variants = []
+    kinds = []
     for chunking in CHUNKINGS:
         chunk = chunk_full if CHUNK_TYPE[chunking] == "full" else chunk_sliding
-        chunks = chunk(docs).withColumn("chunking", F.lit(chunking))
-        for model, encoder in encoders.items():
-            embedded = embed(chunks, encoder, EMBED_BATCH)
-            variants.append(embedded.withColumn("embedding_model", F.lit(model)))
-    return reduce(DataFrame.unionByName, variants)
+        kinds.append(chunk(docs).withColumn("chunking", F.lit(chunking)))
+    chunks = reduce(DataFrame.unionByName, kinds)
+    models = F.explode(F.array(*[F.lit(m) for m in encoders])).alias("embedding_model")
+    return embed_variants(chunks.select("*", models), encoders, EMBED_BATCH)
 
 
 def variants_of(encoders: Mapping[str, Encoder]) -> list[tuple[str, str]]:

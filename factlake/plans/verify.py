@@ -95,6 +95,8 @@ def verify(
         request = asked.select("query_id", "prompt", "num_ctx").withColumn(
             "temperature", F.lit(settings.temperature)
         )
+        # Written down, so that no call is paid for twice.
         answers = score(request, scorer).drop("prompt", "num_ctx", "temperature")
+        answers = materialize(answers, "answers")
         scored = asked.join(answers, "query_id")
     return parse_scores(scored)

@@ -6,11 +6,10 @@ finished, so a job that dies half-way leaves nothing behind to be read.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.functions.prompt import snapshot_id
 from factlake.schemas import KB
 from factlake.sources.files import committed_folders
 
@@ -49,7 +48,7 @@ def read_kb(
 
 def snapshot_kb(kb: DataFrame, root: str, snapshot: str | None = None) -> str:
     """Copies the knowledge base to a timestamped folder."""
-    name = snapshot or time.strftime("%Y-%m-%d-%H-%M-%S")
+    name = snapshot or kb.sparkSession.range(1).select(snapshot_id()).first()[0]
     target = f"{root}/snapshot={name}"
     kb.select(*KB.names).write.mode("overwrite").partitionBy(*VARIANT).parquet(target)
     return name

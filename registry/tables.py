@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 from factlake.functions.vectors import DISTANCE_DIGITS
 from factlake.operators.features import EMOTIONS
 from factlake.operators.grid import config_grid
+from factlake.operators.scale import spread
 from factlake.operators.scoring import parse_scores
 
 
+# Tables whose rows are costly to work on, with their key.
+HEAVY = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
 def with_(*parts: str) -> str:

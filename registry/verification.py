@@ -272,7 +272,42 @@ def embed_documents(spark, sf):
     )
 
 
-@query()
+def hash_vectors_sql(source: str, key: str, name: str) -> str:
+    """Unit vectors of 16 single-precision numbers, as the hashing encoder makes."""
+    return f"""{name}_words AS (
+  SELECT {key}, instr('0123456789abcdef', substr(md5(w), 1, 1)) - 1 AS i, count(*) AS n
+  FROM (SELECT {key}, unnest(list_filter(string_split_regex(text, '[\\s\\v]+'), lambda w: w <> '')) AS w
+        FROM {source}) GROUP BY 1, 2),
+{name}_long AS (
+  SELECT {key}, i, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS x FROM {name}_words),
+{name} AS (
+  SELECT s.{key}, list(CAST(coalesce(l.x, 0) AS DOUBLE) ORDER BY d.i) AS v
+  FROM {source} s CROSS JOIN (SELECT unnest(range(0, 16)) AS i) d
+  LEFT JOIN {name}_long l ON l.{key} = s.{key} AND l.i = d.i GROUP BY 1)"""
+
+
+TURNS = """turns AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations)"""
+ARRIVALS = with_(
+    TURNS,
+    hash_vectors_sql("turns", "query_id", "asked"),
+    hash_vectors_sql("documents", "doc_id", "known"),
+    f"""nearest AS (
+  SELECT * FROM (
+    SELECT query_id, label, distance, row_number() OVER (
+      PARTITION BY query_id ORDER BY distance ASC NULLS LAST, doc_id) AS rank
+    FROM (
+      SELECT q.query_id, c.doc_id, d.n_chars % 2 AS label, {distance_sql('q.v', 'c.v')} AS distance
+      FROM asked q, known c JOIN documents d ON d.doc_id = c.doc_id))
+  WHERE rank <= 3)""",
+    f"votes AS ({vote_sql('nearest', 'query_id')})",
+)
+
+
+@query(
+    ARRIVALS
+    + "SELECT md5(t.text) AS news_md5, v.verdict AS label, v.confidence "
+    "FROM votes v JOIN turns t ON t.query_id = v.query_id"
+)
 def verify_arrivals(spark, sf):
     """Conversation turns arrive as files and are verified against documents."""
     arrivals = scratch_path(spark, "arrivals")
@@ -291,4 +326,6 @@ def verify_arrivals(spark, sf):
     verify_stream(
         stream, corpus, hashing_encoder(), Settings(), log, scratch_path(spark, "checkpoint")
     ).awaitTermination()
-    return tb.read_verifications(spark, log).groupBy("label").agg(F.count("*").alias("n_rows"))
+    return tb.read_verifications(spark, log).select(
+        F.md5("news_content").alias("news_md5"), "label", "confidence"
+    )
