@@ -12,16 +12,23 @@ from factlake.operators.scale import running_total
 METRICS = ["accuracy", "precision", "recall", "specificity", "f1"]
 
 
-def confusion(df: DataFrame, by: Sequence[str] = (), pos_label: int = 0) -> DataFrame:
-    """tp, fp, fn, tn and n_scored of (y_true, y_pred)."""
+def confusion(
+    df: DataFrame, by: Sequence[str] = (), pos_label: int = 0, also: Sequence[Column] = ()
+) -> DataFrame:
+    """tp, fp, fn, tn and n_scored of (y_true, y_pred), and the aggregates in
+    `also`. A row whose `y_pred` is NULL failed and counts nowhere; a group
+    without a scored row is left out. (Failed rows are not filtered out first:
+    the filter would be pushed below the parsing and parse every row twice.)"""
     truth, pred = F.col("y_true") == pos_label, F.col("y_pred") == pos_label
-    return df.groupBy(*by).agg(
+    counts = df.groupBy(*by).agg(
         F.count_if(truth & pred).alias("tp"),
         F.count_if(~truth & pred).alias("fp"),
         F.count_if(truth & ~pred).alias("fn"),
         F.count_if(~truth & ~pred).alias("tn"),
-        F.count("*").alias("n_scored"),
+        F.count("y_pred").alias("n_scored"),
+        *also,
     )
+    return counts.filter("n_scored > 0") if by else counts
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -47,10 +54,15 @@ def with_metrics(counts: DataFrame) -> DataFrame:
 
 
 def classification_metrics(
-    df: DataFrame, by: Sequence[str] = (), pos_label: int = 0
+    df: DataFrame, by: Sequence[str] = (), pos_label: int = 0, also: Sequence[Column] = ()
 ) -> DataFrame:
     """Counts and metrics; the positive class is fake (0) unless told."""
-    return with_metrics(confusion(df, by, pos_label))
+    return with_metrics(confusion(df, by, pos_label, also))
+
+
+def mean_latency() -> Column:
+    """Mean of the per-row times of the scored rows."""
+    return F.avg(F.when(F.col("y_pred").isNotNull(), F.col("latency_sec")))
 
 
 def round_metrics(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,14 +90,13 @@ def _summed(rows: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
         total -= np.outer(mean, sums)
         for at in range(0, len(total), STRIPE):
             part = total[at : at + STRIPE].ravel()
-            yield pa.RecordBatch.from_pydict(
-                {"stripe": pa.array([at], pa.int32()), "part": pa.array([part.tolist()])}
-            )
+            whole = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))
+            yield pa.RecordBatch.from_pydict({"stripe": pa.array([at], pa.int32()), "part": whole})
 
     parts = rows.mapInArrow(partial, "stripe int, part array<double>")
     added = parts.groupBy("stripe").agg(Summarizer.sum(array_to_vector(F.col("part"))).alias("s"))
-    found = sorted(added.collect(), key=lambda r: r["stripe"])
-    return np.concatenate([r["s"].toArray() for r in found]).reshape(q.shape)
+    found = added.select("stripe", vector_to_array("s").alias("s")).toArrow().sort_by("stripe")
+    return np.asarray(found["s"].combine_chunks().flatten()).reshape(q.shape)
 
 
 def fit_pca(

@@ -154,7 +154,14 @@ def embed_mean(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id
     return docs.select(key, "words").join(sums, key, "left").select(key, mean.alias("vector"))
 
 
+def outcomes(truth: DataFrame, predictions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Truth beside prediction; `y_pred` is NULL without a valid verdict."""
+    predicted = F.when(F.col("is_valid"), encode_verdict(F.col("verdict")))
+    return predictions.withColumn("y_pred", predicted).join(
+        truth.select(key, F.col("label").alias("y_true")), key
+    )
+
+
 def align(truth: DataFrame, predictions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Truth beside prediction; rows without a valid verdict are left out."""
-    valid = predictions.filter("is_valid").withColumn("y_pred", encode_verdict(F.col("verdict")))
-    return valid.join(truth.select(key, F.col("label").alias("y_true")), key)
+    return outcomes(truth, predictions, key).filter("y_pred is not null")

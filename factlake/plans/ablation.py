@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from factlake.functions.prompt import build_context, context_budget, fill_prompt
 from factlake.operators.evaluate import (
     classification_metrics,
-    latency_summary,
+    mean_latency,
     round_metrics,
 )
 from factlake.operators.grid import pending_configs
 from factlake.operators.scale import materialize
 from factlake.operators.scoring import (
     Scorer,
-    align,
     collect_neighbours,
+    outcomes,
     parse_scores,
     score,
     vote,
@@ -105,11 +105,10 @@ def score_configs(
 
 def summarise(predictions: DataFrame, truth: DataFrame, grid: DataFrame) -> DataFrame:
     """One results row per configuration that has a scored row."""
-    aligned = align(truth.withColumnRenamed("doc_id", "query_id"), predictions, "query_id")
-    metrics = classification_metrics(aligned, ["config_id"])
-    times = latency_summary(aligned, ["config_id"])
-    joined = metrics.join(times, "config_id", "left").join(F.broadcast(grid), "config_id")
-    return round_metrics(joined)
+    rows = outcomes(truth.withColumnRenamed("doc_id", "query_id"), predictions, "query_id")
+    latency = mean_latency().alias("latency_mean_sec")
+    metrics = classification_metrics(rows, ["config_id"], also=[latency])
+    return round_metrics(metrics.join(F.broadcast(grid), "config_id"))
 
 
 def run_ablation(

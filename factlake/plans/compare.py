@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators.evaluate import classification_metrics, latency_summary
+from factlake.operators.evaluate import classification_metrics, mean_latency
 from factlake.operators.report import PUBLISHED_ROW, comparison_table
-from factlake.operators.scoring import align
+from factlake.operators.scoring import outcomes
 from factlake.schemas import COMPARISON
 
 _QUALITY = ["accuracy", "precision", "recall", "f1"]
 
 
-def system_row(name: str, aligned: DataFrame, latency: float | None = None, digits: int = 4) -> DataFrame:
-    """One row from (y_true, y_pred, latency_sec); a given latency is kept to
-    six digits."""
-    row = classification_metrics(aligned).select(*[F.round(c, 4).alias(c) for c in _QUALITY])
-    if latency is None:
-        mean = F.round(latency_summary(aligned).select("latency_mean_sec").scalar(), digits)
-    else:
-        mean = F.lit(round(latency, 6))
-    return row.select(F.lit(name).alias("system"), "*", mean.alias("latency_mean_sec"))
+def system_row(name: str, rows: DataFrame, latency: float | None = None) -> DataFrame:
+    """One row from (y_true, y_pred, latency_sec), to four digits; a given
+    latency is kept to six."""
+    mean = F.round(mean_latency(), 4) if latency is None else F.max(F.lit(round(latency, 6)))
+    row = classification_metrics(rows, also=[mean.alias("latency_mean_sec")])
+    quality = [F.round(c, 4).alias(c) for c in _QUALITY]
+    return row.select(F.lit(name).alias("system"), *quality, "latency_mean_sec")
 
 
 def published_row(like: DataFrame) -> DataFrame:
@@ -33,5 +31,5 @@ def compare_systems(
 ) -> DataFrame:
     """`baseline` holds (y_true, y_pred); `verified` the rows of `verify`."""
     linguistic = system_row("NC-LBFV", baseline, baseline_latency)
-    retrieval = system_row("RAG", align(truth, verified, "query_id"))
+    retrieval = system_row("RAG", outcomes(truth, verified, "query_id"))
     return comparison_table(linguistic, retrieval, published_row(baseline))

@@ -51,14 +51,19 @@ def encode_verdicts(spark, sf):
     return table(spark, sf, "events").select("event_id", encode_verdict(label).alias("y"))
 
 
-def _aligned(spark, sf):
+def _sides(spark, sf):
     answers = verdicts(spark, sf)
-    return scoring.align(answers.select("doc_id", "label"), answers.drop("label"))
+    return answers.select("doc_id", "label"), answers.drop("label")
+
+
+def _outcomes(spark, sf):
+    return scoring.outcomes(*_sides(spark, sf))
 
 
 @query(with_(VERDICTS) + "SELECT doc_id, config_id, y_true, y_pred FROM aligned")
 def align_predictions(spark, sf):
-    return _aligned(spark, sf).select("doc_id", "config_id", "y_true", "y_pred")
+    rows = scoring.align(*_sides(spark, sf))
+    return rows.select("doc_id", "config_id", "y_true", "y_pred")
 
 
 @query(
@@ -66,7 +71,7 @@ def align_predictions(spark, sf):
     + "SELECT config_id, tp, fp, fn, tn, n_scored FROM metrics"
 )
 def confusion_counts(spark, sf):
-    return evaluate.confusion(_aligned(spark, sf), ["config_id"])
+    return evaluate.confusion(_outcomes(spark, sf), ["config_id"])
 
 
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in evaluate.METRICS)
@@ -76,7 +81,7 @@ ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in evaluate.METRICS)
     with_(VERDICTS, metrics_sql("aligned", "config_id")) + f"SELECT config_id, n_scored, {ROUNDED} FROM metrics"
 )
 def metrics_by_config(spark, sf):
-    out = evaluate.classification_metrics(_aligned(spark, sf), ["config_id"])
+    out = evaluate.classification_metrics(_outcomes(spark, sf), ["config_id"])
     return evaluate.round_metrics(out.select("config_id", "n_scored", *evaluate.METRICS), 6)
 
 
@@ -86,7 +91,7 @@ def metrics_by_config(spark, sf):
 )
 def metrics_positive_real(spark, sf):
     """Over everything, with real as the positive class."""
-    out = evaluate.classification_metrics(_aligned(spark, sf), pos_label=1)
+    out = evaluate.classification_metrics(_outcomes(spark, sf), pos_label=1)
     return evaluate.round_metrics(out.select("n_scored", *evaluate.METRICS), 6)
 
 

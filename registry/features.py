@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.functions.text import clean_text, head_chars, words
 from factlake.operators import features as ft
 from factlake.operators.forest import feature_importances
 from factlake.operators.pca import fit_pca
+from factlake.operators.scale import materialize
 from factlake.operators.scoring import embed_mean
 from factlake.plans import baseline
 from factlake.plans.compare import compare_systems
@@ -85,6 +88,12 @@ def tfidf_weights(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _entries(vectors: pa.Array) -> pa.Array:
+    """The stored entries of sparse vectors."""
+    return vectors.field("values")
+
+
 @query(
     with_(DOCS, TOP)
     + """SELECT doc_id, count(*) AS n_terms, round(max(w / length), 6) AS largest FROM (
@@ -94,14 +103,10 @@ GROUP BY doc_id"""
 )
 def tfidf_vectors(spark, sf):
     """The vector form of the same weights, summed up per document."""
-    from pyspark.ml.functions import vector_to_array
-
     docs = _docs(spark, sf)
     out = ft.fit_tfidf(docs).transform(docs)
-    entries = out.select(
-        "doc_id", F.filter(vector_to_array("tfidf"), lambda x: x > 0).alias("w")
-    )
-    return entries.filter(F.size("w") > 0).select(
+    weights = out.select("doc_id", _entries("tfidf").alias("w")).filter(F.size("w") > 0)
+    return weights.select(
         "doc_id",
         F.size("w").cast("long").alias("n_terms"),
         F.round(F.array_max("w"), 6).alias("largest"),
@@ -114,7 +119,8 @@ HEAD = """heads AS (
 
 
 def _words(spark, sf):
-    return ft.vocabulary(_docs(spark, sf)).select(F.col("term").alias("word"))
+    known = ft.vocabulary(_docs(spark, sf)).select(F.col("term").alias("word"))
+    return materialize(known, "words")
 
 
 @query(
@@ -183,6 +189,7 @@ def tfidf_components(spark, sf):
 def _lookups(spark, sf):
     """Word vectors of 24 numbers and the lexicon, for the words of all news."""
     known = ft.vocabulary(baseline.cleaned(news(spark, sf))).select(F.col("term").alias("word"))
+    known = materialize(known, "words")
     digits = [F.conv(F.substring(F.md5("word"), i, 1), 16, 10) / 15.0 - 0.5 for i in range(1, 25)]
     return known.select("word", F.array(*digits).alias("vector")), lexicon(known)
 

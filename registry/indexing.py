@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.encoders import hashing_encoder
 from factlake.operators import chunking, kb as state, sampling
-from factlake.operators.scale import scratch_path
+from factlake.operators.scale import materialize, scratch_path
 from factlake.plans import index
 from factlake.schemas import NEWS as NEWS_SCHEMA
 from factlake.sources import kb as store
@@ -62,7 +62,7 @@ def _shown(kb):
 def _built(spark, sf):
     """The knowledge base of all labelled articles, in three commits."""
     path = scratch_path(spark, "kb")
-    docs = numbered(spark, sf)
+    docs = materialize(numbered(spark, sf), "news")
     size = docs.agg(F.ceil(F.count("*") / 3).cast("int")).first()[0]
     index.build_kb(docs, path, ENCODERS, rows_per_commit=size)
     return path

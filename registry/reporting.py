@@ -8,7 +8,7 @@ from factlake.operators import evaluate, report
 from factlake.operators.scale import scratch_path
 from factlake.plans.compare import published_row, system_row
 from factlake.sources import tables as tb
-from registry.evaluation import _aligned
+from registry.evaluation import _outcomes
 from registry.tables import RESULTS, metrics_sql, results, with_
 
 QUERIES = {}
@@ -164,5 +164,5 @@ FROM (
 )
 def comparison_rendered(spark, sf):
     """All verdicts as one system beside the published row."""
-    retrieval = system_row("RAG", _aligned(spark, sf))
+    retrieval = system_row("RAG", _outcomes(spark, sf))
     return tb.render_na(report.comparison_table(retrieval, published_row(retrieval)))

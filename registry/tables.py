@@ -17,8 +17,18 @@ from factlake.operators.scoring import parse_scores
 HEAVY = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "events": "event_id"}
 
 
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "events": "event_id long, user_id long, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
     return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
