@@ -13,7 +13,8 @@ _SPACE = r"\s\x1c-\x1f"
 SPACES = rf"(?U)[{_SPACE}]+"
 URL = rf"(?U)http[^{_SPACE}]+"
 NOT_LETTER = rf"(?U)[^a-z{_SPACE}]"
-TERM = r"(?U)\b\w\w+\b"
+# Java's Unicode \w also takes combining marks, which are no word characters here.
+TERM = r"[\p{L}\p{N}_]{2,}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -19,6 +19,7 @@ from factlake.operators.similarity import (
     BLOCK,
     MAX_MATRIX_BYTES,
     best_in_cells,
+    cut_lists,
     slim,
     top_k_per_query,
     unit_matrix,
@@ -122,7 +123,7 @@ def ivf_search(
     probed = materialize(probed.drop("place").withColumnRenamed("list_id", "cell"), "probes")
     dim = _dim(centroids)
     rows = max(1, max_matrix_bytes // (8 * dim))
-    return top_k_per_query(best_in_cells(probed, members, k, dim, rows), k)
+    return top_k_per_query(best_in_cells(*cut_lists(probed, members, rows), k, dim), k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

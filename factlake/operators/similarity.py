@@ -1,9 +1,10 @@
 """Exact cosine top-k of many queries against a corpus of vectors.
 
-Three columns are expected on each side: an id (`query_id` / `vec_id`), an
-`embedding` and, optionally, `source_index`, which leaves out corpus rows of
-the query's own document. The distances of a block of corpus rows to a block
-of queries are one matrix product; only the k best per query leave a task.
+Expected on each side: an id (`query_id` / `vec_id`), an `embedding` and, to
+leave out corpus rows of the query's own document, `source_index`. A `label`
+of the corpus comes back with its row, which saves a join. The distances of a
+block of corpus rows to a block of queries are one matrix product; only the k
+best per query leave a task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.vectors import DISTANCE_DIGITS, cosine_distance
@@ -21,7 +22,7 @@ from factlake.operators.scale import top_n_per_group
 BLOCK = 1024
 # A broadcast query matrix and one side of a shuffled cell stay below this.
 MAX_MATRIX_BYTES = 64 << 20
-PAIRS = "query_id long, vec_id long, distance double"
+PAIRS = "query_id long, vec_id long, label int, distance double"
 
 
 def unit_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -51,17 +52,21 @@ class _Best:
         self.ids, self.matrix, self.own, self.k = ids, matrix, own, k
         self.query = np.empty(0, np.int64)
         self.vec = np.empty(0, np.int64)
+        self.label = np.empty(0)
         self.distance = np.empty(0)
         self.limit = np.full(len(ids), np.inf)
         self.limit_id = np.full(len(ids), np.iinfo(np.int64).max)
 
-    def offer(self, vec: np.ndarray, rows: np.ndarray, own: np.ndarray | None) -> None:
-        for q in range(0, len(self.ids), BLOCK):
-            for c in range(0, len(vec), BLOCK):
-                self._offer(q, vec[c : c + BLOCK], rows[c : c + BLOCK],
-                            None if own is None else own[c : c + BLOCK])
+    def offer(self, corpus: pa.Table | pa.RecordBatch) -> None:
+        vec, label, own = _ids(corpus.column("vec_id")), _labels(corpus), _own(corpus)
+        rows = unit_matrix(corpus.column("embedding"), self.matrix.shape[1])
+        for c in range(0, len(vec), BLOCK):
+            some = slice(c, c + BLOCK)
+            own_some = None if own is None else own[some]
+            for q in range(0, len(self.ids), BLOCK):
+                self._offer(q, vec[some], label[some], rows[some], own_some)
 
-    def _offer(self, at: int, vec: np.ndarray, rows: np.ndarray, own: np.ndarray | None) -> None:
+    def _offer(self, at, vec, label, rows, own) -> None:
         part = slice(at, at + BLOCK)
         d = np.round(1.0 - self.matrix[part] @ rows.T, DISTANCE_DIGITS)
         d[np.isnan(d)] = np.inf
@@ -80,9 +85,10 @@ class _Best:
         kept = np.isin(self.query, touched)
         query = np.concatenate([self.query[kept], q + at])
         ids = np.concatenate([self.vec[kept], vec[c]])
+        labels = np.concatenate([self.label[kept], label[c]])
         distance = np.concatenate([self.distance[kept], d[q, c]])
         order = np.lexsort((ids, distance, query))
-        query, ids, distance = query[order], ids[order], distance[order]
+        query, ids, labels, distance = query[order], ids[order], labels[order], distance[order]
         first = np.searchsorted(query, query)
         place = np.arange(len(query)) - first
         best = place < self.k
@@ -91,6 +97,7 @@ class _Best:
         self.limit_id[query[full]] = ids[full]
         self.query = np.concatenate([self.query[~kept], query[best]])
         self.vec = np.concatenate([self.vec[~kept], ids[best]])
+        self.label = np.concatenate([self.label[~kept], labels[best]])
         self.distance = np.concatenate([self.distance[~kept], distance[best]])
 
     def table(self) -> dict[str, pa.Array]:
@@ -98,6 +105,7 @@ class _Best:
         return {
             "query_id": pa.array(self.ids[self.query], pa.int64()),
             "vec_id": pa.array(self.vec, pa.int64()),
+            "label": pa.array(self.label, pa.float64(), mask=np.isnan(self.label)).cast(pa.int32()),
             "distance": pa.array(self.distance, pa.float64(), mask=missing),
         }
 
@@ -107,14 +115,24 @@ def _own(table: pa.Table | pa.RecordBatch) -> np.ndarray | None:
     return _ids(table.column("source_index")) if "source_index" in names else None
 
 
+def _labels(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """NaN where there is no label."""
+    if "label" not in table.schema.names:
+        return np.full(table.num_rows, np.nan)
+    return np.asarray(table.column("label").cast(pa.float64()).to_pandas(), dtype=np.float64)
+
+
 def _dim(df: DataFrame) -> int:
+    """0 when there is no vector."""
     row = df.filter("embedding is not null").select(F.size("embedding")).first()
-    return row[0] if row else 1
+    return row[0] if row else 0
 
 
 def slim(df: DataFrame, key: str, own: bool, *more: str) -> DataFrame:
     embedding = F.col("embedding").cast("array<double>").alias("embedding")
     extra = [F.col("source_index").cast("long")] if own else []
+    if key == "vec_id" and "label" in df.columns:
+        extra.append(F.col("label").cast("int"))
     return df.select(F.col(key).cast("long"), embedding, *extra, *more)
 
 
@@ -128,45 +146,62 @@ def _against_broadcast(queries: pa.Table, corpus: DataFrame, k: int, dim: int) -
         ids, matrix, own = shared.value
         best = _Best(ids, matrix, own, k)
         for b in batches:
-            best.offer(_ids(b.column("vec_id")), unit_matrix(b.column("embedding"), dim), _own(b))
+            best.offer(b)
         yield pa.RecordBatch.from_pydict(best.table())
 
     return corpus.mapInArrow(search, PAIRS)
 
 
-def best_in_cells(
-    queries: DataFrame, corpus: DataFrame, k: int, dim: int, rows_per_cell: int
-) -> DataFrame:
-    """Top-k per cell for two sides that share a `cell` number. The rows of one
-    cell are cut on both sides into pieces of bounded size; every pair of
-    pieces meets in one task, so a hot cell becomes many tasks."""
+CELL = ["cell", "_qp", "_cp"]
+
+
+def _cut(df: DataFrame, key: str, mine: str, other: str, own: Column, others: Column) -> DataFrame:
+    """Numbers a row's own piece and repeats it for every piece of the other
+    side."""
+    piece = F.pmod(F.xxhash64(key), own).cast("int")
+    every = F.explode(F.sequence(F.lit(0), others - 1))
+    return df.withColumn(mine, piece).withColumn(other, every)
+
+
+def cut_whole(
+    queries: DataFrame, corpus: DataFrame, rows_per_cell: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides as pieces of bounded size that all meet."""
+    nq = F.lit(max(1, -(-queries.count() // rows_per_cell)))
+    nc = F.lit(max(1, -(-corpus.count() // rows_per_cell)))
+    return (
+        _cut(queries.withColumn("cell", F.lit(0)), "query_id", "_qp", "_cp", nq, nc),
+        _cut(corpus.withColumn("cell", F.lit(0)), "vec_id", "_cp", "_qp", nc, nq),
+    )
+
+
+def cut_lists(
+    queries: DataFrame, corpus: DataFrame, rows_per_cell: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pieces within each `cell`, so that a hot cell becomes many tasks."""
 
     def pieces(df: DataFrame, name: str) -> DataFrame:
         n = F.ceil(F.count("*") / rows_per_cell).cast("int").alias(name)
         return df.groupBy("cell").agg(n)
 
-    # One row per cell: as many as there are lists, which are broadcast anyway.
+    # One row per list: as many as there are centroids, which are broadcast too.
     cuts = F.broadcast(pieces(queries, "_nq").join(pieces(corpus, "_nc"), "cell"))
+    nq, nc = F.col("_nq"), F.col("_nc")
+    left = _cut(queries.join(cuts, "cell"), "query_id", "_qp", "_cp", nq, nc)
+    right = _cut(corpus.join(cuts, "cell"), "vec_id", "_cp", "_qp", nc, nq)
+    return left.drop("_nq", "_nc"), right.drop("_nq", "_nc")
 
-    def cut(df: DataFrame, key: str, mine: str, other: str, n: str, m: str) -> DataFrame:
-        return (
-            df.join(cuts, "cell")
-            .withColumn(mine, F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
-            .drop("_nq", "_nc")
-        )
 
-    keys = ["cell", "_qp", "_cp"]
-    left = cut(queries, "query_id", "_qp", "_cp", "_nq", "_nc").groupBy(*keys)
-    right = cut(corpus, "vec_id", "_cp", "_qp", "_nc", "_nq").groupBy(*keys)
+def best_in_cells(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
+    """Top-k per query within each cell of two cut sides."""
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
-        own_q, own_c = _own(q), _own(c)
-        best = _Best(_ids(q["query_id"]), unit_matrix(q["embedding"], dim), own_q, k)
+        best = _Best(_ids(q["query_id"]), unit_matrix(q["embedding"], dim), _own(q), k)
         if len(q) and len(c):
-            best.offer(_ids(c["vec_id"]), unit_matrix(c["embedding"], dim), own_c)
+            best.offer(c)
         return pa.table(best.table())
 
+    left, right = queries.groupBy(*CELL), corpus.groupBy(*CELL)
     return left.cogroup(right).applyInArrow(search, PAIRS)
 
 
@@ -183,24 +218,18 @@ def similarity_join(
     exclude_own: bool = False,
     max_matrix_bytes: int = MAX_MATRIX_BYTES,
 ) -> DataFrame:
-    """query_id, vec_id, distance, rank of the k nearest corpus rows."""
+    """query_id, vec_id, label, distance, rank of the k nearest corpus rows."""
     if k < 1:
         raise ValueError("k must be at least 1")
     queries = slim(queries, "query_id", exclude_own)
     corpus = slim(corpus, "vec_id", exclude_own)
-    dim = _dim(corpus)
+    dim = _dim(corpus) or _dim(queries) or 1
     rows = max(1, max_matrix_bytes // (8 * dim))
     head = queries.limit(rows + 1).toArrow()
     if len(head) <= rows:
         pairs = _against_broadcast(head, corpus, k, dim)
     else:
-        pairs = best_in_cells(
-            queries.withColumn("cell", F.lit(0)),
-            corpus.withColumn("cell", F.lit(0)),
-            k,
-            dim,
-            rows,
-        )
+        pairs = best_in_cells(*cut_whole(queries, corpus, rows), k, dim)
     return top_k_per_query(pairs, k)
 
 

@@ -40,7 +40,7 @@ def retrieve_variants(
     kbs: dict[Variant, DataFrame],
     k: int,
     exclude_own: bool = False,
-    columns: Sequence[str] = ("label",),
+    columns: Sequence[str] = (),
 ) -> DataFrame:
     """embedding, chunking, query_id, docs for every variant; `queries` holds
     the query vectors of each model."""
@@ -131,7 +131,7 @@ def run_ablation(
         retrieved = retrieve_variants(queries, kbs, max_k, exclude_own)
         predictions = vote_configs(retrieved, todo, max_distance)
     else:
-        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content", "label"))
+        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content",))
         news = next(iter(queries.values())).select("query_id", "news")
         predictions = score_configs(retrieved, news, todo, scorer, context_cap)
     table = summarise(predictions, truth, todo)

@@ -71,7 +71,7 @@ def fit_features(
     dense = mean_vectors(docs, vectors, dim)
     return FeatureModel(
         tfidf,
-        fit_pca(sparse, "v", min(TFIDF_DIMS, len(tfidf.terms))),
+        fit_pca(sparse, "v", TFIDF_DIMS),
         fit_pca(dense, "v", EMBEDDING_DIMS),
         vectors,
         dim,

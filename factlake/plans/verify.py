@@ -30,17 +30,18 @@ def nearest_documents(
     kb: DataFrame,
     k: int,
     exclude_own: bool = False,
-    columns: Sequence[str] = ("content", "label"),
+    columns: Sequence[str] = ("content",),
 ) -> DataFrame:
     """The k nearest rows of every query with some of their columns. These are
-    joined by id after the top-k, so that only ids and vectors take part in the
-    search; the found ids (k per query) are written down first, as the search
-    is the costly part. One article may be near to many queries: such ids are
-    split."""
-    found = materialize(similarity_join(queries, kb, k, exclude_own), "neighbours")
-    return skew_join(found, kb.select("vec_id", *columns), "vec_id", "query_id").select(
-        "query_id", "rank", "vec_id", *columns, "distance"
-    )
+    joined by id after the top-k, so that only ids, labels and vectors take
+    part in the search; the found ids (k per query) are written down first, as
+    the search is the costly part. One article may be near to many queries:
+    such ids are split."""
+    found = similarity_join(queries, kb, k, exclude_own)
+    if columns:
+        found = materialize(found, "neighbours")
+        found = skew_join(found, kb.select("vec_id", *columns), "vec_id", "query_id")
+    return found.select("query_id", "rank", "vec_id", *columns, "label", "distance")
 
 
 def retrieve(

@@ -96,17 +96,17 @@ def _entries(vectors: pa.Array) -> pa.Array:
 
 @query(
     with_(DOCS, TOP)
-    + """SELECT doc_id, count(*) AS n_terms, round(max(w / length), 6) AS largest FROM (
+    + """SELECT doc_id, count(w) AS n_terms, round(max(w / length), 6) AS largest
+FROM docs LEFT JOIN (
   SELECT doc_id, w, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS length
-  FROM (SELECT doc_id, term, tf * idf AS w FROM tf JOIN top USING (term)))
+  FROM (SELECT doc_id, term, tf * idf AS w FROM tf JOIN top USING (term))) USING (doc_id)
 GROUP BY doc_id"""
 )
 def tfidf_vectors(spark, sf):
     """The vector form of the same weights, summed up per document."""
     docs = _docs(spark, sf)
     out = ft.fit_tfidf(docs).transform(docs)
-    weights = out.select("doc_id", _entries("tfidf").alias("w")).filter(F.size("w") > 0)
-    return weights.select(
+    return out.select("doc_id", _entries("tfidf").alias("w")).select(
         "doc_id",
         F.size("w").cast("long").alias("n_terms"),
         F.round(F.array_max("w"), 6).alias("largest"),

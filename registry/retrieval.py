@@ -32,14 +32,14 @@ def query(sql: str | None = None):
 
 
 def _result(df):
-    return df.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    return df.select("query_id", "vec_id", "distance", "rank")
 
 
-NEAREST = "SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM "
+NEAREST = "SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM "
 
 
 @query(
-    with_(KB) + f"SELECT a.vec_id, round({distance_sql('a.embedding', 'b.embedding')}, 6) AS distance "
+    with_(KB) + f"SELECT a.vec_id, {distance_sql('a.embedding', 'b.embedding')} AS distance "
     "FROM kb a JOIN kb b ON b.vec_id = a.vec_id + 1"
 )
 def cosine_neighbours(spark, sf):
@@ -47,11 +47,11 @@ def cosine_neighbours(spark, sf):
     a = kb(spark, sf).select("vec_id", "embedding")
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     d = cosine_distance(F.col("embedding"), F.col("other"))
-    return a.join(b, "vec_id").select("vec_id", F.round(d, 6).alias("distance"))
+    return a.join(b, "vec_id").select("vec_id", d.alias("distance"))
 
 
 @query(
-    with_(KB) + f"""SELECT c.vec_id, c.label, round({distance_sql('q.embedding', 'c.embedding')}, 6) AS distance
+    with_(KB) + f"""SELECT c.vec_id, c.label, {distance_sql('q.embedding', 'c.embedding')} AS distance
 FROM kb c, (SELECT embedding FROM kb WHERE vec_id = 0) q
 ORDER BY {distance_sql('q.embedding', 'c.embedding')} ASC NULLS LAST, c.vec_id LIMIT 10"""
 )
@@ -60,7 +60,7 @@ def single_search(spark, sf):
     vectors = kb(spark, sf)
     wanted = vectors.filter("vec_id = 0").select("embedding").first()[0]
     found = similarity.search(vectors.drop("source_index"), wanted, 10)
-    return found.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+    return found.select("vec_id", "label", "distance")
 
 
 @query(with_(KB, nearest_sql(3)) + NEAREST + "nearest")
@@ -184,5 +184,4 @@ def ivf_training(spark, sf):
 def vote_verdict(spark, sf):
     vectors = kb(spark, sf)
     found = similarity.similarity_join(as_queries(vectors), vectors, 3, exclude_own=True)
-    labelled = found.join(vectors.select("vec_id", "label"), "vec_id")
-    return scoring.vote_verdict(labelled).select("query_id", "label", "confidence")
+    return scoring.vote_verdict(found).select("query_id", "label", "confidence")
