@@ -85,7 +85,7 @@ def list_finder(centroids: DataFrame, probes: int) -> Callable[[Column], Column]
         ends = np.arange(len(lists) + 1, dtype=np.int32) * lists.shape[1]
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.ravel(), pa.int32()))
 
-    return lambda embedding: nearest(embedding.cast("array<double>"))
+    return nearest
 
 
 def assign_lists(kb: DataFrame, centroids: DataFrame) -> DataFrame:

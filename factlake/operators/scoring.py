@@ -34,7 +34,7 @@ def embed_variants(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, rows in frame.groupby(model, sort=False):
+            for name, rows in frame.groupby(model, sort=False, dropna=False):
                 for at in range(0, len(rows), batch_size):
                     part = rows.iloc[at : at + batch_size]
                     yield part.assign(embedding=list(encoders[name](part[column].tolist())))

@@ -20,6 +20,8 @@ from factlake.functions.vectors import DISTANCE_DIGITS, cosine_distance
 from factlake.operators.scale import top_n_per_group
 
 BLOCK = 1024
+# Two distances that round to the same number differ by less than this.
+ROUNDING = 2 * 10.0**-DISTANCE_DIGITS
 # A broadcast query matrix and one side of a shuffled cell stay below this.
 MAX_MATRIX_BYTES = 64 << 20
 PAIRS = "query_id long, vec_id long, label int, distance double"
@@ -45,8 +47,13 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column, dtype=np.int64)
 
 
+def _kth_largest(values: np.ndarray, k: int) -> np.ndarray:
+    return np.partition(values, -k, axis=1)[:, -k]
+
+
 class _Best:
-    """The k nearest rows seen so far for every query of a matrix."""
+    """The k nearest rows seen so far for every query of a matrix. Only pairs
+    that can still be among them are rounded, compared and kept."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, own: np.ndarray | None, k: int):
         self.ids, self.matrix, self.own, self.k = ids, matrix, own, k
@@ -64,35 +71,48 @@ class _Best:
             some = slice(c, c + BLOCK)
             own_some = None if own is None else own[some]
             for q in range(0, len(self.ids), BLOCK):
-                self._offer(q, vec[some], label[some], rows[some], own_some)
-
-    def _offer(self, at, vec, label, rows, own) -> None:
-        part = slice(at, at + BLOCK)
-        d = np.round(1.0 - self.matrix[part] @ rows.T, DISTANCE_DIGITS)
+                near = self._near(slice(q, q + BLOCK), rows[some], own_some)
+                if len(near[0]):
+                    self._merge(q, near, vec[some], label[some], own_some)
+
+    def _near(self, part: slice, rows: np.ndarray, own: np.ndarray | None):
+        """Query, row and distance of the pairs of a block that may be among
+        the best."""
+        similar = self.matrix[part] @ rows.T
+        limit = self.limit[part, None]
+        near = similar >= 1.0 - limit - ROUNDING
+        unknown = np.isnan(similar[:, 0]).any() or np.isnan(similar[0]).any()
+        if unknown:
+            near |= np.isnan(similar) & np.isinf(limit)
+        if near.sum(axis=1).max() > 4 * self.k and near.shape[1] > self.k:
+            if own is not None:
+                near &= self.own[part, None] != own
+            kth = _kth_largest(np.where(near & ~np.isnan(similar), similar, -np.inf), self.k)
+            enough = np.isfinite(kth)
+            near[enough] &= similar[enough] >= kth[enough, None] - ROUNDING
+        q, c = np.nonzero(near)
+        d = np.round(1.0 - similar[q, c], DISTANCE_DIGITS)
         d[np.isnan(d)] = np.inf
-        limit, limit_id = self.limit[part, None], self.limit_id[part, None]
-        near = (d < limit) | ((d == limit) & (vec < limit_id))
+        return q, c, d
+
+    def _merge(self, at, near, vec, label, own) -> None:
+        q, c, d = near
+        limit, limit_id = self.limit[at + q], self.limit_id[at + q]
+        better = (d < limit) | ((d == limit) & (vec[c] < limit_id))
         if own is not None:
-            near &= self.own[part, None] != own
-        counts = near.sum(axis=1)
-        if counts.max(initial=0) > 4 * self.k:
-            kth = np.partition(np.where(near, d, np.inf), self.k - 1, axis=1)[:, self.k - 1]
-            near &= d <= kth[:, None]
-        q, c = np.nonzero(near)
+            better &= self.own[at + q] != own[c]
+        q, c, d = q[better] + at, c[better], d[better]
         if len(q) == 0:
             return
-        touched = np.unique(q + at)
-        kept = np.isin(self.query, touched)
-        query = np.concatenate([self.query[kept], q + at])
+        kept = np.isin(self.query, q)
+        query = np.concatenate([self.query[kept], q])
         ids = np.concatenate([self.vec[kept], vec[c]])
         labels = np.concatenate([self.label[kept], label[c]])
-        distance = np.concatenate([self.distance[kept], d[q, c]])
+        distance = np.concatenate([self.distance[kept], d])
         order = np.lexsort((ids, distance, query))
         query, ids, labels, distance = query[order], ids[order], labels[order], distance[order]
-        first = np.searchsorted(query, query)
-        place = np.arange(len(query)) - first
-        best = place < self.k
-        full = place == self.k - 1
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        best, full = place < self.k, place == self.k - 1
         self.limit[query[full]] = distance[full]
         self.limit_id[query[full]] = ids[full]
         self.query = np.concatenate([self.query[~kept], query[best]])
@@ -129,11 +149,10 @@ def _dim(df: DataFrame) -> int:
 
 
 def slim(df: DataFrame, key: str, own: bool, *more: str) -> DataFrame:
-    embedding = F.col("embedding").cast("array<double>").alias("embedding")
     extra = [F.col("source_index").cast("long")] if own else []
     if key == "vec_id" and "label" in df.columns:
         extra.append(F.col("label").cast("int"))
-    return df.select(F.col(key).cast("long"), embedding, *extra, *more)
+    return df.select(F.col(key).cast("long"), "embedding", *extra, *more)
 
 
 def _against_broadcast(queries: pa.Table, corpus: DataFrame, k: int, dim: int) -> DataFrame:
@@ -193,15 +212,19 @@ def cut_lists(
 
 
 def best_in_cells(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
-    """Top-k per query within each cell of two cut sides."""
+    """Top-k per query within each cell of two cut sides. The query columns
+    travel as one struct: both sides often come from the same table, and a
+    cogroup mixes up columns that its sides share."""
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        q = pa.Table.from_struct_array(q["q"])
         best = _Best(_ids(q["query_id"]), unit_matrix(q["embedding"], dim), _own(q), k)
         if len(q) and len(c):
             best.offer(c)
         return pa.table(best.table())
 
-    left, right = queries.groupBy(*CELL), corpus.groupBy(*CELL)
+    packed = F.struct(*[c for c in queries.columns if c not in CELL]).alias("q")
+    left, right = queries.select(*CELL, packed).groupBy(*CELL), corpus.groupBy(*CELL)
     return left.cogroup(right).applyInArrow(search, PAIRS)
 
 

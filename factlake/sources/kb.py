@@ -46,6 +46,12 @@ def read_kb(
     return kb
 
 
+def with_vec_id(kb: DataFrame) -> DataFrame:
+    """Adds the id that the search needs; unique within one model and chunking
+    as long as a document has fewer than 2^20 chunks."""
+    return kb.withColumn("vec_id", F.shiftleft("source_index", 20) + F.col("chunk_no"))
+
+
 def snapshot_kb(kb: DataFrame, root: str, snapshot: str | None = None) -> str:
     """Copies the knowledge base to a timestamped folder."""
     name = snapshot or kb.sparkSession.range(1).select(snapshot_id()).first()[0]

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from factlake.functions.encoders import hashing_encoder
 from factlake.operators import kb as state
 from factlake.operators.chunking import backfill_full
-from factlake.plans import index
+from factlake.operators.scoring import embed
+from factlake.plans import index, verify
 from factlake.schemas import NEWS
+from factlake.settings import Settings
 from factlake.sources import files
 from factlake.sources import kb as store
 from factlake.sources import news as src
@@ -107,6 +109,21 @@ def test_scan_prunes_folders(spark, news, tmp_path):
     assert "ReadSchema: struct<source_index:bigint>" in plan
 
 
+def test_indexed_articles_find_themselves(spark, news, tmp_path):
+    """From articles to a verdict, through the stored knowledge base."""
+    path = str(tmp_path / "kb")
+    index.build_kb(news, path, ENCODERS)
+    for chunking in ("CHUNK-A", "CHUNK-B"):
+        kb = store.with_vec_id(store.read_kb(spark, path, "EMB-A", chunking))
+        assert kb.select("vec_id").distinct().count() == kb.count()
+        asked = kb.filter("chunk_no = 0").select(F.col("source_index").alias("query_id"), F.col("content").alias("news"))
+        queries = embed(asked, hashing_encoder(0), column="news")
+        out = verify.verify(queries, kb, Settings(top_k=1)).filter("size(docs) = 1")
+        near = out.select("query_id", F.col("docs")[0]["distance"].alias("d"))
+        assert near.filter("d is not null and d > 1e-6").count() == 0
+        assert out.count() == asked.count()
+
+
 def test_stream_equals_batch(spark, news, clean, tmp_path):
     arrivals, path = str(tmp_path / "in"), str(tmp_path / "kb")
     news.filter("source_index < 12").repartition(3).write.parquet(arrivals)

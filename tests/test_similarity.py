@@ -70,6 +70,21 @@ def test_copies_fill_many_blocks(spark):
     assert rows(got) == brute(queries, corpus, 5)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_both_sides_from_one_table(spark, kind):
+    data = points(50, 5, 13)
+    kb = frame(spark, data, "vec_id").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    whole = similarity.similarity_join(kb.withColumn("query_id", F.col("vec_id")), kb, 3, True)
+    cells = similarity.similarity_join(kb.withColumn("query_id", F.col("vec_id")), kb, 3, True, 8 * 5 * 9)
+    assert rows(whole) == rows(cells)
+    if kind == "double":
+        assert rows(cells) == brute(data, data, 3, own=True)
+    centroids = ivf.train_ivf(kb, 5)
+    stored = ivf.assign_lists(kb, centroids)
+    found = ivf.ivf_search(stored.withColumn("query_id", F.col("vec_id")), stored, centroids, 5, 3, True, 8 * 5 * 9)
+    assert rows(found) == rows(whole)
+
+
 def test_search_one(spark):
     corpus = points(40, 5, 6, copies=4)
     found = similarity.search(frame(spark, corpus, "vec_id"), corpus[0][1], 6).collect()
