@@ -54,7 +54,7 @@ def skew_join(
     right: DataFrame,
     on: str,
     spread_by: str,
-    rows_per_split: int = ROWS_PER_SPLIT,
+    rows_per_split: int | None = None,
 ) -> DataFrame:
     """Inner join of `left` (any key may be hot) with `right` (unique keys).
 
@@ -62,6 +62,7 @@ def skew_join(
     `rows_per_split` is cut into that many pieces, and only its `right` row is
     repeated; the table of such keys has at most rows / rows_per_split rows.
     """
+    rows_per_split = rows_per_split or ROWS_PER_SPLIT
     hot = (
         left.groupBy(on)
         .count()

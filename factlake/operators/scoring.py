@@ -5,7 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,8 @@ from pyspark.sql import types as T
 
 from factlake.functions.text import tally
 from factlake.functions.verdict import encode_verdict, parse_verdict
-from factlake.operators.scale import lookup_join
+from factlake.operators.scale import has_at_most, lookup_join
+from factlake.operators.similarity import MAX_MATRIX_BYTES
 
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 Scorer = Callable[[dict], str]
@@ -136,8 +140,40 @@ def vote_verdict(neighbours: DataFrame, max_distance: float = 1.0) -> DataFrame:
 
 def embed_mean(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id") -> DataFrame:
     """Mean word vector per document from (key, `words` array); words without a
-    vector count as zeros. Words are counted inside their document's row, and
-    only one vector sum per document is shuffled."""
+    vector count as zeros. A vector table small enough (it is counted) is
+    broadcast, and no row leaves its place; a larger one is joined."""
+    if has_at_most(vectors, MAX_MATRIX_BYTES // (8 * dim)):
+        return docs.select(key, _pool(vectors, dim)(F.col("words")).alias("vector"))
+    return _joined_mean(docs, vectors, dim, key)
+
+
+def _pool(vectors: DataFrame, dim: int) -> Callable[[Column], Column]:
+    """Column function: mean of the vectors of an array of words."""
+    table = vectors.select("word", F.col("vector").cast("array<double>")).toArrow()
+    numbers = np.asarray(table["vector"].combine_chunks().flatten()).reshape(-1, dim)
+    known_words = table["word"].combine_chunks()
+    shared = vectors.sparkSession.sparkContext.broadcast((known_words, numbers))
+
+    @F.arrow_udf("array<double>")
+    def pool(lists: pa.Array) -> pa.Array:
+        known_words, numbers = shared.value
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+        found = pc.index_in(lists.flatten(), value_set=known_words)
+        row = np.repeat(np.arange(len(lists)), lengths)[np.asarray(found.is_valid())]
+        at = np.asarray(found.drop_null())
+        means = np.empty((len(lists), dim))
+        for j in range(dim):
+            means[:, j] = np.bincount(row, numbers[at, j], minlength=len(lists))
+        means /= np.maximum(lengths, 1)[:, None]
+        ends = np.arange(len(lists) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(means.ravel()))
+
+    return pool
+
+
+def _joined_mean(docs: DataFrame, vectors: DataFrame, dim: int, key: str) -> DataFrame:
+    """Words are counted inside their document's row, and only one vector sum
+    per document is shuffled."""
     counted = docs.select(key, F.explode(tally(F.col("words"))).alias("t")).select(
         key, F.col("t.item").alias("word"), F.col("t.n").alias("n")
     )

@@ -136,7 +136,9 @@ LEFT JOIN (
 def mean_word_vectors(spark, sf):
     docs = _docs(spark, sf).select("doc_id", words(head_chars(F.col("content"))).alias("words"))
     means = embed_mean(docs, word_vectors(_words(spark, sf)), VECTOR_DIM)
-    long = means.select("doc_id", F.posexplode("vector").alias("dim", "value"))
+    # Not posexplode: its inferred filter would be pushed down and work out
+    # every vector a second time.
+    long = means.select("doc_id", F.posexplode_outer("vector").alias("dim", "value"))
     return long.withColumn("value", F.round("value", 6))
 
 
@@ -180,7 +182,7 @@ def tfidf_components(spark, sf):
     model = fit_pca(vectors, "tfidf", ft.TFIDF_DIMS)
     scores = model.transform(vectors, "tfidf", "scores")
     return (
-        scores.select(F.posexplode("scores").alias("component", "x"))
+        scores.select(F.posexplode_outer("scores").alias("component", "x"))
         .groupBy("component")
         .agg(F.round(F.var_samp("x"), 6).alias("variance"))
     )

@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from factlake.operators import features as ft
+from factlake.operators import scale, scoring
 from factlake.operators.forest import feature_importances
 from factlake.operators.pca import fit_pca
 from factlake.operators.scoring import embed_mean
@@ -101,7 +102,9 @@ def test_emotions_count_all_affects(spark):
     assert all(got[i][e] == 0.0 for i in (2, 3) for e in ft.EMOTIONS)
 
 
-def test_mean_vectors_count_unknown_words_as_zeros(spark):
+@pytest.mark.parametrize("limit", [10**9, 8])
+def test_mean_vectors_count_unknown_words_as_zeros(spark, monkeypatch, limit):
+    monkeypatch.setattr(scoring, "MAX_MATRIX_BYTES", limit)
     docs = spark.createDataFrame([(1, ["a", "b", "a", "x"]), (2, ["x"]), (3, [])], "doc_id long, words array<string>")
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 4.0])], "word string, vector array<double>")
     got = {r["doc_id"]: r["vector"] for r in embed_mean(docs, vectors, 2).collect()}
@@ -151,9 +154,9 @@ def test_components_against_dense_decomposition(spark, sparse):
 
 def test_hot_word_is_split(spark, monkeypatch):
     """A third of all tokens is one word and the vectors may not be broadcast."""
-    from factlake.operators import scale
-
+    monkeypatch.setattr(scoring, "has_at_most", lambda df, rows: False)
     monkeypatch.setattr(scale, "has_at_most", lambda df, rows: False)
+    monkeypatch.setattr(scale, "ROWS_PER_SPLIT", 50)
     docs = spark.range(300).select(
         F.col("id").alias("doc_id"),
         F.array(F.lit("hot"), F.concat(F.lit("w"), F.col("id") % 50), F.lit("none")).alias("words"),
