@@ -30,7 +30,7 @@ from factlake.llm.texts import UnitTable, fields, ragged, sum_by, text_chunks
 NONE = np.iinfo(np.int64).max
 # Fixed value: white space as the tokenizer's pattern engine sees it (the
 # Python engines also count U+001C to U+001F).
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the pattern that byte-level vocabularies split text by.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
