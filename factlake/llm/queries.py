@@ -9,13 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
+from factlake.llm.token_files import digest, token_path, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 1024
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +33,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_path(spark)
+    write_tokens(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, END_ID)
+    return digest(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op6_piece_codec": op6_piece_codec,
+    "op7_token_files": op7_token_files,
 }
 
 SQL: dict[str, str] = {}
