@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
@@ -43,10 +44,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, path)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op6_piece_codec": op6_piece_codec,
     "op7_token_files": op7_token_files,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {}
