@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm.language_id import held_out, identify, learn_profiles, learned_from
 from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
+from factlake.llm.quality_rules import judge, learn_rules, measure
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
 from factlake.llm.token_files import digest, token_path, write_tokens
@@ -34,6 +36,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(documents.filter(learned_from()))
+    found = identify(documents, profiles)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = measure(table(spark, sf_dir, "documents"))
+    rules = learn_rules(measured, table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judge(measured, rules).select("doc_id", *counts, "base_failed", "kept")
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -50,6 +66,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
+    "op3_quality_rules": op3_quality_rules,
     "op6_piece_codec": op6_piece_codec,
     "op7_token_files": op7_token_files,
     "op10_simhash": op10_simhash,
