@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm.decontaminate import find_leaks
 from factlake.llm.language_id import held_out, identify, learn_profiles, learned_from
 from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.quality_rules import judge, learn_rules, measure
+from factlake.llm.sharding import assign_shards, shards_sql
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
 from factlake.llm.token_files import digest, token_path, write_tokens
@@ -24,6 +26,7 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 1024
 END_ID = 2
+SHARD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +63,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, path)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
+    assigned = assign_shards(sized, F.col("n_bytes"), SHARD_BYTES)
+    return assigned.select("doc_id", "n_bytes", "depth", "shard")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,7 +83,11 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_piece_codec": op6_piece_codec,
     "op7_token_files": op7_token_files,
+    "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_sharding": shards_sql(SHARD_BYTES),
+}
