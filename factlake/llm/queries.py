@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factlake.llm.decontaminate import find_leaks
 from factlake.llm.language_id import held_out, identify, learn_profiles, learned_from
+from factlake.llm.line_dedup import dedup_report
 from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.quality_rules import judge, learn_rules, measure
@@ -53,6 +54,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(measured, rules).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_piece_codec": op6_piece_codec,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
