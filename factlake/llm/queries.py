@@ -15,6 +15,7 @@ from factlake.llm.line_dedup import dedup_report
 from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.quality_rules import judge, learn_rules, measure
+from factlake.llm.quotes import reply_order
 from factlake.llm.sharding import assign_shards, shards_sql
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
@@ -54,6 +55,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(measured, rules).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quotation_links": op4_quotation_links,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_codec": op6_piece_codec,
     "op7_token_files": op7_token_files,
