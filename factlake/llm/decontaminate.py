@@ -218,52 +218,86 @@ def find_leaks(
     text and every item that it leaks; of several passages the best."""
     spark = df.sparkSession
     kind = dict(benchmark.dtypes)[item_key]
+    names = [key, item_key, "score", "question_overlap", "answer_overlap"]
     out = f"{fields(df, [key])}, `{item_key}` {kind}, score double, "
     out += "question_overlap double, answer_overlap double"
-    whole = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    given = df.select(key, whole)
+    given = df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     result: DataFrame | None = None
-    groups: list[list[Index]] = []
-    room = 0
-    for group in item_groups(benchmark, item_key, item_text, group_words):
-        size = sum(len(t) for _, t in group)
-        if not groups or room + size > 8 * group_words:
-            groups.append([])
-            room = 0
-        groups[-1].append(Index(group, threshold))
-        room += size
-    for group in groups:
-        part = given.mapInArrow(_searcher(spark.sparkContext.broadcast(group), overlap, out_names(key, item_key)), out)
+    for shared in _indexes(benchmark, item_key, item_text, threshold, group_words):
+        part = given.mapInArrow(_reporter(shared, overlap, names), out)
         result = part if result is None else result.unionByName(part)
     return result if result is not None else spark.createDataFrame([], out)
 
 
-def out_names(key: str, item_key: str) -> list[str]:
-    return [key, item_key, "score", "question_overlap", "answer_overlap"]
+def drop_leaks(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    threshold: float = THRESHOLD,
+    overlap: float = OVERLAP,
+    group_words: int = GROUP_WORDS,
+) -> DataFrame:
+    """Rows of `df`, unchanged, whose text leaks no item."""
+
+    def filtered(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in text_chunks(batches, text, 2_000_000):
+                keep = np.ones(len(texts), bool)
+                keep[[of for of, _, _ in leaks(shared.value, texts, overlap)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for shared in _indexes(benchmark, item_key, item_text, threshold, group_words):
+        df = df.mapInArrow(filtered(shared), df.schema)
+    return df
 
 
-def _searcher(shared, least: float, names: list[str]):
+def _indexes(benchmark: DataFrame, key: str, text: str, threshold: float, group_words: int):
+    """Broadcasts of indexes; together they hold all items. One is closed when
+    its groups have 8 * `group_words` words."""
+    open_: list[Index] = []
+    room = 0
+    for group in item_groups(benchmark, key, text, group_words):
+        size = sum(len(terms(t)) for _, t in group)
+        if open_ and room + size > 8 * group_words:
+            yield benchmark.sparkSession.sparkContext.broadcast(open_)
+            open_, room = [], 0
+        open_.append(Index(group, threshold))
+        room += size
+    if open_:
+        yield benchmark.sparkSession.sparkContext.broadcast(open_)
+
+
+def leaks(indexes: list[Index], texts: list[str], least: float) -> dict[tuple, tuple]:
+    """(text, index, item) to (score, question overlap, answer overlap)."""
+    words = [terms(t) for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    best: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+    for g, index in enumerate(indexes):
+        get = index.at.get
+        found = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, counts.sum())
+        for of, start, item, score in zip(*(x.tolist() for x in index.search(found, counts))):
+            passage = words[of][start : start + 2 * index.half]
+            question, answer = index.overlap(passage, item)
+            if question >= least and answer >= least:
+                row = (round(min(score, 1.0), 6), question, answer)
+                best[of, g, item] = max(row, best.get((of, g, item), row))
+    return best
+
+
+def _reporter(shared, least: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "_text", 2_000_000):
-            words = [terms(t) for t in texts]
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            best: dict[tuple[int, int], tuple] = {}
-            ids: list = []
-            for g, index in enumerate(shared.value):
-                get = index.at.get
-                found = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, counts.sum())
-                for of, start, item, score in zip(*(x.tolist() for x in index.search(found, counts))):
-                    passage = words[of][start : start + 2 * index.half]
-                    question, answer = index.overlap(passage, item)
-                    if question >= least and answer >= least:
-                        row = (round(min(score, 1.0), 6), question, answer)
-                        best[of, g, item] = max(row, best.get((of, g, item), row))
-            if best:
-                rows = sorted(best.items())
-                who = pa.array([of for (of, _, _), _ in rows], pa.int64())
-                ids = [shared.value[g].ids[item] for (_, g, item), _ in rows]
-                columns = [batch.column(0).take(who), pa.array(ids)]
-                columns += [pa.array([v[k] for _, v in rows], pa.float64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows = sorted(leaks(shared.value, texts, least).items())
+            if not rows:
+                continue
+            who = pa.array([of for (of, _, _), _ in rows], pa.int64())
+            ids = [shared.value[g].ids[item] for (_, g, item), _ in rows]
+            columns = [batch.column(0).take(who), pa.array(ids)]
+            columns += [pa.array([v[k] for _, v in rows], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run

@@ -35,6 +35,8 @@ PROFILE = 500
 MAX_LABELS = 2_000
 HELD_GRAMS = 1_000_000
 UNKNOWN = "und"
+# Below this score a text has next to nothing in common with any language.
+MIN_SCORE = 0.2
 
 
 @lru_cache(1)
@@ -140,23 +142,32 @@ class Nearest:
         return self.names[best], 1.0 - float(distance[best]) / (len(own) * self.size)
 
 
+def _shared(profiles: DataFrame):
+    """The profiles as a broadcast: label to n-grams in rank order."""
+    if profiles.select("label").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
+    found = profiles.toPandas().sort_values(["label", "rank"])
+    by_label = {name: rows["gram"].to_numpy(np.int64) for name, rows in found.groupby("label")}
+    return profiles.sparkSession.sparkContext.broadcast(by_label)
+
+
+def _predictions(shared, size: int, texts: list[str]) -> list[tuple[str, float]]:
+    if not shared.value:
+        return [(UNKNOWN, 0.0)] * len(texts)
+    nearest = Nearest(shared.value, size)
+    return [nearest.predict(t) for t in texts]
+
+
 def identify(
     df: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text", size: int = PROFILE
 ) -> DataFrame:
     """`key`, lang_pred and score (1: the very profile, 0: nothing in common)
     of every row."""
-    spark = df.sparkSession
-    labels = profiles.select("label").distinct().limit(MAX_LABELS + 1).count()
-    if labels > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
-    found = profiles.toPandas().sort_values(["label", "rank"])
-    by_label = {name: rows["gram"].to_numpy(np.int64) for name, rows in found.groupby("label")}
-    shared = spark.sparkContext.broadcast(by_label)
+    shared = _shared(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest = Nearest(shared.value, size) if shared.value else None
         for batch, texts in text_chunks(batches, "_text"):
-            said = [nearest.predict(t) if nearest else (UNKNOWN, 0.0) for t in texts]
+            said = _predictions(shared, size, texts)
             names, scores = [n for n, _ in said], [s for _, s in said]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -168,6 +179,25 @@ def identify(
     return df.select(key, whole).mapInArrow(run, out)
 
 
+def keep_identified(
+    df: DataFrame,
+    profiles: DataFrame,
+    text: str = "text",
+    size: int = PROFILE,
+    min_score: float = MIN_SCORE,
+) -> DataFrame:
+    """Rows of `df`, unchanged, whose text is in a known language: not `und`,
+    and with a score of at least `min_score`."""
+    shared = _shared(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, text):
+            said = _predictions(shared, size, texts)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in said]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def learned_from(key: str = "doc_id"):
     """Rows that profiles are learned from: crc32 of the key's text mod 3 is
     not 1. A null key is neither learned from nor held out."""

@@ -42,6 +42,7 @@ SHINGLE = 4
 RADIUS = 4
 BITS = 64
 BLOCK = 8192
+BROADCAST_KEYS = 500_000
 
 
 # ---- fingerprints -----------------------------------------------------------
@@ -290,3 +291,22 @@ def near_duplicates(
         named = named.unionByName(unknown.withColumn("component_id", F.lit(None).cast(kind)))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return named.select(key, digits.alias("fingerprint"), "component_id")
+
+
+def keep_first(
+    df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS
+) -> DataFrame:
+    """Rows of `df`, unchanged, one document of each component: the one with
+    the smallest key. Of several rows of one key one stays; rows without a key
+    all stay."""
+    found = materialize(near_duplicates(df, key, text, radius), "components")
+    known = found.filter(F.col(key).isNotNull())
+    later = known.filter(F.col("component_id") != F.col(key)).select(key).distinct()
+    if has_at_most(later, BROADCAST_KEYS):
+        later = F.broadcast(later)
+    kept = df.join(later, key, "left_anti").select(*df.columns)
+    repeated = known.groupBy(key).count().filter("count > 1").select(key)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
+    return kept.join(repeated, key, "left_anti").select(*df.columns).unionByName(once.select(*df.columns))

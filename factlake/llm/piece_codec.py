@@ -288,24 +288,31 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def encode_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, n_pieces, piece_ids and round_trip (is the decoded text the
-    text?) of every row."""
-    out = f"{fields(df, [key])}, n_pieces bigint, piece_ids array<int>, round_trip boolean"
+PIECES = ["n_pieces", "piece_ids", "round_trip"]
+
+
+def add_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """All columns of `df` with n_pieces, piece_ids and round_trip (is the
+    decoded text the text?); columns of these names are replaced."""
+    kept = df.select(*[c for c in df.columns if c not in PIECES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "_text", 2_000_000):
             ids, counts = codec(path).encode(texts)
             same = [a == b for a, b in zip(codec(path).decode(ids, counts), texts)]
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts),
-                 pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(same)],
-                names=[key, "n_pieces", "piece_ids", "round_trip"],
-            )
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+            columns = [*batch.columns[:-1], pa.array(counts), lists, pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *PIECES])
 
+    out = f"{fields(kept, kept.columns)}, n_pieces bigint, piece_ids array<int>, round_trip boolean"
     whole = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    return df.select(key, whole).mapInArrow(run, out)
+    return kept.select("*", whole).mapInArrow(run, out)
+
+
+def encode_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, n_pieces, piece_ids and round_trip of every row."""
+    return add_pieces(df.select(key, text), path, text).drop(text)
 
 
 def decode_pieces(df: DataFrame, path: str, key: str = "doc_id", ids: str = "piece_ids") -> DataFrame:
