@@ -35,6 +35,7 @@ PROFILE = 500
 MAX_LABELS = 2_000
 HELD_GRAMS = 1_000_000
 UNKNOWN = "und"
+EDGE = 1
 # Below this score a text has next to nothing in common with any language.
 MIN_SCORE = 0.2
 
@@ -46,18 +47,20 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """The n-grams of a text as numbers, repeats included. 0 marks the border
-    of a word."""
+    """The n-grams of a text as numbers, repeats included: their code points,
+    21 bits each. EDGE stands before and behind each word."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    line = np.zeros(len(points) + 2, np.int64)
-    line[1:-1] = np.where(letters()[points], points, 0)
-    keep = np.ones(len(line), bool)
-    keep[1:] = (line[1:] != 0) | (line[:-1] != 0)
-    s = line[keep]
-    if not s.any():
+    line = np.full(len(points) + 2, EDGE, np.int64)
+    line[1:-1] = np.where(letters()[points], points, EDGE)
+    inner = line != EDGE
+    keep = inner.copy()
+    keep[0] = True
+    keep[1:] |= inner[:-1]
+    s, inner = line[keep], inner[keep]
+    if not inner.any():
         return np.zeros(0, np.int64)
-    three = (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[s[1:-1] != 0]
-    return np.concatenate([s[s != 0], s[:-1] << 21 | s[1:], three])
+    three = (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[inner[1:-1]]
+    return np.concatenate([s[inner], s[:-1] << 21 | s[1:], three])
 
 
 def profile(text: str, size: int = PROFILE) -> np.ndarray:

@@ -41,9 +41,11 @@ def assign_shards(df: DataFrame, size: Column, limit: int, key: str = "doc_id")
     depth (its length). Columns of these names are replaced."""
     row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
     code = F.shiftleft(key_hash(F.col(key)), ROW_BITS).bitwiseOR(row)
-    rows = df.withColumns({"n_bytes": F.coalesce(size.cast("bigint"), F.lit(0)), "_code": code})
-    rows = materialize(rows.drop("shard", "depth"), "shard-rows")
-    return _extend(rows, limit)
+    own = [c for c in df.columns if c not in ("n_bytes", "shard", "depth")]
+    rows = df.select(
+        F.struct(*own).alias("_row"), F.coalesce(size.cast("bigint"), F.lit(0)).alias("n_bytes"), code.alias("_code")
+    )
+    return _extend(materialize(rows, "shard-rows"), limit).select("_row.*", "n_bytes", "depth", "shard")
 
 
 def _extend(rows: DataFrame, limit: int) -> DataFrame:
@@ -99,8 +101,10 @@ def _local_depths(prefixed: DataFrame, limit: int, first: int, last: int) -> Dat
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """One folder per shard; a shard's rows are written by one task."""
-    assigned.repartition("shard").write.partitionBy("shard").parquet(path)
+    """One folder per shard, `shard=s` and its digits (a reader would take
+    digits alone for a number); a shard's rows are written by one task."""
+    named = assigned.withColumn("shard", F.concat(F.lit("s"), "shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def shards_sql(limit: int, deepest: int = 20) -> str:
