@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,12 @@ from pyspark.sql import types as T
 
 from factlake.functions.text import tally
 from factlake.functions.verdict import encode_verdict, parse_verdict
-from factlake.operators.scale import has_at_most, lookup_join
+from factlake.operators.scale import has_at_most, lookup_join, materialize
 from factlake.operators.similarity import MAX_MATRIX_BYTES
 
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
-Scorer = Callable[[dict], str]
+# A request to its answer: JSON text, or that and what the model thought.
+Scorer = Callable[[dict], str | tuple[str, str | None]]
 
 
 def embed_variants(
@@ -52,36 +54,49 @@ def embed(df: DataFrame, encoder: Encoder, batch_size: int = 128, column: str =
     return embed_variants(only, {"only": encoder}, batch_size, column, "_model").drop("_model")
 
 
-def score(df: DataFrame, scorer: Scorer, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
-    """Adds `raw` (the model's JSON text), `latency_sec` and `call_error`. A
-    call that raises is reported in its row; the others go on."""
-    schema = T.StructType(
-        list(df.schema)
-        + [
-            T.StructField("raw", T.StringType()),
-            T.StructField("latency_sec", T.DoubleType()),
-            T.StructField("call_error", T.StringType()),
-        ]
-    )
+ANSWER = [
+    T.StructField("raw", T.StringType()),
+    T.StructField("thought", T.StringType()),
+    T.StructField("latency_sec", T.DoubleType()),
+    T.StructField("elapsed_sec", T.DoubleType()),
+    T.StructField("call_error", T.StringType()),
+]
+
 
-    def call(row: dict) -> tuple[str | None, float | None, str | None]:
+def score(
+    df: DataFrame,
+    scorer: Scorer,
+    clock: Callable[[], float] = time.perf_counter,
+    request: Sequence[str] | None = None,
+    concurrency: int = 4,
+) -> DataFrame:
+    """Adds `raw` (the model's JSON text), `thought`, `latency_sec` (of the
+    call), `elapsed_sec` (since the batch was asked for) and `call_error`. The
+    scorer gets the columns `request` (default: all) as a dict, and up to
+    `concurrency` calls of a task wait at the same time. A call that raises is
+    reported in its row; the others go on."""
+    names = list(request or df.columns)
+    started = time.time()
+
+    def call(row: dict) -> tuple:
         start = clock()
         try:
-            raw = scorer(row)
+            answer = scorer(row)
+            raw, thought = answer if isinstance(answer, tuple) else (answer, None)
         except Exception as e:  # reported per row, as one failed call must not end the job
-            return None, None, f"{type(e).__name__}: {e}"
-        return raw, clock() - start, None
+            return None, None, None, time.time() - started, f"{type(e).__name__}: {e}"
+        return raw, thought, clock() - start, time.time() - started, None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            calls = [call(row) for row in frame.to_dict("records")]
-            answers = pd.DataFrame(
-                calls, columns=["raw", "latency_sec", "call_error"], index=frame.index
-            )
-            answers["latency_sec"] = answers["latency_sec"].astype("float64")
-            yield pd.concat([frame, answers], axis=1)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for frame in frames:
+                calls = list(pool.map(call, frame[names].to_dict("records")))
+                answers = pd.DataFrame(calls, columns=[f.name for f in ANSWER], index=frame.index)
+                for name in ("latency_sec", "elapsed_sec"):
+                    answers[name] = answers[name].astype("float64")
+                yield pd.concat([frame, answers], axis=1)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, T.StructType([*df.schema, *ANSWER]))
 
 
 def parse_scores(scored: DataFrame) -> DataFrame:
@@ -138,11 +153,32 @@ def vote_verdict(neighbours: DataFrame, max_distance: float = 1.0) -> DataFrame:
     return voted.select("query_id", "v.*")
 
 
-def embed_mean(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id") -> DataFrame:
+def known_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """One vector of `dim` doubles per word. NULL words and vectors are left
+    out, a NULL number counts as 0, of several vectors of a word the smallest
+    (number by number) counts, and another length is an error."""
+    number = F.transform(
+        F.col("vector").cast("array<double>"), lambda x: F.coalesce(x, F.lit(0.0))
+    )
+    wrong = F.raise_error(F.lit(f"every word vector must have {dim} numbers"))
+    checked = F.when(F.size("vector") == dim, number).otherwise(wrong.cast("array<double>"))
+    usable = vectors.filter(F.col("word").isNotNull() & F.col("vector").isNotNull())
+    return usable.select("word", checked.alias("vector")).groupBy("word").agg(F.min("vector").alias("vector"))
+
+
+def embed_mean(
+    docs: DataFrame,
+    vectors: DataFrame,
+    dim: int,
+    key: str = "doc_id",
+    max_bytes: int = MAX_MATRIX_BYTES,
+) -> DataFrame:
     """Mean word vector per document from (key, `words` array); words without a
-    vector count as zeros. A vector table small enough (it is counted) is
-    broadcast, and no row leaves its place; a larger one is joined."""
-    if has_at_most(vectors, MAX_MATRIX_BYTES // (8 * dim)):
+    vector count as zeros. A vector table of at most `max_bytes` (it is
+    counted) is broadcast, and no row leaves its place; a larger one is joined.
+    Both see the same `known_vectors`."""
+    vectors = materialize(known_vectors(vectors, dim), "word-vectors")
+    if has_at_most(vectors, max_bytes // (8 * dim)):
         return docs.select(key, _pool(vectors, dim)(F.col("words")).alias("vector"))
     return _joined_mean(docs, vectors, dim, key)
 

@@ -12,14 +12,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.functions.prompt import build_context, context_budget, fill_prompt
+from factlake.functions.prompt import SYSTEM_PROMPT, build_context, context_budget, fill_prompt
 from factlake.operators.evaluate import (
     classification_metrics,
     mean_latency,
     round_metrics,
 )
 from factlake.operators.grid import pending_configs
-from factlake.operators.scale import materialize
+from factlake.operators.ivf import ListIndex
+from factlake.operators.scale import MAX_BROADCAST_ROWS, has_at_most, materialize
 from factlake.operators.scoring import (
     Scorer,
     collect_neighbours,
@@ -41,12 +42,16 @@ def retrieve_variants(
     k: int,
     exclude_own: bool = False,
     columns: Sequence[str] = (),
+    indexes: dict[Variant, ListIndex] | None = None,
 ) -> DataFrame:
     """embedding, chunking, query_id, docs for every variant; `queries` holds
-    the query vectors of each model."""
+    the query vectors of each model, which are written down once. A variant
+    with an index is searched by its lists."""
     parts = []
+    asked = {model: materialize(queries[model], "queries") for model in {m for m, _ in kbs}}
     for (embedding, chunking), kb in kbs.items():
-        found = nearest_documents(queries[embedding], kb, k, exclude_own, columns)
+        index = (indexes or {}).get((embedding, chunking))
+        found = nearest_documents(asked[embedding], kb, k, exclude_own, columns, index)
         parts.append(
             found.withColumns(
                 {"embedding": F.lit(embedding), "chunking": F.lit(chunking)}
@@ -56,10 +61,14 @@ def retrieve_variants(
     return collect_neighbours(every, ["embedding", "chunking", "query_id"])
 
 
+def _small(grid: DataFrame) -> DataFrame:
+    return F.broadcast(grid) if has_at_most(grid, MAX_BROADCAST_ROWS) else grid
+
+
 def with_configs(retrieved: DataFrame, grid: DataFrame) -> DataFrame:
     """Every configuration's share of the neighbours: the first k of its
-    variant. The grid is a handful of rows and the only side broadcast."""
-    return retrieved.join(F.broadcast(grid), ["embedding", "chunking"]).withColumn(
+    variant. The grid is broadcast if it is a small table, which is counted."""
+    return retrieved.join(_small(grid), ["embedding", "chunking"]).withColumn(
         "docs", F.slice("docs", 1, F.col("top_k"))
     )
 
@@ -97,10 +106,12 @@ def score_configs(
             context_budget(k, kind, F.lit(context_cap)).alias("num_ctx"),
             "temperature",
             "thinking",
+            F.lit(SYSTEM_PROMPT).alias("system"),
         )
     )
     # Written down, so that no call is paid for twice.
-    return parse_scores(materialize(score(request, scorer).drop("prompt"), "answers"))
+    answers = score(request, scorer).drop("prompt", "system")
+    return parse_scores(materialize(answers, "answers"))
 
 
 def summarise(predictions: DataFrame, truth: DataFrame, grid: DataFrame) -> DataFrame:
@@ -108,7 +119,7 @@ def summarise(predictions: DataFrame, truth: DataFrame, grid: DataFrame) -> Data
     rows = outcomes(truth.withColumnRenamed("doc_id", "query_id"), predictions, "query_id")
     latency = mean_latency().alias("latency_mean_sec")
     metrics = classification_metrics(rows, ["config_id"], also=[latency])
-    return round_metrics(metrics.join(F.broadcast(grid), "config_id"))
+    return round_metrics(metrics.join(_small(grid), "config_id"))
 
 
 def run_ablation(
@@ -123,15 +134,16 @@ def run_ablation(
     exclude_own: bool = False,
     max_k: int = 10,
     context_cap: int = 8192,
+    indexes: dict[Variant, ListIndex] | None = None,
 ) -> DataFrame:
     """Scores the configurations that `done` lacks; appends to the results at
     `path` when given. `truth` holds (doc_id, label) of the queries."""
     todo = grid if done is None else pending_configs(grid, done)
     if scorer is None:
-        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own)
+        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, indexes=indexes)
         predictions = vote_configs(retrieved, todo, max_distance)
     else:
-        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content",))
+        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content",), indexes)
         news = next(iter(queries.values())).select("query_id", "news")
         predictions = score_configs(retrieved, news, todo, scorer, context_cap)
     table = summarise(predictions, truth, todo)

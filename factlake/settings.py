@@ -12,6 +12,7 @@ class Settings:
     chunk_type: str = "full"
     top_k: int = 3
     temperature: float = 0.0
+    thinking: bool = True
     context_cap: int = 2048
     chunk_size: int = 256
     chunk_overlap: int = 64

@@ -14,6 +14,7 @@ from factlake.schemas import KB
 from factlake.sources.files import committed_folders
 
 VARIANT = ["embedding_model", "chunking"]
+CHUNK_BITS = 20
 
 
 def empty_kb(spark: SparkSession) -> DataFrame:
@@ -47,9 +48,13 @@ def read_kb(
 
 
 def with_vec_id(kb: DataFrame) -> DataFrame:
-    """Adds the id that the search needs; unique within one model and chunking
-    as long as a document has fewer than 2^20 chunks."""
-    return kb.withColumn("vec_id", F.shiftleft("source_index", 20) + F.col("chunk_no"))
+    """Adds the id that the search needs, unique within one model and chunking.
+    A document with 2^20 chunks or more is an error, as its ids would run into
+    the next document's."""
+    many = F.raise_error(F.lit(f"a document has more than {1 << CHUNK_BITS} chunks")).cast("long")
+    vec_id = F.shiftleft("source_index", CHUNK_BITS) + F.col("chunk_no")
+    fits = F.col("chunk_no") < (1 << CHUNK_BITS)
+    return kb.withColumn("vec_id", F.when(fits, vec_id).otherwise(many))
 
 
 def snapshot_kb(kb: DataFrame, root: str, snapshot: str | None = None) -> str:

@@ -16,7 +16,7 @@ def audit_rows(verified: DataFrame) -> DataFrame:
         F.col("news").alias("news_content"),
         docs_json(F.col("docs")).alias("retrieved_docs"),
         full_prompt(F.col("prompt")).alias("prompt"),
-        F.col("reasoning").alias("llm_reasoning"),
+        F.col("thinking").alias("llm_reasoning"),
         F.col("verdict").alias("label"),
         F.col("confidence").cast("double").alias("confidence"),
         F.current_timestamp().alias("created_at"),

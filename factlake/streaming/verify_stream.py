@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from factlake.operators.ivf import ListIndex
 from factlake.operators.scoring import Encoder, Scorer, embed
 from factlake.plans.verify import verify
 from factlake.settings import Settings
@@ -19,13 +20,14 @@ def verify_stream(
     log_path: str,
     checkpoint: str,
     scorer: Scorer | None = None,
+    index: ListIndex | None = None,
 ) -> StreamingQuery:
     """Verifies (query_id, news) rows that have arrived and logs the verdicts,
     one replaceable folder per batch."""
 
     def run(batch: DataFrame, number: int) -> None:
         queries = embed(batch, encoder, column="news")
-        verified = verify(queries, kb, settings, scorer)
+        verified = verify(queries, kb, settings, scorer, index=index)
         log_verifications(verified, f"{log_path}/batch={number}", mode="overwrite")
 
     return (

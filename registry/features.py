@@ -68,9 +68,9 @@ def vocabulary(spark, sf):
     return ft.vocabulary(_docs(spark, sf))
 
 
-@query(with_(DOCS) + "SELECT term, total, df, n_docs FROM vocab ORDER BY total DESC, term LIMIT 500")
+@query(with_(DOCS) + "SELECT term, total, df, n_docs FROM vocab ORDER BY total DESC, term LIMIT 10000")
 def top_terms(spark, sf):
-    return ft.top_terms(ft.vocabulary(_docs(spark, sf)), 500)
+    return ft.top_terms(ft.vocabulary(_docs(spark, sf)))
 
 
 TOP = "top AS (SELECT *, ln((1 + n_docs) / (1 + df)) + 1 AS idf FROM vocab ORDER BY total DESC, term LIMIT 10000)"
@@ -135,13 +135,48 @@ LEFT JOIN (
 )
 def mean_word_vectors(spark, sf):
     docs = _docs(spark, sf).select("doc_id", words(head_chars(F.col("content"))).alias("words"))
-    means = embed_mean(docs, word_vectors(_words(spark, sf)), VECTOR_DIM)
+    return _long_means(embed_mean(docs, word_vectors(_words(spark, sf)), VECTOR_DIM))
+
+
+def _long_means(means):
     # Not posexplode: its inferred filter would be pushed down and work out
     # every vector a second time.
     long = means.select("doc_id", F.posexplode_outer("vector").alias("dim", "value"))
     return long.withColumn("value", F.round("value", 6))
 
 
+@query(SQL["mean_word_vectors"])
+def mean_word_vectors_joined(spark, sf):
+    """The same as for a vector table that is too large to broadcast."""
+    docs = _docs(spark, sf).select("doc_id", words(head_chars(F.col("content"))).alias("words"))
+    return _long_means(embed_mean(docs, word_vectors(_words(spark, sf)), VECTOR_DIM, max_bytes=0))
+
+
+GAPS_SQL = SQL["mean_word_vectors"].replace(
+    "JOIN vectors v USING (word)", "JOIN (SELECT * FROM vectors WHERE length(word) % 3 <> 0) v USING (word)"
+)
+
+
+def _gappy(vectors):
+    """A third of the words with a NULL vector, all others twice."""
+    holed = vectors.withColumn("vector", F.when(F.length("word") % 3 != 0, F.col("vector")))
+    return holed.unionByName(holed)
+
+
+@query(GAPS_SQL)
+def mean_word_vectors_gaps(spark, sf):
+    """Words with NULL or repeated vectors, broadcast."""
+    docs = _docs(spark, sf).select("doc_id", words(head_chars(F.col("content"))).alias("words"))
+    return _long_means(embed_mean(docs, _gappy(word_vectors(_words(spark, sf))), VECTOR_DIM))
+
+
+@query(GAPS_SQL)
+def mean_word_vectors_gaps_joined(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", words(head_chars(F.col("content"))).alias("words"))
+    vectors = _gappy(word_vectors(_words(spark, sf)))
+    return _long_means(embed_mean(docs, vectors, VECTOR_DIM, max_bytes=0))
+
+
 @query(
     with_(DOCS, WORDS, lexicon_sql("words"))
     + """SELECT word, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(affects) AS BIGINT) AS affects

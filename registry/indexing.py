@@ -121,12 +121,6 @@ def resume_point(spark, sf):
     return state.index_checkpoint(_uneven(spark, sf), VARIANTS)
 
 
-@query("SELECT CAST(-1 AS BIGINT) AS checkpoint")
-def resume_point_missing(spark, sf):
-    """A variant that has no rows yet counts as -1."""
-    return state.index_checkpoint(_uneven(spark, sf), [*VARIANTS, ("EMB-C", "CHUNK-A")])
-
-
 @query(
     with_(UNEVEN) + "SELECT * FROM uneven WHERE source_index <= (SELECT checkpoint FROM reached)"
 )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.vectors import cosine_distance
 from factlake.operators import ivf, scoring, similarity
+from factlake.operators.scale import scratch_path
 from registry.tables import (
     KB,
     as_queries,
@@ -88,7 +89,7 @@ CENTROIDS = """dims AS (
 centroids AS (SELECT list_id, list(x ORDER BY i) AS centre FROM dims GROUP BY 1)"""
 
 
-def _centroids(spark, sf):
+def given_centroids(spark, sf):
     """Mean vector of each original label."""
     entries = table(spark, sf, "embeddings").select(
         F.col("label").alias("list_id"), F.posexplode("embedding").alias("i", "x")
@@ -115,7 +116,18 @@ def probes_sql(table_: str, key: str, n: int, name: str) -> str:
 )
 def ivf_probes(spark, sf):
     queries = as_queries(kb(spark, sf)).select("query_id", "embedding")
-    return ivf.probe_lists(queries, _centroids(spark, sf), 3).drop("embedding")
+    return ivf.probe_lists(queries, given_centroids(spark, sf), 3).drop("embedding")
+
+
+@query(
+    with_(KB, CENTROIDS, probes_sql("kb", "vec_id", 3, "probes"))
+    + "SELECT vec_id AS query_id, list_id, CAST(place AS INTEGER) AS place FROM probes"
+)
+def ivf_probes_many(spark, sf):
+    """The same as for more centroids than may be broadcast."""
+    queries = as_queries(kb(spark, sf)).select("query_id", "embedding")
+    found = ivf.probe_lists(queries, given_centroids(spark, sf), 3, max_bytes=2 * 64 * 8)
+    return found.select("query_id", "list_id", "place")
 
 
 def ivf_sql(probes: int, k: int) -> str:
@@ -139,7 +151,7 @@ def ivf_sql(probes: int, k: int) -> str:
 def _ivf(spark, sf, probes, **options):
     vectors = kb(spark, sf)
     return ivf.ivf_search(
-        as_queries(vectors), vectors, _centroids(spark, sf), probes, 3, exclude_own=True, **options
+        as_queries(vectors), vectors, given_centroids(spark, sf), probes, 3, exclude_own=True, **options
     )
 
 
@@ -169,12 +181,28 @@ def ivf_recall(spark, sf):
     return ivf.recall_at_k(_ivf(spark, sf, 2), exact).withColumn("recall", F.round("recall", 6))
 
 
-@query()
+@query(
+    "SELECT vec_id, true AS in_nearest_list, CAST(20 AS BIGINT) AS n_lists, CAST(0 AS BIGINT) AS n_empty FROM embeddings"
+)
 def ivf_training(spark, sf):
-    """Lists by k-means, with their sizes."""
+    """Lists by k-means over all rows: is every row in the list whose stored
+    centroid is nearest, and has every list a row?"""
     vectors = kb(spark, sf)
-    centroids = ivf.train_ivf(vectors, 20, max_iter=10)
-    return ivf.assign_lists(vectors, centroids).groupBy("list_id").agg(F.count("*").alias("n_rows"))
+    path = scratch_path(spark, "index")
+    ivf.write_index(vectors, path, ivf.train_ivf(vectors, 20, max_iter=10))
+    members, index = ivf.read_index(spark, path)
+    centres = index.centroids.select(F.col("list_id").alias("other"), F.col("embedding").alias("centre"))
+    apart = members.join(F.broadcast(centres)).withColumn(
+        "d", cosine_distance(F.col("embedding"), F.col("centre"))
+    )
+    nearest = apart.groupBy("vec_id", "list_id").agg(F.min(F.struct("d", "other"))["other"].alias("best"))
+    sizes = members.agg(F.countDistinct("list_id").alias("_used"))
+    lists = index.centroids.agg(F.count("*").alias("n_lists"))
+    return (
+        nearest.join(F.broadcast(sizes)).join(F.broadcast(lists))
+        .select("vec_id", (F.col("best") == F.col("list_id")).alias("in_nearest_list"), "n_lists",
+                (F.col("n_lists") - F.col("_used")).alias("n_empty"))
+    )
 
 
 @query(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from factlake.functions import prompt as pr
 from factlake.functions.encoders import hashing_encoder
 from factlake.operators import grid, scoring
 from factlake.operators.scale import materialize, scratch_path
+from factlake.operators.ivf import read_index, write_index
 from factlake.plans import ablation, verify
 from factlake.settings import Settings
 from factlake.sources import tables as tb
 from factlake.streaming.verify_stream import verify_stream
+from registry.retrieval import CENTROIDS, given_centroids, probes_sql
 from registry.tables import (
     GRID,
     KB,
@@ -93,53 +97,141 @@ def verify_articles(spark, sf):
     )
 
 
-def _long_prompt(request: dict) -> str:
+def _long_prompt(request: dict) -> tuple[str, str]:
     label = "fake" if len(request["prompt"]) > 4000 else "real"
-    return f'{{"label": "{label}", "confidence": 1, "reasoning": "{request["num_ctx"]}"}}'
+    system = md5(request["system"].encode()).hexdigest()
+    raw = f'{{"label": "{label}", "confidence": 1, "reasoning": "{request["num_ctx"]}"}}'
+    return raw, f'{request["thinking"]} {system} {len(request["prompt"])}'
 
 
 @query(
     with_(KB_TEXT, NEAREST_TEXT, CONTEXTS)
     + f"""SELECT c.query_id, CASE WHEN length({PROMPT}) > 4000 THEN 'fake' ELSE 'real' END AS verdict,
-  CAST(1.0 AS DOUBLE) AS confidence, '2048' AS reasoning
+  CAST(1.0 AS DOUBLE) AS confidence, '2048' AS reasoning,
+  'True ' || md5({_quoted(pr.SYSTEM_PROMPT)}) || ' ' || length({PROMPT}) AS thinking, true AS timed
 FROM contexts c JOIN documents d ON d.doc_id = c.query_id"""
 )
 def verify_with_scorer(spark, sf):
-    """The same with a user's scorer, which sees the filled prompt."""
+    """The same with a user's scorer, which sees system rules, filled prompt
+    and thinking flag."""
+    timed = F.col("time_elapsed_llm").rlike(r"^\d+m\d+s$") & (F.col("elapsed_sec") >= 0)
     return _verified(spark, sf, _long_prompt).select(
-        "query_id", "verdict", "confidence", "reasoning"
+        "query_id", "verdict", "confidence", "reasoning", "thinking", timed.alias("timed")
+    )
+
+
+def _own_settings(queries):
+    """Every third article asks for more neighbours, every fourth for another
+    temperature; the others leave both open."""
+    number = F.col("query_id")
+    return queries.withColumns(
+        {
+            "top_k": F.when(number % 3 == 0, 5).cast("int"),
+            "temperature": F.when(number % 4 == 0, 0.5).cast("double"),
+        }
+    )
+
+
+def _echo(request: dict) -> str:
+    docs = request["prompt"].count("\n\n[") + 1
+    return (
+        f'{{"label": "real", "confidence": {request["temperature"]}, '
+        f'"reasoning": "{request["num_ctx"]}"}}' if docs else ""
     )
 
 
+@query(
+    with_(KB_TEXT)
+    + """SELECT vec_id AS query_id, CAST(CASE WHEN vec_id % 3 = 0 THEN 5 ELSE 2 END AS INTEGER) AS n_docs,
+  CAST(CASE WHEN vec_id % 4 = 0 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS confidence,
+  CAST(least(2048, greatest(2048, 384 * ((CASE WHEN vec_id % 3 = 0 THEN 5 ELSE 2 END) + 1) + 1024)) AS VARCHAR)
+    AS reasoning
+FROM kb_text"""
+)
+def verify_own_settings(spark, sf):
+    """Articles with their own number of neighbours and temperature."""
+    corpus = kb_text(spark, sf)
+    queries = _own_settings(as_queries(corpus).withColumnRenamed("content", "news"))
+    settings = Settings(chunk_type="sliding", top_k=2, temperature=0.25)
+    out = verify.verify(queries, corpus, settings, _echo, exclude_own=True)
+    return out.select("query_id", F.size("docs").alias("n_docs"), "confidence", "reasoning")
+
+
+NEAREST_LISTS = """nearest AS (
+  SELECT * FROM (
+    SELECT query_id, vec_id, label, distance, row_number() OVER (
+      PARTITION BY query_id ORDER BY distance ASC NULLS LAST, vec_id) AS rank
+    FROM (
+      SELECT q.vec_id AS query_id, c.vec_id, c.label, {distance} AS distance
+      FROM probes p JOIN lists l ON p.list_id = l.list_id AND p.vec_id <> l.vec_id
+      JOIN kb_text q ON q.vec_id = p.vec_id JOIN kb_text c ON c.vec_id = l.vec_id))
+  WHERE rank <= 3)""".format(distance=distance_sql("q.embedding", "c.embedding"))
+
+
+@query(
+    with_(
+        KB_TEXT,
+        CENTROIDS,
+        probes_sql("kb_text", "vec_id", 2, "probes"),
+        probes_sql("kb_text", "vec_id", 1, "lists"),
+        NEAREST_LISTS,
+        CONTEXTS,
+        f"votes AS ({vote_sql('nearest', 'query_id')})",
+    )
+    + f"""SELECT c.query_id, md5({PROMPT}) AS prompt_md5, v.verdict, v.confidence, true AS is_valid
+FROM contexts c JOIN documents d ON d.doc_id = c.query_id JOIN votes v ON v.query_id = c.query_id"""
+)
+def verify_articles_ivf(spark, sf):
+    """The same against a stored index: lists of given centroids, two probes."""
+    path = scratch_path(spark, "index")
+    write_index(kb_text(spark, sf), path, given_centroids(spark, sf))
+    corpus, index = read_index(spark, path, probes=2)
+    queries = as_queries(corpus.drop("list_id")).withColumnRenamed("content", "news")
+    out = verify.verify(queries, corpus, Settings(), exclude_own=True, index=index)
+    return out.select("query_id", F.md5("prompt").alias("prompt_md5"), "verdict", "confidence", "is_valid")
+
+
 SYSTEM = _quoted(f"SYSTEM PROMPT:\n{pr.SYSTEM_PROMPT}\n\nUSER_PROMPT:\n")
 
 
 @query(
     with_(KB_TEXT, NEAREST_TEXT, CONTEXTS, f"votes AS ({vote_sql('nearest', 'query_id')})")
-    + f"""SELECT md5(d.text) AS news_md5, md5({SYSTEM} || {PROMPT}) AS prompt_md5, v.verdict AS label,
-  v.confidence, CAST(3 AS INTEGER) AS n_docs, true AS stamped
-FROM contexts c JOIN documents d ON d.doc_id = c.query_id JOIN votes v ON v.query_id = c.query_id"""
+    + f"""SELECT md5(d.text) AS news_md5, md5({SYSTEM} || {PROMPT}) AS prompt_md5,
+  CASE WHEN length({PROMPT}) > 4000 THEN 'fake' ELSE 'real' END AS label, CAST(1.0 AS DOUBLE) AS confidence,
+  'True ' || md5({_quoted(pr.SYSTEM_PROMPT)}) || ' ' || length({PROMPT}) AS llm_reasoning,
+  md5(r.texts) AS docs_md5, r.labels, r.distances, true AS stamped
+FROM contexts c JOIN documents d ON d.doc_id = c.query_id JOIN (
+  SELECT n.query_id, string_agg(t.text, chr(10) ORDER BY n.rank) AS texts,
+    string_agg(CAST(n.label AS VARCHAR), ',' ORDER BY n.rank) AS labels, round(sum(n.distance), 6) AS distances
+  FROM nearest n JOIN documents t ON t.doc_id = n.vec_id GROUP BY n.query_id) r ON r.query_id = c.query_id"""
 )
 def audit_log(spark, sf):
     """Verified articles appended to the log and read back."""
     path = scratch_path(spark, "audit")
-    tb.log_verifications(_verified(spark, sf), path)
+    tb.log_verifications(_verified(spark, sf, _long_prompt), path)
     docs = F.from_json("retrieved_docs", "array<array<string>>")
+    each = lambda i: F.transform(docs, lambda d: F.get(d, F.lit(i)))
+    apart = F.aggregate(each(2), F.lit(0.0), lambda s, d: s + d.cast("double"))
     return tb.read_verifications(spark, path).select(
         F.md5("news_content").alias("news_md5"),
         F.md5("prompt").alias("prompt_md5"),
         "label",
         "confidence",
-        F.size(docs).alias("n_docs"),
+        "llm_reasoning",
+        F.md5(F.array_join(each(0), "\n")).alias("docs_md5"),
+        F.array_join(each(1), ",").alias("labels"),
+        F.round(apart, 6).alias("distances"),
         F.col("created_at").isNotNull().alias("stamped"),
     )
 
 
-# Two models (all numbers, or the first 48) and two chunkings (the vector, or
-# its halves as two chunks).
+# Two models (the vector, or sums and differences of its neighbouring numbers)
+# and two chunkings (the vector, or its halves as two chunks).
 VARIANTS = """models AS (
   SELECT 'EMB-A' AS embedding, vec_id AS source_index, label, embedding AS v FROM kb
-  UNION ALL SELECT 'EMB-B', vec_id, label, embedding[1:48] FROM kb),
+  UNION ALL SELECT 'EMB-B', vec_id, label,
+    list_transform(range(1, 33), lambda i: embedding[2 * i - 1] + 2 * embedding[2 * i])
+    || list_transform(range(1, 33), lambda i: 2 * embedding[2 * i - 1] - embedding[2 * i]) FROM kb),
 chunks AS (
   SELECT embedding, 'CHUNK-A' AS chunking, source_index, source_index AS vec_id, label, v FROM models
   UNION ALL
@@ -148,11 +240,18 @@ chunks AS (
   FROM models, (VALUES (0), (1)) p(part))"""
 
 
+def _turned(v):
+    """Other 64 numbers that depend on all of the vector's."""
+    pairs = F.sequence(F.lit(0), F.lit(31))
+    sums = F.transform(pairs, lambda i: F.get(v, 2 * i) + 2 * F.get(v, 2 * i + 1))
+    return F.concat(sums, F.transform(pairs, lambda i: 2 * F.get(v, 2 * i) - F.get(v, 2 * i + 1)))
+
+
 def variants(spark, sf):
     vectors = kb(spark, sf).withColumn("embedding", F.col("embedding").cast("array<double>"))
     models = {
         "EMB-A": vectors,
-        "EMB-B": vectors.withColumn("embedding", F.slice("embedding", 1, 48)),
+        "EMB-B": vectors.withColumn("embedding", _turned(F.col("embedding"))),
     }
     halves = {}
     for name, model in models.items():
@@ -196,14 +295,26 @@ ABLATION = with_(
 )
 
 
-def run_grid(spark, sf, path=None, done=None):
+def run_grid(spark, sf, path=None, done=None, indexed=False):
     queries, kbs = variants(spark, sf)
+    indexes = {}
+    if indexed:
+        for name, vectors in list(kbs.items()):
+            folder = scratch_path(spark, "index")
+            write_index(vectors, folder, _unit_lists(spark))
+            kbs[name], indexes[name] = read_index(spark, folder, probes=20)
     truth = kb(spark, sf).select(F.col("vec_id").alias("doc_id"), "label")
     return ablation.run_ablation(
-        grid.config_grid(spark), done, queries, kbs, truth, path, exclude_own=True
+        grid.config_grid(spark), done, queries, kbs, truth, path, exclude_own=True, indexes=indexes
     )
 
 
+def _unit_lists(spark):
+    """64 given centroids: list i is along number i of a vector."""
+    entry = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i == F.col("list_id")).cast("double"))
+    return spark.range(64).select(F.col("id").cast("int").alias("list_id")).select("list_id", entry.alias("embedding"))
+
+
 ABLATION_COLUMNS = ["config_id", "embedding", "chunking", "top_k", "temperature", "n_scored"]
 ABLATION_METRICS = ["accuracy", "precision", "recall", "specificity", "f1"]
 ABLATION_SELECT = ", ".join(ABLATION_COLUMNS) + "".join(
@@ -217,6 +328,36 @@ def ablation_results(spark, sf):
     return run_grid(spark, sf).select(*ABLATION_COLUMNS, *ABLATION_METRICS)
 
 
+# The nearest axes of a vector are those of its largest numbers.
+def _axes_sql(source: str, key: str, n: int, name: str) -> str:
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT embedding, {key}, list_id, row_number() OVER (PARTITION BY embedding, {key} ORDER BY d, list_id) AS place
+    FROM (
+      SELECT embedding, {key}, i AS list_id,
+        round(1 - v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS d
+      FROM {source}, (SELECT unnest(range(0, 64)) AS i)))
+  WHERE place <= {n})"""
+
+
+LISTED = f"""{_axes_sql('models', 'source_index', 20, 'probes')},
+parts AS (SELECT embedding || ' ' || chunking AS embedding, vec_id, v FROM chunks),
+{_axes_sql('parts', 'vec_id', 1, 'lists')}"""
+RANKED_LISTS = RANKED.replace(
+    "ON q.embedding = c.embedding AND q.source_index <> c.source_index",
+    """ON q.embedding = c.embedding AND q.source_index <> c.source_index
+      JOIN lists l ON l.embedding = c.embedding || ' ' || c.chunking AND l.vec_id = c.vec_id
+      JOIN probes p ON p.embedding = q.embedding AND p.source_index = q.source_index
+        AND p.list_id = l.list_id""",
+)
+
+
+@query(ABLATION.replace(RANKED, LISTED + ",\n" + RANKED_LISTS) + f"SELECT {ABLATION_SELECT} FROM metrics JOIN grid USING (config_id)")
+def ablation_results_ivf(spark, sf):
+    """All 32 configurations against stored indexes."""
+    return run_grid(spark, sf, indexed=True).select(*ABLATION_COLUMNS, *ABLATION_METRICS)
+
+
 @query(
     ABLATION
     + "SELECT config_id, embedding, chunking, top_k, temperature, thinking, round(accuracy, 4) AS accuracy, "
@@ -236,20 +377,30 @@ def ablation_resumed(spark, sf):
     ABLATION.replace(GRID, """grid AS (
   SELECT 1 AS config_id, 'EMB-A' AS embedding, 'CHUNK-A' AS chunking, 3 AS top_k, false AS thinking
   UNION ALL SELECT 2, 'EMB-A', 'CHUNK-A', 3, true)""")
+    .replace("CASE WHEN verdict = 'fake' THEN 0 ELSE 1 END AS y_pred", "CASE WHEN config_id = 2 THEN 0 ELSE 1 END AS y_pred")
     + "SELECT config_id, embedding, chunking, top_k, thinking, n_scored, round(f1, 4) AS f1 "
     "FROM metrics JOIN grid USING (config_id)"
 )
 def thinking_comparison(spark, sf):
-    """Two configurations that differ in the thinking flag only."""
+    """Two configurations that differ in the thinking flag only, and a scorer
+    that answers by it."""
     axes = {"embeddings": ["EMB-A"], "chunkings": ["CHUNK-A"], "temperatures": [0.0], "top_ks": [3]}
     pair = grid.config_grid(spark, **axes, thinking=[False, True])
     queries, kbs = variants(spark, sf)
     kbs = {("EMB-A", "CHUNK-A"): kbs["EMB-A", "CHUNK-A"]}
     truth = kb(spark, sf).select(F.col("vec_id").alias("doc_id"), "label")
-    out = ablation.run_ablation(pair, None, queries, kbs, truth, exclude_own=True, max_k=3)
+    number = F.col("vec_id").cast("string")
+    queries = {"EMB-A": queries["EMB-A"].withColumn("news", number)}
+    kbs = {name: vectors.withColumn("content", number) for name, vectors in kbs.items()}
+    out = ablation.run_ablation(pair, None, queries, kbs, truth, scorer=_by_flag, exclude_own=True, max_k=3)
     return out.select("config_id", "embedding", "chunking", "top_k", "thinking", "n_scored", "f1")
 
 
+def _by_flag(request: dict) -> str:
+    label = "fake" if request["thinking"] else "real"
+    return f'{{"label": "{label}", "confidence": 1, "reasoning": ""}}'
+
+
 HASH_KB = """tokens AS (
   SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\\s\\v]+'), lambda w: w <> '')) AS w FROM documents),
 digits AS (

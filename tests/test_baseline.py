@@ -166,3 +166,16 @@ def test_hot_word_is_split(spark, monkeypatch):
     ).unionByName(spark.createDataFrame([("hot", [3.0])], "word string, vector array<double>"))
     got = {r["doc_id"]: r["vector"][0] for r in embed_mean(docs, vectors, 1).collect()}
     assert got == {i: pytest.approx((3.0 + i % 50) / 3) for i in range(300)}
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_mean_vectors_with_gaps(spark, max_bytes):
+    from factlake.operators.scoring import embed_mean
+
+    given = [("a", None), ("b", [1.0, 2.0]), ("c", [5.0, 0.0]), ("c", [7.0, 0.0]), (None, [9.0, 9.0]), ("d", [None, 1.0])]
+    vectors = spark.createDataFrame(given, "word string, vector array<double>")
+    docs = spark.createDataFrame([(1, ["b"]), (2, ["a", "b", "c", "c"]), (3, []), (4, ["d", None])], "doc_id long, words array<string>")
+    got = {r.doc_id: list(r.vector) for r in embed_mean(docs, vectors, 2, max_bytes=max_bytes).collect()}
+    assert got == {1: [1.0, 2.0], 2: [11 / 4, 0.5], 3: [0.0, 0.0], 4: [0.0, 0.5]}
+    with pytest.raises(Exception, match="2 numbers"):
+        embed_mean(docs, vectors.filter("word = 'b'").selectExpr("word", "array(1.0D) as vector"), 2).collect()

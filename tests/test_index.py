@@ -160,3 +160,13 @@ def test_documents_of_several_kinds(spark, tmp_path):
     assert got == {"a.txt": "éü", "b.rev": "abc"}
     plain = src.read_documents(spark, f"{tmp_path}/*.txt").collect()
     assert [r["text"] for r in plain] == ["éü"]
+
+
+def test_chunk_ids_do_not_run_into_the_next_document(spark):
+    from factlake.sources.kb import with_vec_id
+
+    rows = spark.createDataFrame([(1, 0), (1, (1 << 20) - 1), (2, 0)], "source_index long, chunk_no int")
+    assert len({r.vec_id for r in with_vec_id(rows).collect()}) == 3
+    many = spark.createDataFrame([(1, 1 << 20)], "source_index long, chunk_no int")
+    with pytest.raises(Exception, match="chunks"):
+        with_vec_id(many).collect()

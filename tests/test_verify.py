@@ -131,3 +131,56 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r["news_content"], r["label"], r["confidence"]) for r in logged) == want
     assert len(want) == 9
     assert tb.read_verifications(spark, log).filter(F.col("created_at").isNull()).count() == 0
+
+
+def counted(spark):
+    """A count that every Python worker adds to."""
+    return spark.sparkContext.accumulator(0)
+
+
+def test_models_are_called_once_per_article(spark, kb):
+    texts, calls = counted(spark), counted(spark)
+
+    def encoder(batch):
+        texts.add(len(batch))
+        return [[1.0, float(len(t))] for t in batch]
+
+    def scorer(request):
+        calls.add(1)
+        return json.dumps({"label": "real", "confidence": 1, "reasoning": ""}), "thought"
+
+    news = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "query_id long, news string")
+    queries = embed(news, encoder, column="news")
+    out = verify.verify(queries, kb, Settings())
+    assert out.count() == 10 and texts.value == 10
+    out = verify.verify(queries, kb, Settings(), scorer)
+    assert {r["thinking"] for r in out.collect()} == {"thought"} and out.count() == 10
+    assert (texts.value, calls.value) == (20, 10)
+    truth = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, label int")
+    kbs = {("EMB-A", c): kb for c in ("CHUNK-A", "CHUNK-B")}
+    grid = config_grid(spark).filter("embedding = 'EMB-A'")
+    assert ablation.run_ablation(grid, None, {"EMB-A": queries}, kbs, truth, scorer=scorer).count() == 16
+    # the query vectors and, once more, the articles' texts
+    assert texts.value <= 40 and calls.value == 10 + 160
+
+
+def test_stream_calls_once(spark, kb, tmp_path):
+    texts = counted(spark)
+
+    def encoder(batch):
+        texts.add(len(batch))
+        return [[1.0, float(len(t))] for t in batch]
+
+    news = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "query_id long, news string")
+    news.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(news.schema).parquet(str(tmp_path / "in"))
+    verify_stream(stream, kb, encoder, Settings(), str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination()
+    assert texts.value == 6
+
+
+def test_settings_of_an_article(kb, queries):
+    own = queries.withColumn("top_k", F.when(F.col("query_id") == 10, 4).cast("int"))
+    rows = {r["query_id"]: r for r in verify.verify(own, kb, Settings(top_k=1)).collect()}
+    assert (len(rows[10]["docs"]), len(rows[11]["docs"])) == (4, 1)
+    with pytest.raises(ValueError):
+        verify.verify(queries.withColumn("top_k", F.lit(0)), kb, Settings())
