@@ -210,7 +210,8 @@ def _pool(vectors: DataFrame, dim: int) -> Callable[[Column], Column]:
 def _joined_mean(docs: DataFrame, vectors: DataFrame, dim: int, key: str) -> DataFrame:
     """Words are counted inside their document's row, and only one vector sum
     per document is shuffled."""
-    counted = docs.select(key, F.explode(tally(F.col("words"))).alias("t")).select(
+    present = F.filter("words", lambda w: w.isNotNull())
+    counted = docs.select(key, F.explode(tally(present)).alias("t")).select(
         key, F.col("t.item").alias("word"), F.col("t.n").alias("n")
     )
     known = lookup_join(counted, vectors, "word", spread_by=key).select(
