@@ -101,12 +101,13 @@ def top_n_per_group(
     n: int,
     rank: str = "rank",
     spread_by: str | None = None,
-    pieces: int = 32,
+    pieces: int | None = None,
 ) -> DataFrame:
     """First `n` rows of each group, numbered from 1. With `spread_by`, a group
-    is first cut to `n` rows in each of `pieces` parts, so no task has to sort
-    a whole hot group."""
+    is first cut to `n` rows in each of `pieces` parts (default: as many as a
+    shuffle has partitions), so no task has to sort a whole hot group."""
     if spread_by is not None:
+        pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.withColumn("_piece", F.pmod(F.xxhash64(spread_by), F.lit(pieces)))
         part = Window.partitionBy(*keys, "_piece").orderBy(*order)
         df = df.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= n)
@@ -120,38 +121,30 @@ def hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def hash_bucket(hashed: Column) -> Column:
-    """First three hex digits of an md5 text: 4,096 even, ordered buckets."""
-    return F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
+def hash_share(key: str, seed: int) -> Column:
+    """The first 60 bits of `hash_order` as a share of all hashes, in [0, 1)."""
+    digits = F.substring(hash_order(seed, key), 1, 15)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 60))
 
 
-def quantile_bucket(df: DataFrame, key: str, buckets: int = 256) -> Column:
-    """Bucket number of a numeric key, in key order, about equally filled. The
-    bounds (at most `buckets` numbers) are found by one small aggregate."""
-    marks = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(key, marks, 10_000)).first()[0] or []
-    literals = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>")
-    return F.size(F.filter(literals, lambda b: b <= F.col(key)))
-
-
-def dense_index(
-    df: DataFrame, order: Sequence[Column], bucket: Column, name: str
-) -> DataFrame:
-    """0-based position in a total order, without sorting in one task. `bucket`
-    must not decrease along the order; rows are numbered within their bucket
-    and shifted by the rows of the earlier ones (a table of bucket counts)."""
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+def dense_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """0-based position in a total order, without sorting in one task: rows are
+    sorted into ranges, written down with their place in the range, and shifted
+    by the rows of the ranges before (a table of one row per range)."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    position = F.col("_start") + F.row_number().over(inside) - 1
+    position = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        df.join(F.broadcast(starts), "_bucket")
+        placed.withColumn("_range", part)
+        .join(F.broadcast(starts), "_range")
         .withColumn(name, position.cast("long"))
-        .drop("_bucket", "_start")
+        .drop("_range", "_start", "_at")
     )
 
 

@@ -186,7 +186,7 @@ def index_batches(spark, sf):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS position FROM documents")
 def shuffled_rows(spark, sf):
-    return sampling.shuffle_rows(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return sampling.shuffle_rows(table(spark, sf, "documents").select("doc_id"), "doc_id", ordered=False)
 
 
 @query("SELECT doc_id, lang, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
