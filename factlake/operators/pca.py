@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from factlake.operators.scale import materialize
 
-STRIPE = 4096
+# Columns whose partial products are added up together: many small groups.
+STRIPE = 64
 
 
 def _sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +89,10 @@ def _summed(rows: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
             total += _transposed_times(entries, y, len(q))
             sums += y.sum(axis=0)
         total -= np.outer(mean, sums)
-        for at in range(0, len(total), STRIPE):
-            part = total[at : at + STRIPE].ravel()
-            whole = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))
-            yield pa.RecordBatch.from_pydict({"stripe": pa.array([at], pa.int32()), "part": whole})
+        starts = np.arange(0, len(total), STRIPE, dtype=np.int32)
+        ends = np.minimum(np.append(starts, len(total)) , len(total)) * q.shape[1]
+        parts = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(total.ravel()))
+        yield pa.RecordBatch.from_pydict({"stripe": pa.array(starts), "part": parts})
 
     parts = rows.mapInArrow(partial, "stripe int, part array<double>")
     added = parts.groupBy("stripe").agg(Summarizer.sum(array_to_vector(F.col("part"))).alias("s"))
