@@ -17,10 +17,11 @@ from factlake.operators.report import (
 )
 
 
-def report_tables(results: DataFrame) -> dict[str, DataFrame]:
+def report_tables(results: DataFrame, digits: int = 4) -> dict[str, DataFrame]:
+    """All tables; the means of the summary have `digits` digits."""
     return {
         "specificity": sort_results(with_specificity_layout(rederive_specificity(results))),
-        "summary": summary_all(results),
+        "summary": summary_all(results, digits),
         "groups": sort_results(flag_context_errors(f1_by_group(results)), "top_k"),
         "best_k": best_k(results),
         "categories": sort_results(categorise_config(results)),

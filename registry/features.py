@@ -7,27 +7,29 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlake.functions.encoders import hashing_encoder
 from factlake.functions.text import clean_text, head_chars, words
+from factlake.functions.verdict import encode_verdict
 from factlake.operators import features as ft
 from factlake.operators.forest import feature_importances
 from factlake.operators.pca import fit_pca
 from factlake.operators.scale import materialize
 from factlake.operators.scoring import embed_mean
 from factlake.plans import baseline
-from factlake.plans.compare import compare_systems
-from factlake.plans.verify import verify
+from factlake.plans.compare import compare_on_sample
 from factlake.settings import Settings
 from factlake.sources.tables import render_na
-from registry.news import clean_sql
+from registry.news import DOCUMENT, clean_sql
+from registry.verification import hash_vectors_sql
 from registry.tables import (
     NEWS,
     VECTOR_DIM,
-    as_queries,
-    kb,
+    distance_sql,
     lexicon,
     lexicon_sql,
     news,
     table,
+    vote_sql,
     with_,
     word_vectors,
     word_vectors_sql,
@@ -333,12 +335,57 @@ def baseline_features(spark, sf):
     return out.select("doc_id", F.size(numbers).alias("length"), finite.alias("finite"))
 
 
-@query()
+PER_CLASS = 3
+SAMPLE = f"""sample AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) AS place
+    FROM news WHERE split <> 'train')
+  WHERE place <= {PER_CLASS}),
+composed AS (
+  SELECT doc_id, label, split, {DOCUMENT} AS text FROM news),
+asked_texts AS (SELECT c.doc_id, c.text FROM composed c JOIN sample s USING (doc_id)),
+known_texts AS (SELECT doc_id, text FROM composed WHERE split = 'train')"""
+FOUND = f"""nearest AS (
+  SELECT * FROM (
+    SELECT query_id, label, distance, row_number() OVER (
+      PARTITION BY query_id ORDER BY distance ASC NULLS LAST, doc_id) AS rank
+    FROM (
+      SELECT q.doc_id AS query_id, c.doc_id, n.label, {distance_sql('q.v', 'c.v')} AS distance
+      FROM asked q, known c JOIN news n ON n.doc_id = c.doc_id))
+  WHERE rank <= 3)"""
+
+
+@query(
+    with_(
+        NEWS,
+        SAMPLE,
+        hash_vectors_sql("asked_texts", "doc_id", "asked"),
+        hash_vectors_sql("known_texts", "doc_id", "known"),
+        FOUND,
+        f"votes AS ({vote_sql('nearest', 'query_id')})",
+    )
+    + """SELECT s.doc_id, CAST(s.label AS INTEGER) AS y_true, CASE WHEN v.verdict = 'fake' THEN 0 ELSE 1 END AS y_retrieval,
+  v.confidence, true AS baseline_scored, CAST(3 AS BIGINT) AS n_systems, true AS table_follows
+FROM sample s JOIN votes v ON v.query_id = s.doc_id"""
+)
 def system_comparison(spark, sf):
-    """Baseline, retrieval with the vote, and the published row."""
-    run = _baseline(spark, sf)
-    vectors = kb(spark, sf).withColumn("content", F.col("vec_id").cast("string"))
-    queries = as_queries(vectors).withColumnRenamed("content", "news")
-    verified = verify(queries, vectors, Settings(), exclude_own=True)
-    truth = vectors.select(F.col("vec_id").alias("query_id"), "label")
-    return render_na(compare_systems(run.predictions, run.latency_mean_sec, truth, verified))
+    """Both systems on one balanced sample of real articles, row by row, and
+    whether the table's baseline accuracy follows from the stored rows."""
+    rows = news(spark, sf)
+    vectors, affects = _lookups(spark, sf)
+    train, test = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    out = compare_on_sample(train, test, PER_CLASS, vectors, 24, affects, hashing_encoder(), Settings())
+    stored = out.baseline.predictions.select("doc_id", F.col("y_pred").alias("_baseline"))
+    verdicts = out.verified.select(
+        F.col("query_id").alias("doc_id"), encode_verdict(F.col("verdict")).alias("y_retrieval"), "confidence"
+    )
+    table_ = render_na(out.table).agg(
+        F.count("*").alias("n_systems"), F.max(F.when(F.col("system") == "NC-LBFV", F.col("accuracy"))).alias("_said")
+    )
+    right = (F.col("y_true") == F.col("y_pred")).cast("double")
+    share = out.baseline.predictions.agg(F.round(F.avg(right), 4).alias("_share"))
+    joined = out.sample.select("doc_id", F.col("label").alias("y_true")).join(stored, "doc_id").join(verdicts, "doc_id")
+    return joined.join(F.broadcast(table_)).join(F.broadcast(share)).select(
+        "doc_id", "y_true", "y_retrieval", "confidence", F.col("_baseline").isin(0, 1).alias("baseline_scored"),
+        "n_systems", (F.abs(F.col("_said").cast("double") - F.col("_share")) < 1e-6).alias("table_follows"),
+    )

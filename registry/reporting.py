@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators import evaluate, report
-from factlake.operators.scale import scratch_path
+from factlake.operators.scale import materialize, scratch_path
+from factlake.plans import reports
 from factlake.plans.compare import published_row, system_row
 from factlake.sources import tables as tb
 from registry.evaluation import _outcomes
@@ -146,6 +150,34 @@ def sorted_results(spark, sf):
     return report.sort_results(results(spark, sf))
 
 
+def _report_sql(name: str, source: str) -> str:
+    return f"SELECT '{name}' AS report, count(*) AS n_rows, round(sum(f1), 6) AS f1 FROM {source}"
+
+
+@query(
+    R
+    + " UNION ALL ".join(
+        [
+            _report_sql("specificity", "results"),
+            _report_sql("summary", """(SELECT round(avg(f1), 8) AS f1 FROM results
+  GROUP BY GROUPING SETS ((embedding), (chunking), (top_k), (temperature)))"""),
+            _report_sql("groups", f"({GROUPS})"),
+            _report_sql("best_k", "(SELECT avg(f1) AS f1 FROM results GROUP BY top_k ORDER BY 1 DESC, top_k LIMIT 1)"),
+            _report_sql("categories", "results"),
+            _report_sql("preferred", f"results WHERE latency_mean_sec BETWEEN 0 AND 110 AND f1 >= {report.ZONE_F1}"),
+        ]
+    )
+)
+def report_tables(spark, sf):
+    """All report tables of one run: their rows and their sums of F1."""
+    rows = materialize(results(spark, sf), "results")
+    parts = [
+        df.agg(F.count("*").alias("n_rows"), F.round(F.sum("f1"), 6).alias("f1")).withColumn("report", F.lit(name))
+        for name, df in reports.report_tables(rows, digits=8).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rendered_sql(c: str) -> str:
     return rf"coalesce(regexp_replace(printf('%.6f', {c}), '(\.\d+?)0+$', '\1'), 'N/A')"
 
