@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factlake.operators.chunking import chunk_full, chunk_sliding, with_document
 from factlake.operators.grid import CHUNK_TYPE, CHUNKINGS
 from factlake.operators.kb import index_checkpoint, pending_documents, rollback
+from factlake.operators.scale import scratch_path
 from factlake.operators.scoring import Encoder, embed_variants
 from factlake.sources.kb import read_kb, snapshot_kb, write_kb
 
@@ -51,21 +52,31 @@ def build_kb(
     spark = news.sparkSession
     reached = resume_point(spark, path, encoders)
     last = news.agg(F.max("source_index")).first()[0]
+    if last is None or last <= reached:
+        return 0
+    ranges = _by_commit(pending_documents(news, reached), reached + 1, rows_per_commit)
     commits = 0
-    start = reached + 1
-    while last is not None and start <= last:
-        end = min(start + rows_per_commit - 1, last)
-        part = pending_documents(news, start - 1).filter(F.col("source_index") <= end)
+    for start in range(reached + 1, last + 1, rows_per_commit):
+        part = spark.read.schema(news.schema).parquet(f"{ranges}/_commit={commits}")
         write_kb(kb_rows(part, encoders), path, f"{start:012d}")
         commits += 1
         if snapshot_root and commits % snapshot_every == 0:
             snapshot_kb(read_kb(spark, path), snapshot_root)
-        start = end + 1
-    if snapshot_root and commits:
+    if snapshot_root:
         snapshot_kb(read_kb(spark, path), snapshot_root)
     return commits
 
 
+def _by_commit(news: DataFrame, first: int, rows: int) -> str:
+    """The documents in one folder per commit, so that each commit reads its
+    own documents and no others. Positions are dense, so no folder is empty."""
+    path = scratch_path(news.sparkSession, "pending")
+    number = F.floor((F.col("source_index") - first) / rows).cast("long")
+    ranged = news.withColumn("_commit", number).repartitionByRange("source_index")
+    ranged.write.partitionBy("_commit").parquet(path)
+    return path
+
+
 def resume_point(spark: SparkSession, path: str, encoders: Mapping[str, Encoder]) -> int:
     return index_checkpoint(read_kb(spark, path), variants_of(encoders)).first()["checkpoint"]
 
