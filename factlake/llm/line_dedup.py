@@ -27,51 +27,33 @@ id share the decisions on their lines by line number.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.texts import UnitTable, ragged, text_chunks
+from factlake.llm.texts import fresh, ragged, release, text_chunks
 from factlake.operators.scale import has_at_most, materialize
 
 THRESHOLD = 0.8
-SLOTS = 1 << 19
+SLOTS = 1 << 18
 CLOSEST = 16
 BLOCK = 16_384
 GROUP_ROWS = 200_000
-BROADCAST_DOCUMENTS = 200_000
+CHUNK = 500_000
+BROADCAST_LINES = 1_000_000
+HOT = 1 << 30
 LAST = (1 << 63) - 1
 PLACE_BITS = 30
 
 
 # ---- words ------------------------------------------------------------------
 
-
-def _hash_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    from xxhash import xxh3_64_intdigest
-
-    hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    return hashes.view(np.int32), np.full(len(words), 2)
-
-
-@lru_cache(1)
-def word_table() -> UnitTable:
-    """Every word's hash, as two numbers."""
-    return UnitTable(_hash_words)
-
-
-def split_lines(text: str) -> list[list[bytes]]:
-    """Words of each line, for bytes ASCII white space and letters only."""
-    return [line.split() for line in text.encode().lower().split(b"\n")]
-
-
-def word_hashes(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    at, counts = word_table().find(lines)
-    return word_table().ids(at).view(np.uint64), counts
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mixed(x: np.ndarray, add: int) -> np.ndarray:
@@ -82,6 +64,29 @@ def mixed(x: np.ndarray, add: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts, and its line, counted over all texts.
+    Words are hashed eight bytes at a time, all words at once."""
+    raw = "\n".join(texts).encode().lower() + bytes(8)
+    n = len(raw) - 8
+    letters = np.frombuffer(raw, np.uint8, n)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = ~BLANK[letters]
+    border = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = border[0::2], border[1::2] - border[0::2]
+    line = np.cumsum(letters == 0x0A, dtype=np.int32)[starts] if len(starts) else starts
+    eight = np.ndarray(n + 1, "<u8", raw, 0, (1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    hashes = mixed(sizes.astype(np.uint64), 0x9E3779B97F4A7C15)
+    who, done = np.arange(len(starts)), 0
+    while len(who):
+        left = sizes[who] - done
+        part = eight[starts[who] + done] & masks[np.minimum(left, 8)]
+        hashes[who] = mixed(hashes[who] ^ part, 0x2545F4914F6CDD1D)
+        who, done = who[left > 8], done + 8
+    return hashes, line.astype(np.int64)
+
+
 def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -91,10 +96,8 @@ def count_words(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SLOTS, np.int64)
-        for _, chunk in text_chunks(batches, "_text"):
-            words = [t.encode().lower().split() for t in chunk]
-            hashes, _ = word_hashes(words)
-            sums += np.bincount(slot(hashes), minlength=SLOTS)
+        for _, chunk in text_chunks(batches, "_text", CHUNK):
+            sums += np.bincount(slot(word_hashes(chunk)[0]), minlength=SLOTS)
         some = np.flatnonzero(sums)
         for first in range(0, len(some), 50_000):
             part = some[first : first + 50_000]
@@ -107,6 +110,28 @@ def count_words(texts: DataFrame) -> np.ndarray:
     return sums
 
 
+def word_sets_of(texts: list[str], rank: np.ndarray | None = None):
+    """Lines with a word, the size of each one's word set, and the sets' hashes
+    one after the other: by the rank of their slots, then by hash."""
+    hashes, line = word_hashes(texts)
+    ranks = rank[slot(hashes)] if rank is not None else np.zeros(len(line), np.int64)
+    # One number to sort by; exact unless two words of a line agree in it
+    low = (hashes >> np.uint64(39)).astype(np.int64)
+    order = np.argsort((line << 44) | (ranks << 25) | low) if not len(line) or line[-1] < 1 << 19 else None
+    if order is not None and len(order) > 1:
+        x, y = order[:-1], order[1:]
+        tie = (line[x] == line[y]) & (ranks[x] == ranks[y]) & (low[x] == low[y])
+        if (hashes[x[tie]] != hashes[y[tie]]).any():
+            order = None
+    if order is None:
+        order = np.lexsort((hashes, low, ranks, line))
+    hashes, line = hashes[order], line[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    numbers, sizes = np.unique(line[new], return_counts=True)
+    return numbers, sizes, hashes[new]
+
+
 # ---- lines ------------------------------------------------------------------
 
 
@@ -117,8 +142,8 @@ def least_overlap(a, b, threshold: float):
 
 def describe_lines(texts: DataFrame, sums: np.ndarray, threshold: float) -> DataFrame:
     """A row for every line with a word: its place, class, size, bitmap and
-    the keys of its prefix, rarest word first. A key is 32 bits of a word's
-    hash, with one more bit if the word may be in more than BLOCK classes."""
+    the keys of its prefix, rarest word first. A key is 30 bits of a word's
+    hash; HOT is added if the word may be in more than BLOCK classes."""
     # Slots by how full they are
     order = np.argsort(sums, kind="stable")
     rank = np.empty(SLOTS, np.int64)
@@ -127,113 +152,112 @@ def describe_lines(texts: DataFrame, sums: np.ndarray, threshold: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, frequent = shared.value
-        for batch, chunk in text_chunks(batches, "_text"):
-            own = [split_lines(t) for t in chunk]
-            numbers = [[i for i, words in enumerate(lines) if words] for lines in own]
-            lines = [lines[i] for lines, at in zip(own, numbers) for i in at]
-            if not lines:
+        for batch, chunk in text_chunks(batches, "_text", CHUNK):
+            numbers, sizes, hashes = word_sets_of(chunk, rank)
+            if not len(numbers):
                 continue
-            hashes, counts = word_hashes(lines)
-            line = np.repeat(np.arange(len(lines)), counts)
-            at = np.lexsort((hashes, line * SLOTS + rank[slot(hashes)]))
-            hashes = hashes[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-            hashes, line = hashes[new], line[new]
-            sizes = np.bincount(line, minlength=len(lines))
             starts = np.cumsum(sizes) - sizes
-            bits = np.uint64(1) << (hashes >> np.uint64(58))
+            bit = np.uint64(1) << ((hashes >> np.uint64(57)) & np.uint64(63))
+            upper = hashes >> np.uint64(63) == 1
+            bits = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), starts) for x in (~upper, upper)]
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
             # A set that only its equals can match needs no keys
             alone = least_overlap(sizes, sizes + 1, threshold) > sizes
             alone &= least_overlap(sizes, sizes - 1, threshold) > sizes - 1
             prefix[alone & (least_overlap(sizes, sizes, threshold) >= sizes)] = 0
             first = hashes[ragged(starts, prefix)]
-            keys = ((first >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            keys |= frequent[slot(first)].astype(np.int64) << 32
+            keys = ((first >> np.uint64(20)) & np.uint64(HOT - 1)).astype(np.int32)
+            keys[frequent[slot(first)]] += HOT
             offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
-            found = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            docs = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), found)))
-            flat = np.fromiter((i for at in numbers for i in at), np.int64, len(lines))
+            lines = np.fromiter((t.count("\n") + 1 for t in chunk), np.int64, len(chunk))
+            ends = np.cumsum(lines)
+            row = np.searchsorted(ends, numbers, "right")
             columns = [
-                docs,
-                pa.array(flat),
+                batch.column(0).take(pa.array(row)),
+                pa.array(numbers - (ends - lines)[row]),
                 pa.array(np.add.reduceat(mixed(hashes, 0x9E3779B9), starts).view(np.int64)),
                 pa.array(np.add.reduceat(mixed(hashes, 0x7F4A7C15F39CC060), starts).view(np.int64)),
                 pa.array(sizes),
-                pa.array(np.bitwise_xor.reduceat(bits, starts).view(np.int64)),
+                *(pa.array(b.view(np.int64)) for b in bits),
                 pa.ListArray.from_arrays(offsets, pa.array(keys)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=LINE)
 
     return texts.mapInArrow(
         run,
-        "doc bigint, line bigint, h1 bigint, h2 bigint, size bigint, bits bigint, keys array<bigint>",
+        "doc bigint, line bigint, h1 bigint, h2 bigint, size bigint, bits bigint, "
+        "bits2 bigint, keys array<int>",
     )
 
 
-LINE = ["doc", "line", "h1", "h2", "size", "bits", "keys"]
+LINE = ["doc", "line", "h1", "h2", "size", "bits", "bits2", "keys"]
 
 
 # ---- candidates -------------------------------------------------------------
 
+Y, X = ["y_doc", "y_line"], ["x_doc", "x_line"]
+
 
 def _meet(threshold: float, closest: int | None):
     """Rows of groups in; pairs (later, earlier) that may be similar out. With
     `closest`, each line's nearest ones only, `more` telling of others; without
     it, all of the lines that are `wanted`."""
 
+    def groups(rows: pa.Table) -> np.ndarray:
+        """Columns that tell groups apart."""
+        names = [n for n in ("block_a", "block_b") if n in rows.column_names]
+        return np.stack([rows["kp"].to_numpy() >> PLACE_BITS, *(rows[n].to_numpy() for n in names)])
+
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = {n: rows[n].to_numpy() for n in rows.column_names}
-        key = c["kp"] >> PLACE_BITS
-        order = np.lexsort((c["size"], c["block_b"], c["block_a"], key))
-        c = {n: v[order] for n, v in c.items()}
-        key, place = key[order], c["kp"] & ((1 << PLACE_BITS) - 1)
-        bits, size = c["bits"].view(np.uint64), c["size"]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (c["block_a"][1:] != c["block_a"][:-1])
-        new[1:] |= c["block_b"][1:] != c["block_b"][:-1]
+        own = groups(rows)
+        size = rows["ls"].to_numpy() & ((1 << 32) - 1)
+        order = np.lexsort((size, *own[::-1]))
+        own, size = own[:, order], size[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (own[:, 1:] != own[:, :-1]).any(0)
         group = np.cumsum(new)
-        cross = c["block_a"] != c["block_b"]
+        place = (rows["kp"].to_numpy() & ((1 << PLACE_BITS) - 1))[order]
+        bits = np.stack([rows[n].to_numpy().view(np.uint64)[order] for n in ("bits", "bits2")])
+        doc, line = rows["doc"].to_numpy()[order], (rows["ls"].to_numpy() >> 32)[order]
+        half = rows["half"].to_numpy()[order] if "half" in rows.column_names else None
         found, apart = [], []
-        a, step = np.arange(len(key)), 1
+        a, step = np.arange(len(order)), 1
         while len(a):
-            a = a[a + step < len(key)]
+            a = a[a + step < len(order)]
             b = a + step
             near = (group[a] == group[b]) & (size[a] >= threshold * size[b] - 1e-9)
             a, b = a[near], b[near]
             need = least_overlap(size[a], size[b], threshold)
             left = 1 + np.minimum(size[a] - place[a] - 1, size[b] - place[b] - 1)
-            differ = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+            differ = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(0, dtype=np.int64)
             ok = (left >= need) & (differ <= size[a] + size[b] - 2 * need)
-            ok &= ~cross[a] | (c["half"][a] != c["half"][b])
+            if half is not None:  # rows of one block meet where both blocks are the same
+                ok &= (half[a] != half[b]) | (own[1, a] == own[2, a])
             found.append(np.stack([a[ok], b[ok]]))
             apart.append(differ[ok])
             step += 1
         a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         apart = np.concatenate(apart) if apart else np.zeros(0, np.int64)
-        after = (c["doc"][a] > c["doc"][b]) | (
-            (c["doc"][a] == c["doc"][b]) & (c["line"][a] > c["line"][b])
-        )
+        after = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
         later, earlier = np.where(after, a, b), np.where(after, b, a)
         if closest is None:
-            take = c["wanted"][later].astype(bool)
-            later, earlier = later[take], earlier[take]
+            take = rows["wanted"].to_numpy(zero_copy_only=False)[order][later]
+            later, earlier, between = later[take], earlier[take], apart[take]
             more = np.zeros(len(later), bool)
         else:
-            order = np.lexsort((c["line"][earlier], c["doc"][earlier], apart, later))
+            order = np.lexsort((line[earlier], doc[earlier], apart, later))
             later, earlier = later[order], earlier[order]
             start = np.searchsorted(later, later)
             rank = np.arange(len(later)) - start
             total = np.searchsorted(later, later, "right") - start
-            more = (total > closest)[rank < closest]
-            later, earlier = later[rank < closest], earlier[rank < closest]
+            near = rank < closest
+            more, between = (total > closest)[near], apart[order][near]
+            later, earlier = later[near], earlier[near]
         for first in range(0, len(later), 50_000):
             y, x = later[first : first + 50_000], earlier[first : first + 50_000]
-            columns = [pa.array(c[n][i]) for i in (y, x) for n in ("doc", "line", "h1")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(more[first : first + 50_000])], names=[*Y, *X, "more"]
-            )
+            part = slice(first, first + 50_000)
+            columns = [pa.array(c) for c in (doc[y], line[y], doc[x], line[x], between[part], more[part])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*Y, *X, "apart", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -242,105 +266,95 @@ def _meet(threshold: float, closest: int | None):
             if sum(b.num_rows for b in held) < GROUP_ROWS:
                 continue
             rows = pa.Table.from_batches(held)
-            key = rows["kp"].to_numpy() >> PLACE_BITS
-            own = [rows[n].to_numpy() for n in ("block_a", "block_b")]
-            same = (key == key[-1]) & (own[0] == own[0][-1]) & (own[1] == own[1][-1])
-            whole = int((~same).sum())
+            own = groups(rows)
+            whole = int((own != own[:, -1:]).any(0).sum())
             held = rows.slice(whole).combine_chunks().to_batches()
             if whole:
                 yield from pairs(rows.slice(0, whole))
         if held:
             yield from pairs(pa.Table.from_batches(held))
+        release()
 
     return run
 
 
-Y, X = ["y_doc", "y_line", "y_h1"], ["x_doc", "x_line", "x_h1"]
+def line_classes(lines: DataFrame) -> DataFrame:
+    """A row for each class: its first line, and how many lines it has."""
+    first = F.min(F.struct("doc", "line", "size", "bits", "bits2", "keys")).alias("_f")
+    found = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n"))
+    return found.select("h1", "h2", "n", "_f.*")
 
 
-def prefix_rows(lines: DataFrame) -> DataFrame:
-    """A row for each key of each class's first line."""
-    first = F.min(F.struct("doc", "line", "h1", "size", "bits", "keys")).alias("_f")
-    classes = lines.groupBy("h1", "h2").agg(first).select("_f.*")
-    return classes.select(
-        "doc", "line", "h1", "size", "bits", F.posexplode("keys").alias("_place", "key")
-    ).select(
-        "doc", "line", "h1", "size", "bits", "key",
-        F.shiftleft("key", PLACE_BITS).bitwiseOR(F.col("_place").cast("bigint")).alias("kp"),
-    )
+def prefix_rows(classes: DataFrame) -> DataFrame:
+    """A row for each key of each class's first line: its document, ls (line
+    and size in one number), bitmap, and kp (key and place in the prefix)."""
+    ls = F.shiftleft("line", 32).bitwiseOR(F.col("size")).alias("ls")
+    parts = classes.select("doc", ls, "bits", "bits2", F.posexplode("keys").alias("_place", "_key"))
+    kp = F.shiftleft(F.col("_key").cast("bigint"), PLACE_BITS).bitwiseOR(F.col("_place").cast("bigint"))
+    return parts.select("doc", "ls", "bits", "bits2", kp.alias("kp"))
 
 
 def candidates(rows: DataFrame, threshold: float, closest: int | None) -> DataFrame:
     """Distinct pairs of lines that passed all filters."""
-    none = F.lit(-1).cast("int")
-    if "wanted" not in rows.columns:
-        rows = rows.withColumn("wanted", F.lit(True))
-    dealt = rows.withColumns({"block_a": none, "block_b": none, "half": none})
-    hot = rows.filter(F.col("key") >= (1 << 32)).groupBy("key").count()
+    key = F.shiftright("kp", PLACE_BITS)
+    hot = rows.filter(F.col("kp") >= HOT << PLACE_BITS).groupBy(key.alias("_key")).count()
     blocks = F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks")
-    hot = materialize(hot.filter(F.col("count") > BLOCK).select("key", blocks), "hot-words")
-    if not hot.isEmpty():
+    hot = materialize(hot.filter(F.col("count") > BLOCK).select("_key", blocks), "hot-words")
+    if hot.isEmpty():
+        dealt = rows.repartition(key).sortWithinPartitions("kp")
+    else:
         small = F.broadcast(hot) if has_at_most(hot, 100_000) else hot
-        own = F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int")
+        keyed = rows.withColumn("_key", key)
+        own = F.pmod(F.xxhash64("doc", "ls"), F.col("_blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-        cells = rows.join(small, "key").withColumn("half", own).withColumn("_j", other)
-        cells = cells.withColumns(
-            {"block_a": F.least("half", "_j"), "block_b": F.greatest("half", "_j")}
+        cells = keyed.join(small, "_key").withColumn("half", own).withColumn("_j", other)
+        a, b = F.least("half", "_j").alias("block_a"), F.greatest("half", "_j").alias("block_b")
+        none = F.lit(-1).cast("int")
+        alone = keyed.join(small, "_key", "left_anti").select(
+            *rows.columns, none.alias("block_a"), none.alias("block_b"), none.alias("half")
         )
-        dealt = dealt.join(small, "key", "left_anti").unionByName(cells.select(*dealt.columns))
-    meeting = ["key", "block_a", "block_b"]
-    dealt = dealt.repartition(*meeting).sortWithinPartitions(*meeting).drop("key")
-    out = ", ".join(f"{n} bigint" for n in [*Y, *X]) + ", more boolean"
+        dealt = alone.unionByName(cells.select(*rows.columns, a, b, "half"))
+        dealt = dealt.repartition(key, "block_a", "block_b")
+        dealt = dealt.sortWithinPartitions(key, "block_a", "block_b")
+    out = ", ".join(f"{n} bigint" for n in [*Y, *X, "apart"]) + ", more boolean"
     pairs = dealt.mapInArrow(_meet(threshold, closest), out)
-    return pairs.groupBy(*Y, *X).agg(F.max("more").alias("more"))
+    return pairs.groupBy(*Y, *X).agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
 
 
 def word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, line, h1, words) of the wanted lines (doc, line): their hashes."""
+    """(doc, line, words) of the wanted lines (doc, line): their hashes."""
+    wanted = materialize(wanted, "wanted-lines")
     lists = wanted.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_lines"))
-    lists = materialize(lists, "wanted-lines")
-    if has_at_most(lists, BROADCAST_DOCUMENTS):
+    if has_at_most(wanted, BROADCAST_LINES):
         lists = F.broadcast(lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, chunk in text_chunks(batches, "_text"):
-            own, docs, numbers = [], [], []
-            places = batch.column(2).to_pylist()
-            for doc, text, at in zip(batch.column(0).to_pylist(), chunk, places):
-                raw = text.split("\n")
-                for i in at:
-                    if i < len(raw) and (words := raw[i].encode().lower().split()):
-                        own.append(words)
-                        docs.append(doc)
-                        numbers.append(i)
-            if not own:
-                continue
-            hashes, counts = word_hashes(own)
-            line = np.repeat(np.arange(len(own)), counts)
-            at = np.lexsort((hashes, line))
-            hashes = hashes[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-            hashes, sizes = hashes[new], np.bincount(line[new], minlength=len(own))
-            ends = np.cumsum(sizes)
-            sums = np.add.reduceat(mixed(hashes, 0x9E3779B9), ends - sizes).view(np.int64)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
+        for batch, chunk in text_chunks(batches, "_text", CHUNK):
+            own, docs, places = [], [], []
+            for doc, text, at in zip(batch.column(0).to_pylist(), chunk, batch.column(2).to_pylist()):
+                lines = text.split("\n")
+                at = [i for i in at if i < len(lines)]
+                own += [lines[i] for i in at]
+                docs += [doc] * len(at)
+                places += at
+            numbers, sizes, hashes = word_sets_of(own)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            who = pa.array(numbers)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sums),
+                [pa.array(docs, pa.int64()).take(who), pa.array(places, pa.int64()).take(who),
                  pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
-                names=["doc", "line", "h1", "words"],
+                names=["doc", "line", "words"],
             )
 
     joined = texts.join(lists, "doc").select("doc", "_text", "_lines")
-    found = joined.mapInArrow(run, "doc bigint, line bigint, h1 bigint, words array<bigint>")
-    return found.dropDuplicates(["doc", "line", "h1"])
+    return joined.mapInArrow(run, "doc bigint, line bigint, words array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Distinct later lines of the pairs whose Jaccard similarity holds."""
 
     def side(names: list[str], words: str) -> DataFrame:
-        renamed = [F.col(a).alias(b) for a, b in zip(("doc", "line", "h1"), names)]
+        renamed = [F.col(a).alias(b) for a, b in zip(("doc", "line"), names)]
         return sets.select(*renamed, F.col("words").alias(words))
 
     whole = pairs.join(side(Y, "_y"), Y).join(side(X, "_x"), X)
@@ -349,6 +363,16 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return whole.filter(common >= need).select(*Y).distinct()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`materialize`, then let go of the shuffles behind it: Spark deletes their
+    files when the driver's JVM collects the plans, which a quiet driver puts
+    off until the executors' disks are full."""
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 # ---- the operator -----------------------------------------------------------
 
 
@@ -365,42 +389,60 @@ def removed_lines(
         raise ValueError("threshold must lie in [0.5, 1]")
     doc: Column = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc")
     texts = df.select(doc, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    lines = materialize(describe_lines(texts, count_words(texts), threshold), "lines")
-
-    rows = prefix_rows(lines)
-    pairs = materialize(candidates(rows, threshold, closest), "line-pairs")
-    near = _near(texts, pairs, threshold)
-    open_ = pairs.filter("more").select(*Y).distinct().join(near, Y, "left_anti")
-    open_ = materialize(open_, "open-lines")
-    if not open_.isEmpty():
-        names = [F.col(a).alias(b) for a, b in zip(Y, ("doc", "line", "h1"))]
-        flagged = rows.join(
-            open_.select(*names, F.lit(True).alias("wanted")), ["doc", "line", "h1"], "left"
-        ).withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-        keys = flagged.filter("wanted").select("key").distinct()
-        again = candidates(flagged.join(keys, "key", "left_semi"), threshold, None)
-        near = near.unionByName(_near(texts, materialize(again, "line-pairs"), threshold))
-
-    place = F.struct("doc", "line")
-    first = lines.groupBy("h1", "h2").agg(F.min(place).alias("_f"), F.count("*").alias("_n"))
-    names = [F.col(a).alias(b) for a, b in zip(Y, ("_d", "_l", "h1"))]
-    gone = near.select(*names, F.lit(True).alias("_near"))
-    found = first.select("h1", "h2", "_n", F.col("_f.doc").alias("_d"), F.col("_f.line").alias("_l"))
-    found = found.join(gone, ["_d", "_l", "h1"], "left").filter("_n > 1 or _near")
+    lines = written(describe_lines(texts, count_words(texts), threshold), "lines")
+    classes = written(line_classes(lines), "line-classes")
+    near = near_lines(texts, classes, threshold, closest).distinct()
+
+    # A class goes as a whole, or all but its first line
+    names = [F.col(a).alias(b) for a, b in zip(Y, ("_d", "_l"))]
+    found = classes.select("h1", "h2", "n", F.col("doc").alias("_d"), F.col("line").alias("_l"))
+    found = found.join(near.select(*names, F.lit(True).alias("_near")), ["_d", "_l"], "left")
+    found = found.filter("n > 1 or _near")
     removed = (
         lines.select("doc", "line", "h1", "h2")
         .join(found, ["h1", "h2"])
         .filter("_near or doc <> _d or line <> _l")
-        .select("doc", "line", F.coalesce("_near", F.lit(False)).alias("near"))
+        .select("doc", "line", F.expr("doc = _d and line = _l").alias("near"))
     )
     return lines, removed
 
 
+def near_lines(texts: DataFrame, classes: DataFrame, threshold: float, closest: int) -> DataFrame:
+    """Places (y_doc, y_line) of first lines that an earlier line is similar
+    to. A line's nearest candidate is verified first, the others only if that
+    one does not hold, and those beyond `closest` only if none of them does."""
+    rows = prefix_rows(classes)
+    pairs = written(candidates(rows, threshold, closest), "line-pairs")
+    best = pairs.groupBy(*Y).agg(F.min(F.struct("apart", *X)).alias("_x")).select(*Y, "_x.*")
+    near = _near(texts, best, threshold)
+    rest = written(pairs.join(near, Y, "left_anti"), "line-pairs")
+    if rest.isEmpty():
+        return near
+    found = _near(texts, rest, threshold)
+    near = near.unionByName(found)
+    open_ = rest.filter("more").select(*Y).distinct().join(found, Y, "left_anti")
+    open_ = written(open_.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("_line")), "open-lines")
+    if open_.isEmpty():
+        return near
+    few = has_at_most(open_, BROADCAST_LINES // 10)
+    flag = open_.withColumn("wanted", F.lit(True))
+    flagged = rows.withColumn("_line", F.shiftright("ls", 32))
+    flagged = flagged.join(F.broadcast(flag) if few else flag, ["doc", "_line"], "left")
+    flagged = flagged.withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    flagged = flagged.withColumn("_key", F.shiftright("kp", PLACE_BITS))
+    keys = written(flagged.filter("wanted").select("_key").distinct(), "open-keys")
+    if has_at_most(keys, BROADCAST_LINES):
+        keys = F.broadcast(keys)
+    flagged = flagged.join(keys, "_key", "left_semi").select(*rows.columns, "wanted")
+    again = written(candidates(flagged, threshold, None), "line-pairs")
+    return near.unionByName(_near(texts, again, threshold))
+
+
 def _near(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     ends = [pairs.select(*[F.col(a).alias(b) for a, b in zip(s, ("doc", "line"))]) for s in (Y, X)]
     wanted = ends[0].unionByName(ends[1]).distinct()
-    sets = materialize(word_sets(texts, wanted), "word-sets")
-    return materialize(verified(pairs, sets, threshold), "near-lines")
+    sets = written(word_sets(texts, wanted), "word-sets")
+    return written(verified(pairs, sets, threshold), "near-lines")
 
 
 def dedup_report(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -424,12 +466,13 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     """All rows and columns of `df`, the text without its removed lines. Lines
     without a word stay; a null text stays null."""
     _, removed = removed_lines(df, key, text, **options)
-    gone = removed.groupBy("doc").agg(F.collect_set("line").alias("_gone"))
-    gone = materialize(gone.withColumnRenamed("doc", "_doc"), "removed-lines")
-    if has_at_most(gone, BROADCAST_DOCUMENTS):
+    doc, lines = fresh(df, "_doc"), fresh(df, "_gone")
+    removed = written(removed.select("doc", "line"), "removed-lines")
+    gone = removed.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(lines))
+    if has_at_most(removed, BROADCAST_LINES):
         gone = F.broadcast(gone)
-    marked = df.withColumn("_doc", F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)))
-    marked = marked.join(gone, "_doc", "left").select(*df.columns, "_gone")
+    marked = df.withColumn(doc, F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)))
+    marked = marked.join(gone, doc, "left").select(*df.columns, lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,16 +3,17 @@ memory of what text units encode to, and ragged arrays."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_CHARS = 4_000_000
-WORD = r"[^\x20\x09-\x0D]+"
+CHUNK_BYTES = 1_000_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,21 +25,31 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.environment["PYTHONPATH"] = os.environ["PYTHONPATH"]
 
 
+def release() -> None:
+    """Give memory that is free back to the machine: a Python worker lives on
+    after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it frees memory by itself or not at all
+
+
 def text_chunks(
-    batches: Iterable[pa.RecordBatch], column: str, chars: int = CHUNK_CHARS
+    batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Row slices whose texts (null: empty) hold about `chars` characters at
-    most, or one row."""
+    """Row slices whose texts (null: empty) hold about `size` bytes at most, or
+    one row."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
-        first = size = 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > chars:
-                yield batch.slice(first, i - first), texts[first:i]
-                first, size = i, 0
-            size += len(text)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(np.asarray(lengths, np.int64))
+        first = before = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+            part = batch.slice(first, last - first)
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+            first, before = last, int(ends[last - 1])
+    release()
 
 
 def fields(df: DataFrame, names: Sequence[str]) -> str:
@@ -47,12 +58,11 @@ def fields(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def like_schema(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array)
-         else columns[f.name] for f in schema],
-        schema=schema,
-    )
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -75,7 +85,7 @@ class UnitTable:
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        max_units: int = 700_000,
+        max_units: int = 300_000,
         long_unit: int = 100,
     ) -> None:
         self._encode, self._max, self._long = encode, max_units, long_unit
