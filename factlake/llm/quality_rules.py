@@ -39,7 +39,8 @@ MAX_CONDITIONS = 4
 MIN_PRECISION = 0.9
 MIN_ROWS = 10
 
-# The statistics that rules may use: shares, so that length does not matter.
+# The statistics that rules may use: shares that do not follow from a text's
+# length (the share of distinct words would: it falls in any long text).
 RATIOS = {
     "symbol_share": ("n_symbols", "n_words"),
     "repeat_share": ("n_repeat_words", "n_words"),
@@ -47,7 +48,6 @@ RATIOS = {
     "upper_share": ("n_upper", "word_chars"),
     "mark_share": ("n_marks", "n_words"),
     "digit_share": ("n_digits", "word_chars"),
-    "distinct_share": ("n_distinct_words", "n_words"),
     "word_length": ("word_chars", "n_words"),
 }
 
@@ -118,7 +118,6 @@ def statistics(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             repeat_words(words).alias("n_repeat_words"),
-            F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         ]
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
