@@ -34,6 +34,7 @@ from factlake.operators.scale import top_n_per_group
 PROFILE = 500
 MAX_LABELS = 2_000
 HELD_GRAMS = 1_000_000
+LEARN_BYTES = 500_000
 UNKNOWN = "und"
 EDGE = 1
 # Below this score a text has next to nothing in common with any language.
@@ -87,7 +88,7 @@ def learn_profiles(
             columns = [pa.array(names, pa.string()), *(pa.array(np.concatenate(x)) for x in (codes, sums))]
             return pa.RecordBatch.from_arrays(columns, names=["label", "gram", "n"])
 
-        for batch, texts in text_chunks(batches, "_text"):
+        for batch, texts in text_chunks(batches, "_text", LEARN_BYTES):
             by_label: dict[str, list[str]] = {}
             for name, t in zip(batch.column(0).to_pylist(), texts):
                 by_label.setdefault(name, []).append(t)

@@ -33,6 +33,8 @@ from factlake.llm.texts import UnitTable, fields, ragged, sum_by, text_chunks
 
 SPACE = "▁"
 LONG = 200
+# Characters of units that advance together
+CELLS = 400_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FAR = np.int64(1) << 40
 
@@ -233,7 +235,7 @@ class PieceCodec:
         while first < len(order):
             n = int(lengths[order[first]])
             last = int(np.searchsorted(lengths[order], n, "right"))
-            last = min(last, first + max(1, 2_000_000 // n))
+            last = min(last, first + max(1, CELLS // n))
             who = order[first:last]
             if n > LONG:
                 who = who[:1]
@@ -297,17 +299,16 @@ def add_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     kept = df.select(*[c for c in df.columns if c not in PIECES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "_text", 2_000_000):
+        for batch, texts in text_chunks(batches, text):
             ids, counts = codec(path).encode(texts)
             same = [a == b for a, b in zip(codec(path).decode(ids, counts), texts)]
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            columns = [*batch.columns[:-1], pa.array(counts), lists, pa.array(same)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *PIECES])
+            columns = [*batch.columns, pa.array(counts), lists, pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *PIECES])
 
     out = f"{fields(kept, kept.columns)}, n_pieces bigint, piece_ids array<int>, round_trip boolean"
-    whole = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    return kept.select("*", whole).mapInArrow(run, out)
+    return kept.mapInArrow(run, out)
 
 
 def encode_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ without that property each round merges only the leftmost place.
 
 Null text counts as empty (0 tokens); rows are counted one by one, so repeated
 rows repeat; other columns are not read. A text is held in memory as a whole,
-a chunk of texts up to `CHUNK_CHARS` characters.
+a chunk of texts up to `CHUNK_BYTES` bytes.
 """
 
 from __future__ import annotations
