@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.texts import UnitTable, fields, ragged, sum_by, text_chunks
+from factlake.llm.texts import REMEMBERED, UnitTable, fields, ragged, sum_by, text_chunks
 
 SPACE = "▁"
 LONG = 200
@@ -40,7 +40,7 @@ FAR = np.int64(1) << 40
 
 
 class PieceCodec:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -76,7 +76,7 @@ class PieceCodec:
         self.alphabet = np.array(sorted(ord(n) for n in self.names if len(n) == 1), np.uint32)
         newline = "" if "\n" in self.at else "\n"
         self.units = re.compile(rf"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + "|\n" * bool(newline))
-        self.table = UnitTable(self._encode)
+        self.table = UnitTable(self._encode, remembered)
         # for decoding: the bytes of every id
         raw = [b""] * len(names)
         for i in usable:
@@ -286,22 +286,26 @@ class PieceCodec:
 
 
 @lru_cache(2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+def codec(path: str, remembered: int = REMEMBERED) -> PieceCodec:
+    return PieceCodec(path, remembered)
 
 
 PIECES = ["n_pieces", "piece_ids", "round_trip"]
 
 
-def add_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def add_pieces(
+    df: DataFrame, path: str, text: str = "text", remembered: int = REMEMBERED
+) -> DataFrame:
     """All columns of `df` with n_pieces, piece_ids and round_trip (is the
-    decoded text the text?); columns of these names are replaced."""
+    decoded text the text?); columns of these names are replaced. A worker
+    remembers the pieces of up to `remembered` units."""
     kept = df.select(*[c for c in df.columns if c not in PIECES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, text):
-            ids, counts = codec(path).encode(texts)
-            same = [a == b for a, b in zip(codec(path).decode(ids, counts), texts)]
+            own = codec(path, remembered)
+            ids, counts = own.encode(texts)
+            same = [a == b for a, b in zip(own.decode(ids, counts), texts)]
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
             columns = [*batch.columns, pa.array(counts), lists, pa.array(same)]

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1_000_000
+# Units whose codes a worker remembers: about 250 bytes each.
+REMEMBERED = 700_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -85,7 +87,7 @@ class UnitTable:
     def __init__(
         self,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        max_units: int = 300_000,
+        max_units: int = REMEMBERED,
         long_unit: int = 100,
     ) -> None:
         self._encode, self._max, self._long = encode, max_units, long_unit
