@@ -231,6 +231,8 @@ def _meet(threshold: float, closest: int | None):
             left = 1 + np.minimum(size[a] - place[a] - 1, size[b] - place[b] - 1)
             differ = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(0, dtype=np.int64)
             ok = (left >= need) & (differ <= size[a] + size[b] - 2 * need)
+            # Two words of one line may have the same key
+            ok &= (doc[a] != doc[b]) | (line[a] != line[b])
             if half is not None:  # rows of one block meet where both blocks are the same
                 ok &= (half[a] != half[b]) | (own[1, a] == own[2, a])
             found.append(np.stack([a[ok], b[ok]]))
@@ -357,6 +359,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         renamed = [F.col(a).alias(b) for a, b in zip(("doc", "line"), names)]
         return sets.select(*renamed, F.col("words").alias(words))
 
+    pairs = pairs.filter("y_doc <> x_doc or y_line <> x_line")
     whole = pairs.join(side(Y, "_y"), Y).join(side(X, "_x"), X)
     common = F.size(F.array_intersect("_y", "_x"))
     need = F.ceil(threshold / (1 + threshold) * (F.size("_y") + F.size("_x")) - 1e-9)

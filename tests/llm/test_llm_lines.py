@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from factlake.llm import line_dedup
@@ -104,6 +105,25 @@ def test_texts_lose_their_removed_lines(spark):
         assert texts[i] == kept
 
 
+def one_key():
+    """Two words with the same 30-bit key."""
+    words = [f"rare{i}" for i in range(200_000)]
+    keys = (line_dedup.word_hashes(words)[0] >> np.uint64(20)) & np.uint64(line_dedup.HOT - 1)
+    order = np.argsort(keys, kind="stable")
+    at = int(np.flatnonzero(keys[order][1:] == keys[order][:-1])[0])
+    return words[order[at]], words[order[at + 1]]
+
+
+def test_a_line_is_not_its_own_near_copy(spark):
+    common = [f"common{i}" for i in range(8)]
+    line = " ".join([*one_key(), *common])
+    rows = [(1, line), *((2 + i, f"{w} only{i} here{i}") for i, w in enumerate(common))]
+    check(spark, rows)
+    assert {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}[1] == line
+    # its repeat goes, not the first
+    check(spark, [*rows, (20, line), (21, line + " more")])
+
+
 def test_empty_table(spark):
     assert dedup_lines(frame(spark, sample()).limit(0)).collect() == []
     assert dedup_report(frame(spark, sample()).limit(0)).collect() == []
