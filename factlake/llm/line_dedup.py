@@ -21,8 +21,9 @@ A word that is shared by more than `BLOCK` classes has its group cut into
 blocks, and every two blocks meet in a task of their own.
 
 Words are 64-bit hashes, classes 128-bit sums of them. Lines without a word
-stay. Null text counts as empty. A null id counts as the largest; rows of one
-id share the decisions on their lines by line number.
+stay. Null text counts as empty. Null ids come last, each row a document of its
+own; rows of one id are documents of their own too, in the order of their
+texts' md5. Only copies, with one id and one text, are one document.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm.texts import fresh, ragged, release, text_chunks
-from factlake.operators.scale import has_at_most, materialize
+from factlake.operators.scale import dense_index, has_at_most, materialize
 
 THRESHOLD = 0.8
 SLOTS = 1 << 18
@@ -379,19 +380,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
 # ---- the operator -----------------------------------------------------------
 
 
+def documents(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str, DataFrame]:
+    """All rows of `df` with the number of their document, that column's name,
+    and the documents (doc, _text). The number is the id (null: LAST) if no two
+    rows would share it. Otherwise rows are written down once in the order of
+    id, text and (null ids) row, and the number is the place of the first copy."""
+    name = fresh(df, "_doc")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    known = F.col(key).cast("bigint")
+    rows = df.withColumn(name, F.coalesce(known, F.lit(LAST)))
+    if rows.groupBy(name).count().filter(F.col("count") > 1).isEmpty():
+        return rows, name, rows.select(F.col(name).alias("doc"), body.alias("_text"))
+    single = F.when(known.isNull(), F.monotonically_increasing_id()).otherwise(0)
+    keyed = df.select(F.struct(*df.columns).alias("_row"), known.alias("_id"), F.md5(body).alias("_md5"), single.alias("_no"))
+    placed = dense_index(keyed, [F.col("_id").asc_nulls_last(), F.col("_md5"), F.col("_no")], "_place")
+    copies = placed.filter("_id is not null").groupBy("_id", "_md5")
+    copies = copies.agg(F.min("_place").alias("_first"), F.count("*").alias("_copies"))
+    copies = written(copies.filter("_copies > 1").drop("_copies"), "copies")
+    few = has_at_most(copies, BROADCAST_LINES // 10)
+    placed = placed.join(F.broadcast(copies) if few else copies, ["_id", "_md5"], "left")
+    doc = F.coalesce("_first", "_place")
+    rows = placed.select("_row.*", doc.alias(name))
+    first = placed.filter(doc == F.col("_place")).select("_row.*", doc.alias(name))
+    return rows, name, first.select(F.col(name).alias("doc"), body.alias("_text"))
+
+
 def removed_lines(
-    df: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    threshold: float = THRESHOLD,
-    closest: int = CLOSEST,
+    texts: DataFrame, threshold: float = THRESHOLD, closest: int = CLOSEST
 ) -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc, line, ...), and the removed ones (doc, line,
-    near: no earlier line has the same words)."""
+    """All lines with a word (doc, line, ...) of the documents (doc, _text), and
+    the removed ones (doc, line, near: no earlier line has the same words)."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie in [0.5, 1]")
-    doc: Column = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc")
-    texts = df.select(doc, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     lines = written(describe_lines(texts, count_words(texts), threshold), "lines")
     classes = written(line_classes(lines), "line-classes")
     near = near_lines(texts, classes, threshold, closest).distinct()
@@ -451,15 +471,15 @@ def _near(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def dedup_report(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`key`, n_lines (with a word), n_removed, n_near (those without an equal
     earlier line) and the removed line numbers, from 0, of every document."""
-    lines, removed = removed_lines(df, key, text, **options)
+    rows, doc, texts = documents(df, key, text)
+    lines, removed = removed_lines(texts, **options)
     counts = lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
     gone = removed.groupBy("doc").agg(
         F.count("*").alias("n_removed"),
         F.sum(F.col("near").cast("bigint")).alias("n_near"),
         F.sort_array(F.collect_set("line")).alias("removed_lines"),
     )
-    doc = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc")
-    found = df.select(F.col(key), doc).join(counts, "doc", "left").join(gone, "doc", "left")
+    found = rows.select(F.col(key), F.col(doc).alias("doc")).join(counts, "doc", "left").join(gone, "doc", "left")
     numbers = [F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("n_lines", "n_removed", "n_near")]
     none = F.array().cast("array<bigint>")
     return found.select(key, *numbers, F.coalesce("removed_lines", none).alias("removed_lines"))
@@ -468,14 +488,14 @@ def dedup_report(df: DataFrame, key: str = "doc_id", text: str = "text", **optio
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns of `df`, the text without its removed lines. Lines
     without a word stay; a null text stays null."""
-    _, removed = removed_lines(df, key, text, **options)
-    doc, lines = fresh(df, "_doc"), fresh(df, "_gone")
+    rows, doc, texts = documents(df, key, text)
+    _, removed = removed_lines(texts, **options)
+    lines = fresh(df, "_gone")
     removed = written(removed.select("doc", "line"), "removed-lines")
     gone = removed.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(lines))
     if has_at_most(removed, BROADCAST_LINES):
         gone = F.broadcast(gone)
-    marked = df.withColumn(doc, F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)))
-    marked = marked.join(gone, doc, "left").select(*df.columns, lines)
+    marked = rows.join(gone, doc, "left").select(*df.columns, lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -93,6 +93,25 @@ def test_repeated_rows_share_their_lines(spark):
     assert got == [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "new")]
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [
+        (None, "said before here\nthe first one's own"), (None, "another text begins\nthe second one's own"),
+        (None, "said before here\nequal at one place"), (None, "a third one\nequal at one place"),
+        (1, "said before here"), (2, "said before here\nwhat only this says"), (2, "fresh words stand\nsaid before here"),
+        (3, "copies of row\nhave one id"), (3, "copies of row\nhave one id"),
+        (None, "equal null rows lose it once"), (None, "equal null rows lose it once"),
+    ]
+    got = sorted((str(r.doc_id), r.text) for r in dedup_lines(frame(spark, rows)).collect())
+    ends = ["the first one's own", "another text begins\nthe second one's own", "equal null rows lose it once", ""]
+    pair = [["equal at one place", "a third one"], ["", "a third one\nequal at one place"]]
+    rest = [("1", "said before here"), ("2", "what only this says"), ("2", "fresh words stand")]
+    rest += [("3", "copies of row\nhave one id")] * 2
+    assert got in [sorted([*rest, *(("None", t) for t in ends + p)]) for p in pair]
+    report = dedup_report(frame(spark, rows)).collect()
+    assert len(report) == len(rows) and sum(r.n_removed for r in report) == 6
+    assert {r.n_lines for r in report if r.doc_id == 3} == {2}
+
+
 def test_texts_lose_their_removed_lines(spark):
     rows = sample()
     gone, _ = slow(rows)
