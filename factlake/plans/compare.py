@@ -12,7 +12,7 @@ from factlake.functions.text import compose_document
 from factlake.operators.evaluate import classification_metrics, mean_latency
 from factlake.operators.ivf import ListIndex
 from factlake.operators.report import PUBLISHED_ROW, comparison_table
-from factlake.operators.sampling import balanced_sample
+from factlake.operators.sampling import class_sample, shuffle_rows
 from factlake.operators.scale import materialize
 from factlake.operators.scoring import Encoder, Scorer, embed, outcomes
 from factlake.plans.baseline import BaselineRun, run_baseline
@@ -59,10 +59,12 @@ def compare_on_sample(
     index: Callable[[DataFrame], ListIndex] | None = None,
     seed: int = 42,
 ) -> Comparison:
-    """Draws `per_class` articles of each class from `test`, predicts them with
+    """Draws `per_class` articles of each class from `test` (all of a class that
+    has fewer), predicts them with
     the baseline fitted on `train`, and verifies them against the articles of
     `train`. All news are (doc_id, title, text, label)."""
-    sample = materialize(balanced_sample(test, per_class, "doc_id", seed), "sample")
+    sample = class_sample(test, per_class, "doc_id", seed).drop("draw")
+    sample = materialize(shuffle_rows(sample, "doc_id", seed), "sample")
     run = run_baseline(train, sample, vectors, dim, lexicon)
     text = compose_document(F.col("title"), F.col("text"))
     known = train.select(F.col("doc_id").alias("vec_id"), "label", text.alias("content"))

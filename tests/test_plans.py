@@ -44,3 +44,13 @@ def test_one_shuffle_of_terms(spark, sf):
     text = plan(QUERIES["vocabulary"](spark, sf))
     assert text.count("Exchange hashpartitioning(term") == 1
     assert "partial_sum" in text
+
+
+def test_both_systems_get_five_hundred_of_each_class(spark, sf):
+    from registry.features import PER_CLASS, system_comparison
+    from registry.tables import news
+
+    held_out = news(spark, sf).filter("split <> 'train'").groupBy("label").count().collect()
+    scored = system_comparison(spark, sf).groupBy("y_true").count().collect()
+    assert PER_CLASS == 500
+    assert {tuple(r) for r in scored} == {(r["label"], min(r["count"], 500)) for r in held_out}
