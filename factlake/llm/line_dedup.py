@@ -65,9 +65,10 @@ def mixed(x: np.ndarray, add: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], run: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, and its line, counted over all texts.
-    Words are hashed eight bytes at a time, all words at once."""
+    Words are hashed eight bytes at a time, all words at once. With `run`, of
+    every run of so many words of a line, or of all if it has fewer."""
     raw = "\n".join(texts).encode().lower() + bytes(8)
     n = len(raw) - 8
     letters = np.frombuffer(raw, np.uint8, n)
@@ -85,20 +86,35 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         part = eight[starts[who] + done] & masks[np.minimum(left, 8)]
         hashes[who] = mixed(hashes[who] ^ part, 0x2545F4914F6CDD1D)
         who, done = who[left > 8], done + 8
-    return hashes, line.astype(np.int64)
+    return runs_of(hashes, line.astype(np.int64), run)
+
+
+def runs_of(hashes: np.ndarray, line: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of `run` words, from the words' hashes."""
+    n, out = len(line), hashes.copy()
+    whole = np.ones(n, bool)
+    for k in range(1, run):
+        whole[max(n - k, 0) :] = False
+        whole[: max(n - k, 0)] = line[k:] == line[: max(n - k, 0)]
+        at = np.flatnonzero(whole)
+        out[at] = mixed(out[at] ^ hashes[at + k], 0x9E3779B97F4A7C15)
+    keep = whole
+    keep[:1] = True
+    keep[1:] |= line[1:] != line[:-1]
+    return out[keep], line[keep]
 
 
 def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def count_words(texts: DataFrame) -> np.ndarray:
+def count_words(texts: DataFrame, run_words: int = 1) -> np.ndarray:
     """How often the words of each slot stand in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SLOTS, np.int64)
         for _, chunk in text_chunks(batches, "_text", CHUNK):
-            sums += np.bincount(slot(word_hashes(chunk)[0]), minlength=SLOTS)
+            sums += np.bincount(slot(word_hashes(chunk, run_words)[0]), minlength=SLOTS)
         some = np.flatnonzero(sums)
         for first in range(0, len(some), 50_000):
             part = some[first : first + 50_000]
@@ -111,10 +127,10 @@ def count_words(texts: DataFrame) -> np.ndarray:
     return sums
 
 
-def word_sets_of(texts: list[str], rank: np.ndarray | None = None):
+def word_sets_of(texts: list[str], rank: np.ndarray | None = None, run_words: int = 1):
     """Lines with a word, the size of each one's word set, and the sets' hashes
     one after the other: by the rank of their slots, then by hash."""
-    hashes, line = word_hashes(texts)
+    hashes, line = word_hashes(texts, run_words)
     ranks = rank[slot(hashes)] if rank is not None else np.zeros(len(line), np.int64)
     # One number to sort by; exact unless two words of a line agree in it
     low = (hashes >> np.uint64(39)).astype(np.int64)
@@ -141,7 +157,9 @@ def least_overlap(a, b, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
-def describe_lines(texts: DataFrame, sums: np.ndarray, threshold: float) -> DataFrame:
+def describe_lines(
+    texts: DataFrame, sums: np.ndarray, threshold: float, run_words: int = 1
+) -> DataFrame:
     """A row for every line with a word: its place, class, size, bitmap and
     the keys of its prefix, rarest word first. A key is 30 bits of a word's
     hash; HOT is added if the word may be in more than BLOCK classes."""
@@ -154,7 +172,7 @@ def describe_lines(texts: DataFrame, sums: np.ndarray, threshold: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, frequent = shared.value
         for batch, chunk in text_chunks(batches, "_text", CHUNK):
-            numbers, sizes, hashes = word_sets_of(chunk, rank)
+            numbers, sizes, hashes = word_sets_of(chunk, rank, run_words)
             if not len(numbers):
                 continue
             starts = np.cumsum(sizes) - sizes
@@ -324,7 +342,7 @@ def candidates(rows: DataFrame, threshold: float, closest: int | None) -> DataFr
     return pairs.groupBy(*Y, *X).agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
 
 
-def word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def word_sets(texts: DataFrame, wanted: DataFrame, run_words: int = 1) -> DataFrame:
     """(doc, line, words) of the wanted lines (doc, line): their hashes."""
     wanted = materialize(wanted, "wanted-lines")
     lists = wanted.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_lines"))
@@ -340,7 +358,7 @@ def word_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 own += [lines[i] for i in at]
                 docs += [doc] * len(at)
                 places += at
-            numbers, sizes, hashes = word_sets_of(own)
+            numbers, sizes, hashes = word_sets_of(own, run_words=run_words)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             who = pa.array(numbers)
             yield pa.RecordBatch.from_arrays(
@@ -406,15 +424,16 @@ def documents(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str, DataF
 
 
 def removed_lines(
-    texts: DataFrame, threshold: float = THRESHOLD, closest: int = CLOSEST
+    texts: DataFrame, threshold: float = THRESHOLD, closest: int = CLOSEST, run_words: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc, line, ...) of the documents (doc, _text), and
-    the removed ones (doc, line, near: no earlier line has the same words)."""
+    the removed ones (doc, line, near: no earlier line has the same words). Sets
+    are those of runs of `run_words` words."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie in [0.5, 1]")
-    lines = written(describe_lines(texts, count_words(texts), threshold), "lines")
+    lines = written(describe_lines(texts, count_words(texts, run_words), threshold, run_words), "lines")
     classes = written(line_classes(lines), "line-classes")
-    near = near_lines(texts, classes, threshold, closest).distinct()
+    near = near_lines(texts, classes, threshold, closest, run_words).distinct()
 
     # A class goes as a whole, or all but its first line
     names = [F.col(a).alias(b) for a, b in zip(Y, ("_d", "_l"))]
@@ -430,18 +449,20 @@ def removed_lines(
     return lines, removed
 
 
-def near_lines(texts: DataFrame, classes: DataFrame, threshold: float, closest: int) -> DataFrame:
+def near_lines(
+    texts: DataFrame, classes: DataFrame, threshold: float, closest: int, run_words: int = 1
+) -> DataFrame:
     """Places (y_doc, y_line) of first lines that an earlier line is similar
     to. A line's nearest candidate is verified first, the others only if that
     one does not hold, and those beyond `closest` only if none of them does."""
     rows = prefix_rows(classes)
     pairs = written(candidates(rows, threshold, closest), "line-pairs")
     best = pairs.groupBy(*Y).agg(F.min(F.struct("apart", *X)).alias("_x")).select(*Y, "_x.*")
-    near = _near(texts, best, threshold)
+    near = _near(texts, best, threshold, run_words)
     rest = written(pairs.join(near, Y, "left_anti"), "line-pairs")
     if rest.isEmpty():
         return near
-    found = _near(texts, rest, threshold)
+    found = _near(texts, rest, threshold, run_words)
     near = near.unionByName(found)
     open_ = rest.filter("more").select(*Y).distinct().join(found, Y, "left_anti")
     open_ = written(open_.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("_line")), "open-lines")
@@ -458,13 +479,13 @@ def near_lines(texts: DataFrame, classes: DataFrame, threshold: float, closest:
         keys = F.broadcast(keys)
     flagged = flagged.join(keys, "_key", "left_semi").select(*rows.columns, "wanted")
     again = written(candidates(flagged, threshold, None), "line-pairs")
-    return near.unionByName(_near(texts, again, threshold))
+    return near.unionByName(_near(texts, again, threshold, run_words))
 
 
-def _near(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _near(texts: DataFrame, pairs: DataFrame, threshold: float, run_words: int) -> DataFrame:
     ends = [pairs.select(*[F.col(a).alias(b) for a, b in zip(s, ("doc", "line"))]) for s in (Y, X)]
     wanted = ends[0].unionByName(ends[1]).distinct()
-    sets = written(word_sets(texts, wanted), "word-sets")
+    sets = written(word_sets(texts, wanted, run_words), "word-sets")
     return written(verified(pairs, sets, threshold), "near-lines")
 
 

@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.texts import fields, text_chunks
+from factlake.llm.line_dedup import removed_lines, written
+from factlake.llm.texts import fields, fresh, text_chunks
 from factlake.operators.scale import has_at_most, materialize, skew_join
 
 SEED = 42
@@ -310,3 +311,22 @@ def keep_first(
         return kept
     once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
     return kept.join(repeated, key, "left_anti").select(*df.columns).unionByName(once.select(*df.columns))
+
+
+def drop_similar(
+    df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, run_words: int = 5
+) -> DataFrame:
+    """Rows of `df`, unchanged, without the documents whose set of five-word
+    runs has a Jaccard similarity of at least `threshold` with that of a
+    document with a smaller key: no pair is missed (the exact join of
+    `line_dedup`, a text being one line). Keys are unique; rows without a key
+    and texts without a word stay."""
+    body = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", " ")
+    known = df.filter(F.col(key).isNotNull())
+    texts = known.select(F.col(key).cast("bigint").alias("doc"), body.alias("_text"))
+    gone = fresh(df, "_gone")
+    later = removed_lines(texts, threshold, run_words=run_words)[1]
+    later = written(later.select(F.col("doc").alias(gone)), "similar")
+    if has_at_most(later, BROADCAST_KEYS):
+        later = F.broadcast(later)
+    return df.join(later, F.col(key).cast("bigint") == F.col(gone), "left_anti").select(*df.columns)

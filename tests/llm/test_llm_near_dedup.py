@@ -148,3 +148,33 @@ def test_one_document_of_each_component_stays(spark):
     assert got == sorted({c for i, _, c in slow(rows) if i is not None})
     assert kept.filter("doc_id is null").count() == 2
     assert near_dedup.RADIUS == 4
+
+
+def test_no_pair_of_kept_documents_is_similar(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 30, 300]))]
+        for k in range(4):
+            words = list(base)
+            for _ in range(k * len(base) // 100):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            rows.append((4 * i + k, "\n".join(" ".join(words[a : a + 7]) for a in range(0, len(words), 7))))
+    rows += [(900, ""), (None, rows[1][1])]
+
+    def runs(text):
+        words = text.lower().split()
+        return {tuple(words[a : a + 5]) for a in range(max(len(words) - 4, 1))} if words else set()
+
+    def like(a, b):
+        return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = {r.doc_id: runs(r.text) for r in keep_first(df).collect() if r.doc_id is not None and r.text}
+    expected = {i for i, a in first.items() if not any(j < i and like(a, b) for j, b in first.items())}
+    assert expected != set(first)
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(i for i in got if i not in (None, 900)) == sorted(expected)
+    assert None in got and 900 in got
