@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factlake.llm.decontaminate import find_leaks
 from factlake.llm.language_id import held_out, identify, learn_profiles, learned_from
 from factlake.llm.line_dedup import dedup_report
+from factlake.llm.merkle import folded, leaf, manifest, manifest_sql, proof_digest
 from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.quality_rules import judge, learn_rules, measure
@@ -87,6 +88,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.try_add("n_chars", F.lit(1)) if f == "n_chars" else F.col(f) for f in fields]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = F.when(chosen, leaf(changed))
+    rows = manifest(
+        documents, "doc_id", "lang", fields, keep={"doc_id": F.col("doc_id"), "tampered": tampered}
+    )
+    shown = F.coalesce(F.lower(F.hex("tampered")), "leaf")
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("path")).alias("proof_sha256"),
+        folded(shown, F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -98,8 +119,20 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
+# crc32 of the decimal id, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+  [4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+  lambda crc, byte: list_reduce([xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda x, step: xor(x >> 1, (x & 1) * 3988292384))))"""
+
 SQL: dict[str, str] = {
     "op8_sharding": shards_sql(SHARD_BYTES),
+    "op11_merkle_manifest": manifest_sql(
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        ["doc_id", "source", "lang", "(n_chars + 1)", "text"],
+        f"{CRC_SQL} % 7 = 0",
+    ),
 }
