@@ -13,6 +13,7 @@ from factlake.llm.decontaminate import find_leaks
 from factlake.llm.language_id import held_out, identify, learn_profiles, learned_from
 from factlake.llm.line_dedup import dedup_report
 from factlake.llm.merkle import folded, leaf, manifest, manifest_sql, proof_digest
+from factlake.llm.mixing import count_words, mix, mix_sql, taken_words
 from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.quality_rules import judge, learn_rules, measure
@@ -108,6 +109,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), count_words(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_mix": op12_source_mix,
 }
 
 # crc32 of the decimal id, bit by bit.
@@ -135,4 +142,5 @@ SQL: dict[str, str] = {
         ["doc_id", "source", "lang", "(n_chars + 1)", "text"],
         f"{CRC_SQL} % 7 = 0",
     ),
+    "op12_source_mix": mix_sql(),
 }

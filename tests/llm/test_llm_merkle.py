@@ -77,7 +77,7 @@ def sample(n, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("arity, n", [(2, 150), (3, 151), (5, 60), (2, 1), (4, 3)])
+@pytest.mark.parametrize("arity, n", [(2, 150), (3, 101), (2, 1)])
 def test_equals_one_by_one(spark, arity, n):
     rows = sample(n)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
