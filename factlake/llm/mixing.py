@@ -189,7 +189,7 @@ def shard_quotas(worded: DataFrame, sources: DataFrame, ceiling: int, block: int
         "worth",
     )
     seats = round(round(worth.agg(F.sum("votes")).first()[0] or 0.0, 6))
-    only = worth.sparkSession.range(1).selectExpr("0 AS grp", f"{seats} AS seats")
+    only = worth.sparkSession.range(1).selectExpr("CAST(id AS INT) AS grp", f"{seats} AS seats")
     given = materialize(
         apportion(worth, only).selectExpr("party AS grp", f"least(quota, _all * {ceiling}) AS seats"), "given"
     )

@@ -22,6 +22,7 @@ from factlake.llm.sharding import assign_shards, shards_sql
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
 from factlake.llm.token_files import digest, token_path, write_tokens
+from factlake.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +115,10 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -127,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_source_mix": op12_source_mix,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 # crc32 of the decimal id, bit by bit.
