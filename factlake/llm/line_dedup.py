@@ -43,7 +43,9 @@ THRESHOLD = 0.8
 SLOTS = 1 << 18
 CLOSEST = 16
 BLOCK = 16_384
-GROUP_ROWS = 200_000
+GROUP_ROWS = 50_000
+# Pairs that a group holds beside each line's nearest.
+HELD_PAIRS = 500_000
 CHUNK = 500_000
 BROADCAST_LINES = 1_000_000
 HOT = 1 << 30
@@ -239,7 +241,25 @@ def _meet(threshold: float, closest: int | None):
         bits = np.stack([rows[n].to_numpy().view(np.uint64)[order] for n in ("bits", "bits2")])
         doc, line = rows["doc"].to_numpy()[order], (rows["ls"].to_numpy() >> 32)[order]
         half = rows["half"].to_numpy()[order] if "half" in rows.column_names else None
-        found, apart = [], []
+        wanted = rows["wanted"].to_numpy(zero_copy_only=False)[order] if closest is None else None
+        seen = np.zeros(len(order), np.int32)
+
+        def nearest(pairs: list[np.ndarray]) -> np.ndarray:
+            """(later, earlier, bits apart) of each line's nearest candidates."""
+            later, earlier, apart = np.concatenate(pairs, 1)
+            by = np.lexsort((line[earlier], doc[earlier], apart, later))
+            later = later[by]
+            near = np.arange(len(by)) - np.searchsorted(later, later) < closest
+            return np.stack([later, earlier[by], apart[by]])[:, near]
+
+        def shown(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for first in range(0, pairs.shape[1], 50_000):
+                y, x, apart = pairs[:, first : first + 50_000]
+                more = seen[y] > closest if closest else np.zeros(len(y), bool)
+                columns = [doc[y], line[y], doc[x], line[x], apart, more]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*Y, *X, "apart", "more"])
+
+        held, waiting = [np.zeros((3, 0), np.int64)], 0
         a, step = np.arange(len(order)), 1
         while len(a):
             a = a[a + step < len(order)]
@@ -254,31 +274,23 @@ def _meet(threshold: float, closest: int | None):
             ok &= (doc[a] != doc[b]) | (line[a] != line[b])
             if half is not None:  # rows of one block meet where both blocks are the same
                 ok &= (half[a] != half[b]) | (own[1, a] == own[2, a])
-            found.append(np.stack([a[ok], b[ok]]))
-            apart.append(differ[ok])
+            x, y = a[ok], b[ok]
+            after = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (line[x] > line[y]))
+            later, earlier = np.where(after, x, y), np.where(after, y, x)
+            seen += np.bincount(later, minlength=len(seen)).astype(np.int32)
+            part = np.stack([later, earlier, differ[ok]])
+            held.append(part if wanted is None else part[:, wanted[later]])
+            waiting += held[-1].shape[1]
+            if waiting > HELD_PAIRS:
+                if closest is None:
+                    yield from shown(np.concatenate(held, 1))
+                    held = []
+                else:
+                    held = [nearest(held)]
+                waiting = 0
             step += 1
-        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        apart = np.concatenate(apart) if apart else np.zeros(0, np.int64)
-        after = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-        later, earlier = np.where(after, a, b), np.where(after, b, a)
-        if closest is None:
-            take = rows["wanted"].to_numpy(zero_copy_only=False)[order][later]
-            later, earlier, between = later[take], earlier[take], apart[take]
-            more = np.zeros(len(later), bool)
-        else:
-            order = np.lexsort((line[earlier], doc[earlier], apart, later))
-            later, earlier = later[order], earlier[order]
-            start = np.searchsorted(later, later)
-            rank = np.arange(len(later)) - start
-            total = np.searchsorted(later, later, "right") - start
-            near = rank < closest
-            more, between = (total > closest)[near], apart[order][near]
-            later, earlier = later[near], earlier[near]
-        for first in range(0, len(later), 50_000):
-            y, x = later[first : first + 50_000], earlier[first : first + 50_000]
-            part = slice(first, first + 50_000)
-            columns = [pa.array(c) for c in (doc[y], line[y], doc[x], line[x], between[part], more[part])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*Y, *X, "apart", "more"])
+        if held:
+            yield from shown(np.concatenate(held, 1) if closest is None else nearest(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -400,18 +412,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str, DataFrame]:
     """All rows of `df` with the number of their document, that column's name,
-    and the documents (doc, _text). The number is the id (null: LAST) if no two
-    rows would share it. Otherwise rows are written down once in the order of
-    id, text and (null ids) row, and the number is the place of the first copy."""
+    and the first row of each document, with its number. The number is the id
+    (null: LAST) if no two rows would share it. Otherwise rows are written down
+    once in the order of id, text, all columns and (null ids) row, and the
+    number is the place of the first copy."""
     name = fresh(df, "_doc")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     known = F.col(key).cast("bigint")
     rows = df.withColumn(name, F.coalesce(known, F.lit(LAST)))
     if rows.groupBy(name).count().filter(F.col("count") > 1).isEmpty():
-        return rows, name, rows.select(F.col(name).alias("doc"), body.alias("_text"))
+        return rows, name, rows
     single = F.when(known.isNull(), F.monotonically_increasing_id()).otherwise(0)
-    keyed = df.select(F.struct(*df.columns).alias("_row"), known.alias("_id"), F.md5(body).alias("_md5"), single.alias("_no"))
-    placed = dense_index(keyed, [F.col("_id").asc_nulls_last(), F.col("_md5"), F.col("_no")], "_place")
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    keyed = df.select(
+        F.struct(*df.columns).alias("_row"),
+        known.alias("_id"),
+        F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_md5"),
+        F.xxhash64(*plain).alias("_all"),
+        single.alias("_no"),
+    )
+    order = [F.col("_id").asc_nulls_last(), F.col("_md5"), F.col("_all"), F.col("_no")]
+    placed = dense_index(keyed, order, "_place")
     copies = placed.filter("_id is not null").groupBy("_id", "_md5")
     copies = copies.agg(F.min("_place").alias("_first"), F.count("*").alias("_copies"))
     copies = written(copies.filter("_copies > 1").drop("_copies"), "copies")
@@ -419,8 +439,12 @@ def documents(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str, DataF
     placed = placed.join(F.broadcast(copies) if few else copies, ["_id", "_md5"], "left")
     doc = F.coalesce("_first", "_place")
     rows = placed.select("_row.*", doc.alias(name))
-    first = placed.filter(doc == F.col("_place")).select("_row.*", doc.alias(name))
-    return rows, name, first.select(F.col(name).alias("doc"), body.alias("_text"))
+    return rows, name, placed.filter(doc == F.col("_place")).select("_row.*", doc.alias(name))
+
+
+def texts_of(first: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc and _text of the documents."""
+    return first.select(F.col(doc).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
 
 
 def removed_lines(
@@ -492,8 +516,8 @@ def _near(texts: DataFrame, pairs: DataFrame, threshold: float, run_words: int)
 def dedup_report(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`key`, n_lines (with a word), n_removed, n_near (those without an equal
     earlier line) and the removed line numbers, from 0, of every document."""
-    rows, doc, texts = documents(df, key, text)
-    lines, removed = removed_lines(texts, **options)
+    rows, doc, first = documents(df, key, text)
+    lines, removed = removed_lines(texts_of(first, doc, text), **options)
     counts = lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
     gone = removed.groupBy("doc").agg(
         F.count("*").alias("n_removed"),
@@ -509,8 +533,8 @@ def dedup_report(df: DataFrame, key: str = "doc_id", text: str = "text", **optio
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns of `df`, the text without its removed lines. Lines
     without a word stay; a null text stays null."""
-    rows, doc, texts = documents(df, key, text)
-    _, removed = removed_lines(texts, **options)
+    rows, doc, first = documents(df, key, text)
+    _, removed = removed_lines(texts_of(first, doc, text), **options)
     lines = fresh(df, "_gone")
     removed = written(removed.select("doc", "line"), "removed-lines")
     gone = removed.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(lines))

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.line_dedup import removed_lines, written
-from factlake.llm.texts import fields, fresh, text_chunks
+from factlake.llm.line_dedup import documents, removed_lines, written
+from factlake.llm.texts import fields, text_chunks
 from factlake.operators.scale import has_at_most, materialize, skew_join
 
 SEED = 42
@@ -294,39 +294,36 @@ def near_duplicates(
     return named.select(key, digits.alias("fingerprint"), "component_id")
 
 
-def keep_first(
-    df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS
-) -> DataFrame:
-    """Rows of `df`, unchanged, one document of each component: the one with
-    the smallest key. Of several rows of one key one stays; rows without a key
-    all stay."""
-    found = materialize(near_duplicates(df, key, text, radius), "components")
-    known = found.filter(F.col(key).isNotNull())
-    later = known.filter(F.col("component_id") != F.col(key)).select(key).distinct()
-    if has_at_most(later, BROADCAST_KEYS):
-        later = F.broadcast(later)
-    kept = df.join(later, key, "left_anti").select(*df.columns)
-    repeated = known.groupBy(key).count().filter("count > 1").select(key)
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").select(*df.columns).unionByName(once.select(*df.columns))
-
-
-def drop_similar(
-    df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, run_words: int = 5
+def one_of_each(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    radius: int = RADIUS,
+    threshold: float | None = None,
+    run_words: int = 5,
 ) -> DataFrame:
-    """Rows of `df`, unchanged, without the documents whose set of five-word
-    runs has a Jaccard similarity of at least `threshold` with that of a
-    document with a smaller key: no pair is missed (the exact join of
-    `line_dedup`, a text being one line). Keys are unique; rows without a key
-    and texts without a word stay."""
-    body = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", " ")
-    known = df.filter(F.col(key).isNotNull())
-    texts = known.select(F.col(key).cast("bigint").alias("doc"), body.alias("_text"))
-    gone = fresh(df, "_gone")
-    later = removed_lines(texts, threshold, run_words=run_words)[1]
-    later = written(later.select(F.col("doc").alias(gone)), "similar")
-    if has_at_most(later, BROADCAST_KEYS):
-        later = F.broadcast(later)
-    return df.join(later, F.col(key).cast("bigint") == F.col(gone), "left_anti").select(*df.columns)
+    """Rows of `df`, unchanged, one document of each component: the first. In
+    the order of `line_dedup.documents`, that is by id; rows without an id, and
+    different texts of one id, are documents of their own. Only rows of one id
+    and one text are one document, of which one row stays.
+
+    With `threshold`, documents then go whose set of `run_words`-word runs has
+    at least that Jaccard similarity with a document of a smaller number among
+    those that are left, whether that one stays or not: of a chain of near
+    copies the first stays. No pair is missed (the exact join of `line_dedup`, a
+    text being one line). Texts without a word stay there."""
+    _, doc, rows = documents(df, key, text)
+    found = near_duplicates(rows.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), "doc", "_text", radius)
+    kept = _without(rows, doc, found.filter("component_id <> doc"), "later")
+    if threshold is not None:
+        kept = materialize(kept, "first-documents")
+        body = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", " ")
+        texts = kept.select(F.col(doc).alias("doc"), body.alias("_text"))
+        kept = _without(kept, doc, removed_lines(texts, threshold, run_words=run_words)[1], "similar")
+    return kept.select(*df.columns)
+
+
+def _without(rows: DataFrame, doc: str, gone: DataFrame, name: str) -> DataFrame:
+    """`rows` without the documents of `gone`."""
+    gone = written(gone.select(F.col("doc").alias(doc)), name)
+    return rows.join(F.broadcast(gone) if has_at_most(gone, BROADCAST_KEYS) else gone, doc, "left_anti")

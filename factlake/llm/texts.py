@@ -14,12 +14,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1_000_000
+# Arrow batches of texts, unless the session says otherwise.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCH, DEFAULT_BATCH = 4_000_000, ("64MB", "67108864", "67108864b")
 # Units whose codes a worker remembers: about 250 bytes each.
 REMEMBERED = 700_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Python workers find this package wherever the driver was started."""
+    """Python workers find this package wherever the driver was started, and
+    get texts in small batches."""
+    if spark.conf.get(BATCH_BYTES) in DEFAULT_BATCH:
+        spark.conf.set(BATCH_BYTES, str(SMALL_BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:

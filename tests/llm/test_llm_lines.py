@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factlake.llm import line_dedup
@@ -151,3 +152,29 @@ def test_empty_table(spark):
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         dedup_report(frame(spark, sample()), threshold=0.3)
+
+
+def test_groups_of_templated_lines_stay_small(spark):
+    """All lines of a group resemble each other: 32 million pairs, of which a
+    group holds each line's nearest only."""
+    import resource
+
+    from factlake.llm.line_dedup import PLACE_BITS, _meet
+
+    n, rng = 8_000, np.random.default_rng(1)
+    bits = np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array(np.full(n, 30)), pa.array(bits.view(np.int64)),
+         pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, 5 << PLACE_BITS))],
+        names=["doc", "ls", "bits", "bits2", "kp"],
+    )
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = pa.Table.from_batches(list(_meet(0.8, 16)(iter([rows]))))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    y, x = out["y_doc"].to_numpy(), out["x_doc"].to_numpy()
+    assert out.num_rows == 16 * (n - 16) + sum(range(16)) and (y > x).all()
+    apart = out["apart"].to_numpy()
+    for doc in (20, 4000, 7999):
+        own = np.bitwise_count(bits[:doc] ^ bits[doc])
+        assert sorted(apart[y == doc]) == sorted(own)[:16]
+    assert out["more"].to_numpy()[y > 16].all() and not out["more"].to_numpy()[y <= 16].any()

@@ -9,7 +9,7 @@ import xxhash
 
 from factlake.llm import near_dedup
 from factlake.llm.near_dedup import (
-    components, covering_masks, fingerprint, keep_first, links_within, local_links, near_duplicates, shingle_hashes,
+    components, covering_masks, fingerprint,  links_within, local_links, near_duplicates, one_of_each, shingle_hashes,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,13 +140,24 @@ def test_chains_and_stars_become_components(spark):
 
 
 def test_one_document_of_each_component_stays(spark):
-    rows = edge_rows()
-    frame = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, count string")
-    kept = keep_first(frame)
-    assert kept.columns == frame.columns
-    got = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
-    assert got == sorted({c for i, _, c in slow(rows) if i is not None})
-    assert kept.filter("doc_id is null").count() == 2
+    """Rows without an id, and different texts of one id, are documents."""
+    from hashlib import md5
+
+    def order(row):
+        return (row[0] is None, row[0] or 0, md5((row[1] or "").encode()).hexdigest())
+
+    fox, law = "the quick brown fox jumps over the lazy dog " * 3, "tax law of the year says that all income counts " * 3
+    rows = edge_rows() + [(7000, fox), (7000, law), (7000, law), (None, law + "twice"), (None, "alone here"), (None, None)]
+    frame = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _doc string")
+    documents = [r for r in rows if r[0] is None] + list({r for r in rows if r[0] is not None})
+    documents = sorted(documents, key=order)
+    found = slow([(n, t) for n, (_, t) in enumerate(documents)])
+    expected = sorted((documents[n] for n, _, c in found if n == c), key=str)
+    assert len(expected) < len(documents) and (7000, fox) in expected and (None, "alone here") in expected
+    for part in (3, 5):
+        kept = one_of_each(frame.repartition(part))
+        assert kept.columns == frame.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == expected
     assert near_dedup.RADIUS == 4
 
 
@@ -162,7 +173,7 @@ def test_no_pair_of_kept_documents_is_similar(spark):
             for _ in range(k * len(base) // 100):
                 words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
             rows.append((4 * i + k, "\n".join(" ".join(words[a : a + 7]) for a in range(0, len(words), 7))))
-    rows += [(900, ""), (None, rows[1][1])]
+    rows += [(900, ""), (None, max((t for _, t in rows), key=len) + " more")]
 
     def runs(text):
         words = text.lower().split()
@@ -172,9 +183,9 @@ def test_no_pair_of_kept_documents_is_similar(spark):
         return len(a & b) >= 0.8 * len(a | b) - 1e-9
 
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    first = {r.doc_id: runs(r.text) for r in keep_first(df).collect() if r.doc_id is not None and r.text}
-    expected = {i for i, a in first.items() if not any(j < i and like(a, b) for j, b in first.items())}
+    first = {r.doc_id: runs(r.text) for r in one_of_each(df).collect() if r.text}
+    expected = {i for i, a in first.items() if i is not None and not any(j is not None and j < i and like(a, b) for j, b in first.items())}
     assert expected != set(first)
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
-    assert sorted(i for i in got if i not in (None, 900)) == sorted(expected)
-    assert None in got and 900 in got
+    assert sorted(i for i in got if i not in (None, 900)) == sorted(i for i in expected if i is not None)
+    assert None not in got and 900 in got
