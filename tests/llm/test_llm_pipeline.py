@@ -8,10 +8,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from test_llm_lines import slow as slow_lines
+from test_llm_leaks import index_of
 from test_llm_near_dedup import slow as slow_components
 
 import corpus_pipeline
-from factlake.llm.decontaminate import Index, leaks
+from factlake.llm.decontaminate import leaks
 from factlake.llm.language_id import MIN_SCORE, UNKNOWN, Nearest, grams
 from factlake.operators.scale import materialize, scratch_path
 
@@ -34,7 +35,7 @@ def by_hand(rows, items):
     gone, _ = slow_lines(sorted(docs.items()))
     docs = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs.items()}
     docs = {i: docs[i] for i, _, c in slow_components(list(docs.items())) if c == i}
-    index = Index(items, 0.5)
+    index = index_of(items, 0.5)
     docs = {i: t for i, t in docs.items() if not leaks([index], [t], 0.5)}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     return {i: (t, library.encode(t)) for i, t in docs.items()}
