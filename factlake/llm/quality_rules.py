@@ -67,8 +67,9 @@ def repeat_words(words: Column, run: int = RUN) -> Column:
     """Words that stand in a run of `run` words found twice or more.
 
     A run's hash is shifted to make room for its place, so sorted numbers have
-    equal runs side by side; a text of n words keeps 64 - log2(n) bits, and the
-    chance of a wrong pair is below n^3 / 2^65.
+    equal runs side by side; a text of n words keeps 64 - log2(n) bits. What is
+    found so are all repeated runs and, rarely, others, so the words themselves
+    are compared in the same way among these places.
     """
 
     def marked(room: Column) -> Column:
@@ -88,10 +89,24 @@ def repeat_words(words: Column, run: int = RUN) -> Column:
                 | (high(x) == high(F.get(sorted_, i + 1))),
             )
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), room) - 1
-            return let(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask))), covered)
+            return let(F.transform(twice, lambda x: x.bitwiseAND(mask)), exact)
 
         return let(F.sort_array(hashed), same)
 
+    def exact(places: Column) -> Column:
+        runs = F.transform(
+            places, lambda p: F.struct(F.array_join(F.slice(words, p.cast("int") + 1, run), " ").alias("w"), p.alias("p"))
+        )
+
+        def same(sorted_: Column) -> Column:
+            twice = F.filter(
+                sorted_,
+                lambda x, i: (x["w"] == F.get(sorted_, i - 1)["w"]) | (x["w"] == F.get(sorted_, i + 1)["w"]),
+            )
+            return let(F.sort_array(F.transform(twice, lambda x: x["p"])), covered)
+
+        return let(F.sort_array(runs), same)
+
     def covered(places: Column) -> Column:
         own = F.transform(
             places,

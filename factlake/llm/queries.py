@@ -18,11 +18,12 @@ from factlake.llm.near_dedup import near_duplicates
 from factlake.llm.piece_codec import encode_pieces
 from factlake.llm.quality_rules import judge, learn_rules, measure
 from factlake.llm.quotes import reply_order
-from factlake.llm.sharding import assign_shards, shards_sql
+from factlake.llm.sharding import assign_shards, read_shards, shards_sql, write_shards
 from factlake.llm.texts import ship
 from factlake.llm.token_counts import count_tokens
 from factlake.llm.token_files import digest, token_path, write_tokens
 from factlake.llm.whitening import whiten
+from factlake.operators.scale import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,9 +78,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
-    assigned = assign_shards(sized, F.col("n_bytes"), SHARD_BYTES)
-    return assigned.select("doc_id", "n_bytes", "depth", "shard")
+    size, path = F.octet_length("text"), scratch_path(spark, "shards")
+    write_shards(assign_shards(table(spark, sf_dir, "documents"), size, SHARD_BYTES), path)
+    return read_shards(spark, path, size, SHARD_BYTES).select("doc_id", "n_bytes", "depth", "shard")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

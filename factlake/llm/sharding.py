@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.operators.scale import lookup_join, materialize
@@ -107,6 +107,22 @@ def write_shards(assigned: DataFrame, path: str) -> None:
     named.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, size: Column, limit: int) -> DataFrame:
+    """What stands in the files: all rows with shard, depth and n_bytes (of
+    `size`). Raises if a shard of several rows is above the limit."""
+    rows = spark.read.parquet(path).withColumns(
+        {
+            "n_bytes": F.coalesce(size.cast("bigint"), F.lit(0)),
+            "depth": F.length("shard") - 1,
+            "shard": F.expr("substring(shard, 2)"),
+        }
+    )
+    sums = rows.groupBy("shard").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("rows"))
+    if not sums.filter((F.col("n") > limit) & (F.col("rows") > 1)).isEmpty():
+        raise ValueError(f"a shard in {path} is above {limit} bytes")
+    return rows
+
+
 def shards_sql(limit: int, deepest: int = 20) -> str:
     """The same directory in SQL, for keys whose rows fit a shard."""
     return f"""

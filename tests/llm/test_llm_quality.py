@@ -43,6 +43,16 @@ def test_statistics_equal_python(spark):
     assert measure(frame.limit(0)).collect() == []
 
 
+def test_long_texts_have_no_false_repeats(spark):
+    """A million different words, and as many with one run twice."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda x: F.concat(F.lit("w"), x))
+    frame = spark.range(2).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    again = F.concat("text", F.lit(" w77 w78 w79 w80"))
+    frame = frame.withColumn("text", F.when(F.col("doc_id") == 1, again).otherwise(F.col("text")))
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in measure(frame).collect()}
+    assert got == {0: (1_000_000, 0), 1: (1_000_004, 8)}
+
+
 def test_plan_has_no_python(spark, sf):
     out = measure(spark.read.parquet(f"{sf}/documents.parquet"))
     plan = out._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.llm.sharding import assign_shards, key_hash, write_shards
+from factlake.llm.sharding import assign_shards, key_hash, read_shards, write_shards
 from factlake.operators.scale import scratch_path
 
 
@@ -63,3 +63,9 @@ def test_empty_table_and_files(spark):
     found = spark.read.parquet(path)
     assert {"s" + r.shard for r in assigned.collect()} == {r.shard for r in found.select("shard").distinct().collect()}
     assert found.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).filter("n > 200").isEmpty()
+    back = read_shards(spark, path, F.octet_length("text"), 200)
+    assert sorted(back.select("doc_id", "n_bytes", "depth", "shard", "extra").collect()) == sorted(
+        assigned.select("doc_id", "n_bytes", "depth", "shard", "extra").collect()
+    )
+    with pytest.raises(ValueError):
+        read_shards(spark, path, F.octet_length("text"), 100)
