@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.operators.chunking import chunk_full, chunk_sliding, with_document
+from factlake.functions.text import sliding_windows
+from factlake.operators.chunking import with_document
 from factlake.operators.grid import CHUNK_TYPE, CHUNKINGS
 from factlake.operators.kb import index_checkpoint, pending_documents, rollback
 from factlake.operators.scale import scratch_path
 from factlake.operators.scoring import Encoder, embed_variants
-from factlake.sources.kb import read_kb, snapshot_kb, write_kb
+from factlake.sources.growing_index import catch_up, insert_batch
+from factlake.sources.kb import read_batch, read_kb, snapshot_kb, with_vec_id, write_kb
 
 # Rows per call of an encoder, and calls between two snapshots.
 EMBED_BATCH = 128
@@ -24,15 +25,19 @@ ROWS_PER_COMMIT = 1_000_000
 def kb_rows(news: DataFrame, encoders: Mapping[str, Encoder]) -> DataFrame:
     """Rows of the knowledge base for every model and chunking."""
     docs = with_document(news).select("source_index", "label", "content")
-    kinds = []
-    for chunking in CHUNKINGS:
-        chunk = chunk_full if CHUNK_TYPE[chunking] == "full" else chunk_sliding
-        kinds.append(chunk(docs).withColumn("chunking", F.lit(chunking)))
-    chunks = reduce(DataFrame.unionByName, kinds)
+    chunks = docs.select("source_index", "label", F.inline(F.concat(*map(_chunks, CHUNKINGS))))
     models = F.explode(F.array(*[F.lit(m) for m in encoders])).alias("embedding_model")
     return embed_variants(chunks.select("*", models), encoders, EMBED_BATCH)
 
 
+def _chunks(chunking: str) -> Column:
+    """All chunks of one kind, so that one scan makes those of every kind."""
+    texts = F.array("content") if CHUNK_TYPE[chunking] == "full" else sliding_windows(F.col("content"))
+    return F.transform(
+        F.coalesce(texts, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(chunking).alias("chunking"), i.alias("chunk_no"), x.alias("content"))
+    )
+
+
 def variants_of(encoders: Mapping[str, Encoder]) -> list[tuple[str, str]]:
     return [(m, c) for m in encoders for c in CHUNKINGS]
 
@@ -44,12 +49,18 @@ def build_kb(
     rows_per_commit: int = ROWS_PER_COMMIT,
     snapshot_root: str | None = None,
     snapshot_every: int = SNAPSHOT_EVERY,
+    index_root: str | None = None,
+    lists: int | None = None,
 ) -> int:
     """Indexes the documents after the resume point, one commit for each range
     of `rows_per_commit` positions, all variants together. Returns the number
     of commits. A folder left unfinished by a crash is not read, and the range
-    it belongs to is written again under the same name."""
+    it belongs to is written again under the same name. With `index_root` the
+    inverted lists of every variant grow with each commit; batches that a killed
+    run has written but not indexed come first."""
     spark = news.sparkSession
+    if index_root:
+        catch_up(spark, path, index_root, variants_of(encoders), lists=lists)
     reached = resume_point(spark, path, encoders)
     last = news.agg(F.max("source_index")).first()[0]
     if last is None or last <= reached:
@@ -59,6 +70,9 @@ def build_kb(
     for start in range(reached + 1, last + 1, rows_per_commit):
         part = spark.read.schema(news.schema).parquet(f"{ranges}/_commit={commits}")
         write_kb(kb_rows(part, encoders), path, f"{start:012d}")
+        if index_root:
+            batch = read_batch(spark, path, f"{start:012d}")
+            insert_batch(with_vec_id(batch), index_root, f"{start:012d}", lists)
         commits += 1
         if snapshot_root and commits % snapshot_every == 0:
             snapshot_kb(read_kb(spark, path), snapshot_root)

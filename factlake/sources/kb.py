@@ -47,6 +47,11 @@ def read_kb(
     return kb
 
 
+def read_batch(spark: SparkSession, path: str, batch: str) -> DataFrame:
+    """The rows of one finished batch."""
+    return _read_folders(spark, {batch: f"{path}/batch={batch}"}, path)
+
+
 def with_vec_id(kb: DataFrame) -> DataFrame:
     """Adds the id that the search needs, unique within one model and chunking.
     A document with 2^20 chunks or more is an error, as its ids would run into

@@ -10,6 +10,7 @@ from factlake.operators.scale import materialize, scratch_path
 from factlake.plans import index
 from factlake.schemas import NEWS as NEWS_SCHEMA
 from factlake.sources import kb as store
+from factlake.sources.growing_index import variant_index
 from factlake.streaming.index_stream import index_stream, news_stream
 from registry.news import DOCUMENT, sliding_sql, words_sql
 from registry.tables import NEWS, news, with_
@@ -73,6 +74,34 @@ def kb_build(spark, sf):
     return _shown(store.read_kb(spark, _built(spark, sf)))
 
 
+@query(
+    with_(ROWS)
+    + "SELECT embedding_model, chunking, source_index, chunk_no, label, CAST(1 AS BIGINT) AS n_places FROM rows"
+)
+def kb_indexed(spark, sf):
+    """The inverted lists that grew with the knowledge base: two thirds of the
+    articles by commits, the rest as a stream."""
+    path, root = scratch_path(spark, "kb"), scratch_path(spark, "lists")
+    docs = materialize(numbered(spark, sf), "news")
+    size = docs.agg(F.ceil(F.count("*") / 3).cast("int")).first()[0]
+    first = docs.filter(F.col("source_index") < 2 * size)
+    index.build_kb(first, path, ENCODERS, rows_per_commit=size, index_root=root, lists=5)
+    arrived = scratch_path(spark, "arrivals")
+    late = docs.filter(F.col("source_index") >= 2 * size)
+    late.select(*[F.col(f.name).cast(f.dataType) for f in NEWS_SCHEMA]).write.parquet(arrived)
+    stream = index_stream(
+        news_stream(spark, arrived), path, ENCODERS, scratch_path(spark, "checkpoint"), root, lists=5
+    )
+    stream.awaitTermination()
+    out = None
+    for model, chunking_ in index.variants_of(ENCODERS):
+        members = variant_index(spark, root, model, chunking_).members()
+        part = members.withColumns({"embedding_model": F.lit(model), "chunking": F.lit(chunking_)})
+        out = part if out is None else out.unionByName(part)
+    keys = ["embedding_model", "chunking", "source_index", "chunk_no"]
+    return out.groupBy(*keys, F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_places"))
+
+
 @query(with_(ROWS) + "SELECT * FROM rows WHERE embedding_model = 'EMB-B' AND chunking = 'CHUNK-B'")
 def kb_scan(spark, sf):
     return _shown(store.read_kb(spark, _built(spark, sf), "EMB-B", "CHUNK-B"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from factlake.functions.vectors import cosine_distance
 from factlake.operators import ivf, scoring, similarity
-from factlake.operators.scale import scratch_path
+from factlake.operators.scale import materialize, scratch_path
+from factlake.sources import growing_index as growing
 from registry.tables import (
     KB,
     as_queries,
@@ -205,6 +206,79 @@ def ivf_training(spark, sf):
     )
 
 
+ARRIVALS = 4
+
+
+@query(
+    with_(
+        KB,
+        CENTROIDS,
+        probes_sql("kb", "vec_id", 2, "probes"),
+        probes_sql("kb", "vec_id", 1, "lists"),
+        f"""found AS (
+  SELECT * FROM (
+    SELECT arrival, query_id, vec_id, distance, row_number() OVER (
+      PARTITION BY arrival, query_id ORDER BY distance ASC NULLS LAST, vec_id) AS rank
+    FROM (
+      SELECT a.arrival, q.vec_id AS query_id, c.vec_id, {distance_sql('q.embedding', 'c.embedding')} AS distance
+      FROM (SELECT CAST(unnest(range({ARRIVALS})) AS INTEGER) AS arrival) a
+      JOIN lists l ON l.vec_id % {ARRIVALS} <= a.arrival
+      JOIN probes p ON p.list_id = l.list_id AND p.vec_id <> l.vec_id
+      JOIN kb q ON q.vec_id = p.vec_id JOIN kb c ON c.vec_id = l.vec_id))
+  WHERE rank <= 3)""",
+    )
+    + "SELECT arrival, query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM found"
+)
+def growing_index(spark, sf):
+    """All vectors arrive in four parts; after each, every vector searches what
+    is there."""
+    vectors = kb(spark, sf)
+    index = growing.GrowingIndex(spark, scratch_path(spark, "growing"))
+    index.create(given_centroids(spark, sf))
+    out = None
+    for arrival in range(ARRIVALS):
+        index.insert(vectors.filter(F.col("vec_id") % ARRIVALS == arrival), f"arrival-{arrival}")
+        members, lists = index.search_with(2)
+        found = ivf.ivf_search(as_queries(vectors), members, lists.centroids, 2, 3, exclude_own=True)
+        found = materialize(_result(found).withColumn("arrival", F.lit(arrival)), "found")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    with_(KB)
+    + """SELECT vec_id, label, CAST(1 AS BIGINT) AS n_places, true AS fits, true AS known_list,
+  true AS nearer_half FROM kb"""
+)
+def growing_index_splits(spark, sf):
+    """The same with lists of at most 60 rows: every row is in one list, which
+    is small enough and among those that are not retired; of two halves made by
+    one split, a row is in the nearer one."""
+    vectors = kb(spark, sf)
+    index = growing.GrowingIndex(spark, scratch_path(spark, "growing"), max_rows=60)
+    index.create(given_centroids(spark, sf).filter("list_id < 3"))
+    for arrival in range(ARRIVALS):
+        index.insert(vectors.filter(F.col("vec_id") % ARRIVALS == arrival), f"arrival-{arrival}")
+    members = materialize(index.members(), "members")
+    sizes = members.groupBy("list_id").agg((F.count("*") <= 60).alias("fits"))
+    lists = index.centroids().select("list_id", F.lit(True).alias("known_list"), F.col("embedding").alias("own"))
+    # halves have neighbouring numbers, the first after the given three
+    other = lists.select(
+        F.when(F.col("list_id") % 2 == 1, F.col("list_id") + 1).otherwise(F.col("list_id") - 1).alias("list_id"),
+        F.col("own").alias("other"),
+    ).filter("list_id > 2")
+    placed = members.join(sizes, "list_id").join(lists, "list_id", "left").join(other, "list_id", "left")
+    nearer = F.round(cosine_distance(F.col("embedding"), F.col("own")), 6) <= F.round(
+        cosine_distance(F.col("embedding"), F.col("other")), 6
+    )
+    return placed.groupBy("vec_id", "label").agg(
+        F.count("*").alias("n_places"),
+        F.bool_and("fits").alias("fits"),
+        F.bool_and(F.coalesce("known_list", F.lit(False))).alias("known_list"),
+        F.bool_and(F.coalesce(nearer, F.lit(True))).alias("nearer_half"),
+    )
+
+
 @query(
     with_(KB, nearest_sql(3), f"votes AS ({vote_sql('nearest', 'query_id')})")
     + "SELECT query_id, verdict AS label, confidence FROM votes"
