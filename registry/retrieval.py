@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factlake.functions.vectors import cosine_distance
-from factlake.operators import ivf, scoring, similarity
+from factlake.operators import ivf, pivots, scoring, similarity
 from factlake.operators.scale import materialize, scratch_path
 from factlake.sources import growing_index as growing
 from registry.tables import (
@@ -84,6 +84,13 @@ def similarity_top_k_cells(spark, sf):
     )
 
 
+@query(with_(KB, nearest_sql(3)) + NEAREST + "nearest")
+def similarity_top_k_pivots(spark, sf):
+    """The same, leaving out the cells that hold nothing near."""
+    vectors = kb(spark, sf)
+    return _result(pivots.pivot_join(as_queries(vectors), vectors, 3, exclude_own=True))
+
+
 CENTROIDS = """dims AS (
   SELECT label AS list_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
