@@ -37,6 +37,8 @@ from factlake.operators.scale import scratch_path
 
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
+ROWS_PER_KEY = 10_000
+CUT_CHARS = 200
 
 
 # ---- codes ----------------------------------------------------------------
@@ -232,9 +234,12 @@ def write_tokens(
     key: str = "doc_id",
     text: str = "text",
     segment_tokens: int = SEGMENT_TOKENS,
+    rows_per_key: int = ROWS_PER_KEY,
 ) -> None:
     """Write the ids of every text, each with `end_id` behind it, in ascending
-    order of `key`. A segment ends with the document that fills it."""
+    order of `key`, rows of one key by text. A segment ends with the document
+    that fills it. If a key has more than `rows_per_key` rows, ranges may cut
+    keys by the beginning of texts, so that rows without a key are many tasks."""
     kind = dict(df.select(key).dtypes)[key]
     out = (
         "shard int, segment int, shard_start bigint, n_tokens bigint, "
@@ -280,8 +285,11 @@ def write_tokens(
             yield row()
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    ordered = df.select(F.col(key), whole).repartitionByRange(F.col(key).asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col(key).asc_nulls_first(), "_text")
+    known = F.col(key).asc_nulls_first()
+    # Only the rows of a hot key need their texts to be told apart
+    hot = not df.groupBy(key).count().filter(F.col("count") > rows_per_key).isEmpty()
+    ranges = [known, F.substring("_text", 1, CUT_CHARS)] if hot else [known]
+    ordered = df.select(F.col(key), whole).repartitionByRange(*ranges).sortWithinPartitions(known, "_text")
     ordered.mapInArrow(run, out).write.parquet(path)
 
 

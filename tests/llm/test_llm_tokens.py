@@ -172,6 +172,20 @@ def test_token_files_of_edge_rows(spark, segment):
         assert token_files.read_segments(spark, path).count() > 3
 
 
+def test_half_of_all_rows_without_an_id(spark):
+    rows = [(None if i % 2 else i, f"text {i * 7919 % 1000:03d} of many") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = []
+    for limit in (10_000, 50):
+        path = token_path(spark)
+        write_tokens(frame, path, WORDS, 2, rows_per_key=limit)
+        found.append(sorted(digest(spark, path).collect(), key=lambda r: r.start))
+        shards = token_files.read_segments(spark, path).groupBy("shard").agg({"n_tokens": "sum"}).collect()
+        share = max(r[1] for r in shards) / sum(r[1] for r in shards)
+        assert share > 0.45 if limit == 10_000 else share < 0.4
+    assert found[0] == found[1]
+
+
 def test_token_files_of_nothing(spark):
     path = token_path(spark)
     write_tokens(edge_frame(spark).limit(0), path, WORDS, 2)
