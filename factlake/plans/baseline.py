@@ -6,7 +6,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from factlake.operators.features import (
     emotion_scores,
     fit_tfidf,
 )
-from factlake.operators.forest import predict, train_forest
+from factlake.operators.forest import Forest, predict, train_forest
 from factlake.operators.pca import PcaModel, fit_pca
 from factlake.operators.scale import materialize
 from factlake.operators.scoring import embed_mean
@@ -85,7 +84,7 @@ class BaselineRun:
     metrics: DataFrame
     latency_mean_sec: float
     features: FeatureModel
-    forest: RandomForestClassificationModel
+    forest: Forest
 
 
 def run_baseline(
@@ -97,7 +96,8 @@ def run_baseline(
     features = fit_features(train_docs, vectors, dim, lexicon)
     forest = train_forest(materialize(features.transform(train_docs), "features"))
     start = time.perf_counter()
-    scored = materialize(predict(forest, features.transform(cleaned(test))), "predictions")
+    test_docs = materialize(cleaned(test), "test")
+    scored = materialize(predict(forest, materialize(features.transform(test_docs), "features")), "predictions")
     seconds = time.perf_counter() - start
     predictions = scored.withColumnRenamed("label", "y_true")
     latency = seconds / max(1, predictions.count())

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from factlake.operators import features as ft
 from factlake.operators import scale, scoring
-from factlake.operators.forest import feature_importances
+from factlake.operators.forest import (
+    Nodes, _predict_joined, feature_importances, grow, predict, train_forest, tree_depths, walk, weights,
+)
 from factlake.operators.pca import fit_pca
 from factlake.operators.scoring import embed_mean
 from factlake.plans import baseline
@@ -179,3 +181,93 @@ def test_mean_vectors_with_gaps(spark, max_bytes):
     assert got == {1: [1.0, 2.0], 2: [11 / 4, 0.5], 3: [0.0, 0.0], 4: [0.0, 0.5]}
     with pytest.raises(Exception, match="2 numbers"):
         embed_mean(docs, vectors.filter("word = 'b'").selectExpr("word", "array(1.0D) as vector"), 2).collect()
+
+
+def labelled(spark, x, y):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))]
+    frame = spark.createDataFrame(rows, "doc_id long, x array<double>, label int").repartition(3)
+    return frame.select("doc_id", "label", array_to_vector("x").alias("features"))
+
+
+def answers(model, df):
+    return {r.doc_id: r.y_pred for r in predict(model, df).collect()}
+
+
+def test_draws_follow_poisson():
+    w = weights(np.arange(200_000), 3, 42)
+    shares = np.bincount(w, minlength=4)[:4] / len(w)
+    assert shares == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.005)
+    assert (weights(np.arange(5), 4, 42) != weights(np.arange(5), 3, 42)).any()
+
+
+def test_no_limit_of_depth(spark):
+    """Rows that alternate between the classes along their only useful feature;
+    a tree that draws every row tells all of them apart."""
+    n = 240
+    x = np.array([[2.0**-i if i < 60 else i, 5.0] for i in range(n)])
+    y = np.arange(n) % 2
+    df = labelled(spark, x, y)
+    model = train_forest(df, trees=15, seed=1)
+    got = answers(model, df)
+    assert np.mean([got[i] == y[i] for i in range(n)]) > 0.85
+    whole = grow(x, y.astype(float), np.ones(n), [1], 1)
+    ends = walk(whole.arrays(), x)
+    assert (np.array(whole.ones)[ends] == y).all()
+    z = np.array([[float(3**i)] for i in range(80)])
+    steps = grow(z, (np.arange(80) % 2).astype(float), np.ones(80), [1], 1)
+    assert (np.array(steps.ones)[walk(steps.arrays(), z)] == np.arange(80) % 2).all()
+
+
+def test_trees_deeper_than_thirty(spark):
+    """Each value's weight outdoes all above it together, so Gini cuts them off
+    one by one."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = []
+    for level in range(45):
+        rows += [(float(level), level % 2)] * int(1.25 ** (44 - level) + 1)
+    df = labelled(spark, [[v] for v, _ in rows], [c for _, c in rows])
+    model = train_forest(df, trees=4, seed=3)
+    assert max(r.depth for r in tree_depths(model).collect()) > 30
+    got = answers(model, df)
+    assert np.mean([got[i] == c for i, (_, c) in enumerate(rows)]) > 0.98
+
+
+def test_levels_and_subtrees_make_one_forest(spark):
+    """Large nodes by histograms, small ones in tasks, and both ways to predict."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 6))
+    x[:, 5] = 1.0
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] + 0.2 * x[:, 2] > 0)).astype(int)
+    df, fresh = labelled(spark, x[:1000], y[:1000]), labelled(spark, x[1000:], y[1000:])
+    scores = []
+    for small in (20_000, 100):
+        model = train_forest(df, trees=20, small=small)
+        assert (model.tops.count() > 20) == (small == 100)
+        got = answers(model, fresh)
+        scores.append(np.mean([got[i] == y[1000 + i] for i in range(500)]))
+        joined = {r.doc_id: r.y_pred for r in _predict_joined(model, fresh, rows_per_piece=90).collect()}
+        assert joined == got and predict(model, fresh, broadcast_nodes=0).columns == ["doc_id", "label", "y_pred"]
+        known = answers(model, df)
+        assert np.mean([known[i] == y[i] for i in range(1000)]) > 0.97
+    assert min(scores) > 0.88
+    again = answers(train_forest(df.repartition(7), trees=20, small=100), fresh)
+    assert again == got
+
+
+def test_alike_rows_one_class_and_no_rows(spark):
+    same = labelled(spark, [[1.0, 2.0]] * 40, [0, 1, 1, 1] * 10)
+    for small in (5, 100):
+        model = train_forest(same, trees=5, small=small)
+        assert set(answers(model, same).values()) == {1}
+    one = labelled(spark, [[float(i)] for i in range(9)], [1] * 9)
+    assert set(answers(train_forest(one, trees=3), one).values()) == {1}
+    # all values of a large node in one bin
+    narrow = labelled(spark, [[0.0]] * 500 + [[1e-9 * i] for i in range(60)], [0] * 500 + [i // 30 for i in range(60)])
+    model = train_forest(narrow, trees=9, small=10)
+    assert np.mean(list(answers(model, narrow).values())) == pytest.approx(30 / 560, abs=0.02)
+    with pytest.raises(ValueError):
+        train_forest(same.limit(0))
+    assert Nodes().feature == [-1]
