@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from factlake.functions.text import compose_document, sliding_windows, window_count
 from factlake.operators.scale import running_total
 
+# Ids of one bin of a range join.
+BIN_IDS = 64
+
 
 def with_document(news: DataFrame) -> DataFrame:
     """Adds `content`: title, blank line, text."""
@@ -39,14 +42,19 @@ def chunk_id_ranges(counts: DataFrame) -> DataFrame:
     return total.withColumn("first_id", F.col("last_id") - F.col("n_chunks") + 1)
 
 
-def backfill_source_index(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Gives every chunk the document whose id range holds its `id`. The ranges
-    are laid out as single ids, which turns the range join into an equi-join
-    on unique keys."""
-    ids = ranges.filter("n_chunks > 0").select(
-        "source_index", F.explode(F.sequence("first_id", "last_id")).alias("id")
-    )
-    return chunks.drop("source_index").join(ids, "id", "left")
+def backfill_source_index(chunks: DataFrame, ranges: DataFrame, width: int = BIN_IDS) -> DataFrame:
+    """Gives every chunk the document whose id range holds its `id`; none is
+    NULL, and several ranges give several rows. Ranges are cut to bins of
+    `width` ids, a row for each bin that they touch and none for each id; ids
+    and ranges meet in their bin, where the ends decide."""
+    bins = F.sequence(F.expr(f"first_id div {width}"), F.expr(f"last_id div {width}"))
+    cut = ranges.filter("n_chunks > 0 AND first_id <= last_id").select(
+        F.col("source_index").alias("_doc"), F.col("first_id").alias("_first"), F.col("last_id").alias("_last"),
+        F.explode(bins).alias("_bin"),
+    )
+    own = chunks.drop("source_index")
+    inside = F.expr(f"id div {width} = _bin AND id BETWEEN _first AND _last")
+    return own.join(cut, inside, "left").select(*own.columns, F.col("_doc").alias("source_index"))
 
 
 def backfill_full(chunks: DataFrame) -> DataFrame:

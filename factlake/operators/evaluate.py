@@ -65,8 +65,9 @@ def mean_latency() -> Column:
     return F.avg(F.when(F.col("y_pred").isNotNull(), F.col("latency_sec")))
 
 
-def round_metrics(df: DataFrame, digits: int = 4) -> DataFrame:
-    names = [c for c in df.columns if c in METRICS or c == "latency_mean_sec"]
+def round_metrics(df: DataFrame, digits: int = 4, names: Sequence[str] | None = None) -> DataFrame:
+    """Rounds the metrics and the latency, or the named columns."""
+    names = names or [c for c in df.columns if c in METRICS or c == "latency_mean_sec"]
     return df.withColumns({c: F.round(c, digits) for c in names})
 
 

@@ -180,10 +180,9 @@ def durations(spark, sf):
 
 @query("SELECT event_id, round(value / 7, 4) AS four, round(value / 7, 6) AS six FROM events")
 def rounded_values(spark, sf):
-    values = table(spark, sf, "events").select("event_id", (F.col("value") / 7).alias("f1"))
-    four = evaluate.round_metrics(values, 4).withColumnRenamed("f1", "four")
-    six = evaluate.round_metrics(values, 6).withColumnRenamed("f1", "six")
-    return four.join(six, "event_id")
+    share = F.col("value") / 7
+    values = table(spark, sf, "events").select("event_id", share.alias("four"), share.alias("six"))
+    return evaluate.round_metrics(evaluate.round_metrics(values, 4, ["four"]), 6, ["six"])
 
 
 def _rule(request: dict) -> str:

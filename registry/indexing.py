@@ -145,9 +145,58 @@ reached AS (
     (SELECT max(source_index) AS m FROM uneven GROUP BY embedding_model, chunking))"""
 
 
-@query(with_(UNEVEN) + "SELECT checkpoint FROM reached")
+LISTED = "(VALUES " + ", ".join(f"('{m}', '{c}')" for m, c in VARIANTS) + ")"
+MORE = [*VARIANTS, ("EMB-C", "CHUNK-A"), ("EMB-C", "CHUNK-B")]
+LISTED_MORE = "(VALUES " + ", ".join(f"('{m}', '{c}')" for m, c in MORE) + ")"
+
+
+def reached_sql(name: str, listed: str) -> str:
+    return f"""SELECT '{name}' AS asked, min(coalesce(m, -1)) AS checkpoint
+FROM {listed} v(embedding_model, chunking) LEFT JOIN (
+  SELECT embedding_model, chunking, max(source_index) AS m FROM uneven GROUP BY 1, 2)
+USING (embedding_model, chunking)"""
+
+
+@query(
+    with_(UNEVEN) + reached_sql("indexed", LISTED) + " UNION ALL " + reached_sql("with a new model", LISTED_MORE)
+)
 def resume_point(spark, sf):
-    return state.index_checkpoint(_uneven(spark, sf), VARIANTS)
+    """Of the variants that are there, and with a model that has no rows yet."""
+    kb = _uneven(spark, sf)
+    some = state.index_checkpoint(kb, VARIANTS).withColumn("asked", F.lit("indexed"))
+    more = state.index_checkpoint(kb, MORE).withColumn("asked", F.lit("with a new model"))
+    return some.unionByName(more).select("asked", "checkpoint")
+
+
+def prefix_sql(name: str, listed: str) -> str:
+    return f"""SELECT '{name}' AS asked, coalesce(min(source_index), (SELECT count(*) FROM news)) - 1 AS prefix
+FROM (SELECT source_index FROM news, {listed} v(embedding_model, chunking)
+      EXCEPT SELECT source_index FROM (
+        SELECT source_index, count(DISTINCT embedding_model || chunking) AS n FROM uneven GROUP BY 1)
+      WHERE n = (SELECT count(*) FROM {listed}))"""
+
+
+@query(
+    with_(UNEVEN)
+    + prefix_sql("two models", "(VALUES ('EMB-A', 'CHUNK-A'), ('EMB-B', 'CHUNK-A'))").replace(
+        "FROM uneven", "FROM uneven WHERE chunking = 'CHUNK-A'"
+    )
+    + " UNION ALL "
+    + prefix_sql("one variant", "(VALUES ('EMB-A', 'CHUNK-A'))").replace(
+        "FROM uneven", "FROM uneven WHERE embedding_model || chunking = 'EMB-ACHUNK-A'"
+    )
+    + " UNION ALL "
+    + prefix_sql("with a new model", LISTED_MORE)
+)
+def common_prefix(spark, sf):
+    """How far the variants are without a gap, whatever their last rows are."""
+    kb = _uneven(spark, sf)
+    asked = {"two models": VARIANTS[::2], "one variant": VARIANTS[:1], "with a new model": MORE}
+    out = None
+    for name, variants in asked.items():
+        part = state.common_prefix(kb, variants).select(F.lit(name).alias("asked"), "prefix")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from factlake.functions import text as tx
@@ -70,6 +72,21 @@ def file_documents(spark, sf):
     return read.select(page.alias("page_id"), "text")
 
 
+@query("SELECT page_id, page_id % 2 = 0 AS packed, html || chr(10) AS text FROM pages")
+def decoded_documents(spark, sf):
+    """Pages as files of two kinds: plain text, and packed ones, whose suffix
+    has a decoder."""
+    path = scratch_path(spark, "files")
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    for kind, rest in (("none", 1), ("gzip", 0)):
+        own = pages.filter(F.pmod("page_id", F.lit(2)) == rest).repartition("page_id")
+        own.write.option("compression", kind).partitionBy("page_id").text(f"{path}/{kind}")
+    decoders = {"gz": lambda raw: gzip.decompress(raw).decode("utf-8")}
+    read = src.read_documents(spark, f"{path}/*/*/*.txt*", decoders)
+    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
+    return read.select(page.alias("page_id"), F.endswith("path", F.lit(".gz")).alias("packed"), "text")
+
+
 @query(with_(ARTICLES) + f"SELECT doc_id, {CONTENT} AS content FROM articles")
 def compose_content(spark, sf):
     content = tx.compose_content(F.col("title"), F.col("text"))

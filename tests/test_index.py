@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.encoders import hashing_encoder
 from factlake.operators import kb as state
-from factlake.operators.chunking import backfill_full
+from factlake.operators.chunking import backfill_full, backfill_source_index
 from factlake.operators.scoring import embed
 from factlake.plans import index, verify
 from factlake.schemas import NEWS
@@ -170,3 +170,45 @@ def test_chunk_ids_do_not_run_into_the_next_document(spark):
     many = spark.createDataFrame([(1, 1 << 20)], "source_index long, chunk_no int")
     with pytest.raises(Exception, match="chunks"):
         with_vec_id(many).collect()
+
+
+def test_ranges_meet_ids_in_bins(spark):
+    """Overlapping, empty, long and touching ranges, and ids in none."""
+    ranges = [(0, 3, 1, 3), (1, 0, 4, 3), (2, 200, 4, 203), (3, 5, 150, 154), (4, 1, 204, 204), (5, 64, 1000, 1063)]
+    frame = spark.createDataFrame(ranges, "source_index long, n_chunks int, first_id long, last_id long")
+    ids = [0, 1, 3, 4, 63, 64, 149, 150, 154, 155, 203, 204, 205, 999, 1000, 1063, 1064, -5]
+    chunks = spark.createDataFrame([(i, f"c{i}", None) for i in ids], "id long, content string, source_index long")
+    expected = []
+    for i in ids:
+        own = [s for s, n, a, b in ranges if n and a <= i <= b]
+        expected += [(i, f"c{i}", s) for s in own or [None]]
+    for width in (1, 16, 64, 10_000):
+        out = backfill_source_index(chunks, frame, width)
+        assert sorted(map(tuple, out.select("id", "content", "source_index").collect()), key=str) == sorted(expected, key=str)
+    plan = backfill_source_index(chunks, frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "div 64" in plan and plan.count("Generate") == 1
+
+
+def test_positions_as_bitmaps(spark):
+    """Gaps inside and behind a bucket, NULL and absent positions."""
+    held = [i for i in range(70_000) if i not in (5, 40_000, 65_536)]
+    rows = [("A", "x", i) for i in held] + [("A", "x", None), ("A", "x", 12)] + [("B", "x", i) for i in range(33_000)]
+    kb = spark.createDataFrame(rows, "embedding_model string, chunking string, source_index long")
+    docs = spark.range(70_005).select(F.col("id").alias("source_index"), F.lit("t").alias("bits"))
+    own = kb.filter("embedding_model = 'A'")
+    gone = state.missing_documents(docs, own)
+    assert gone.columns == docs.columns
+    assert sorted(r.source_index for r in gone.collect()) == [5, 40_000, 65_536, *range(70_000, 70_005)]
+    assert state.missing_documents(docs, own.limit(0)).count() == 70_005
+    unknown = spark.createDataFrame([(None, "t"), (7, "t")], "source_index long, bits string")
+    assert [r.source_index for r in state.missing_documents(unknown, own).collect()] == [None]
+
+    def prefix(kb, *variants):
+        return state.common_prefix(kb, variants).first()["prefix"]
+
+    a, b, c = ("A", "x"), ("B", "x"), ("C", "x")
+    assert prefix(kb, a) == 4 and prefix(kb, b) == 32_999 and prefix(kb, a, b) == 4 and prefix(kb, a, c) == -1
+    filled = kb.unionByName(spark.createDataFrame([("A", "x", 5)], kb.schema))
+    assert prefix(filled, a) == 39_999 and prefix(filled, a, b) == 32_999 and prefix(filled.limit(0), a) == -1
+    whole = kb.filter("embedding_model = 'B' AND source_index < 32768")
+    assert prefix(whole, b) == 32_767
