@@ -221,23 +221,33 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
-def learn_rules(
-    measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality"
-) -> list[Rule]:
-    """Rules for rows with label 0 among rows with label 0 or 1."""
+def labelled_rows(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """_bad, _prune and the ratios of the rows with label 0 or 1."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     known = known.groupBy(key).agg((F.min(label) == 0).alias("_bad"))
     rows = measured.filter(F.col(key).isNotNull()).join(known, key)
-    rows = rows.select(
+    return rows.select(
         "_bad", (F.pmod(F.xxhash64(key), F.lit(3)) == 0).alias("_prune"), *[c.alias(n) for n, c in ratios().items()]
     )
+
+
+def quantile_cuts(rows: DataFrame) -> dict[str, list[float]]:
+    """The thresholds of each ratio: quantiles of all rows, and of the bad rows
+    as well, which may be few."""
     marks = [(i + 0.5) / CUTS for i in range(CUTS)]
-    # Quantiles of the bad rows as well: they may be few
     picked = rows.agg(
         *[F.percentile_approx(n, marks, 2000).alias(n) for n in RATIOS],
         *[F.percentile_approx(F.when(F.col("_bad"), F.col(n)), marks, 2000).alias(f"_{n}") for n in RATIOS],
     ).first()
-    cuts = {n: sorted({*(picked[n] or []), *(picked[f"_{n}"] or [])}) for n in RATIOS}
+    return {n: sorted({*(picked[n] or []), *(picked[f"_{n}"] or [])}) for n in RATIOS}
+
+
+def learn_rules(
+    measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality"
+) -> list[Rule]:
+    """Rules for rows with label 0 among rows with label 0 or 1."""
+    rows = labelled_rows(measured, labels, key, label)
+    cuts = quantile_cuts(rows)
     if not any(cuts.values()):
         return []
 

@@ -2,12 +2,16 @@
 
 import random
 import re
+from math import log2
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.llm.quality_rules import Condition, Rule, judge, learn_rules, measure, verdict
+from factlake.llm.quality_rules import (
+    MAX_CONDITIONS, MAX_RULES, MIN_PRECISION, MIN_ROWS, RATIOS, Condition, Rule, judge, labelled_rows, learn_rules,
+    measure, quantile_cuts, verdict,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,8 +59,12 @@ def test_long_texts_have_no_false_repeats(spark):
 
 def test_plan_has_no_python(spark, sf):
     out = measure(spark.read.parquet(f"{sf}/documents.parquet"))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = labelled_rows(out, labels)
+    rules = [Rule((Condition("symbol_share", True, 0, 0.5),))]
+    for frame in (out, rows, rows.groupBy("_prune").agg(F.sum("symbol_share")), judge(out, rules)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def labelled(spark):
@@ -86,6 +94,61 @@ def test_rules_find_what_is_bad(spark):
     assert all(" >= " in str(r) or " < " in str(r) for r in rules)
 
 
+def slow_rules(rows, cuts):
+    """Sequential covering on rows instead of sums: every cut of every ratio is
+    tried on every row that is left."""
+
+    def holds(row, conditions):
+        return all((row[n] > cut) == up for n, up, cut in conditions)
+
+    left = [{n: sum(t <= r[n] for t in cuts[n]) for n in RATIOS} | {"bad": r["_bad"], "prune": r["_prune"]} for r in rows]
+    out = []
+    while len(out) < MAX_RULES:
+        grown = []
+        while len(grown) < MAX_CONDITIONS:
+            inside = [r for r in left if not r["prune"] and holds(r, grown)]
+            p0 = sum(r["bad"] for r in inside)
+            n0 = len(inside) - p0
+            best, gain = None, 1e-9
+            for name in RATIOS if p0 and n0 else ():
+                filled = sorted({r[name] for r in inside})
+                for cut in [b - 1 for b in filled[1:]]:
+                    for up in (False, True):
+                        own = [r for r in inside if (r[name] > cut) == up]
+                        a = sum(r["bad"] for r in own)
+                        g = a * (log2(a / len(own)) - log2(p0 / (p0 + n0))) if a else 0
+                        if g > gain:
+                            best, gain = (name, up, cut), g
+            if best is None:
+                break
+            grown.append(best)
+        scores = []
+        for size in range(1, len(grown) + 1):
+            own = [r["bad"] for r in left if r["prune"] and holds(r, grown[:size])]
+            p, n = sum(own), len(own) - sum(own)
+            scores.append(((p - n) / (p + n) if own else -1.0, -size, p, n))
+        if not scores:
+            break
+        _, size, p, n = max(scores)
+        if p < MIN_ROWS or p < MIN_PRECISION * (p + n):
+            break
+        rule = grown[: -size]
+        out.append(" and ".join(f"{n} {'>=' if up else '<'} {cuts[n][cut]:g}" for n, up, cut in rule))
+        left = [r for r in left if not holds(r, rule)]
+    return out
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.03])
+def test_rules_equal_brute_force(spark, noise):
+    documents, labels = labelled(spark)
+    wrong = F.pmod(F.xxhash64("doc_id"), F.lit(100)) < 100 * noise
+    labels = labels.withColumn("quality", F.when(wrong, 1 - F.col("quality")).otherwise(F.col("quality")))
+    measured = measure(documents)
+    rows = labelled_rows(measured, labels)
+    expected = slow_rules([r.asDict() for r in rows.collect()], quantile_cuts(rows))
+    assert expected and [str(r) for r in learn_rules(measured, labels)] == expected
+
+
 @pytest.mark.parametrize("value", [0, 1, None])
 def test_one_class_has_no_rules(spark, value):
     documents, labels = labelled(spark)
