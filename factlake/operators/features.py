@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
@@ -79,17 +82,35 @@ def with_idf(vocab: DataFrame) -> DataFrame:
 def tfidf_long(
     docs: DataFrame, vocab: DataFrame, key: str = "doc_id", column: str = "content"
 ) -> DataFrame:
-    """key, term, weight: L2-normalised TF-IDF in long form. The vocabulary is
-    broadcast while it is as small as the cut makes it."""
+    """key, term, weight: L2-normalised TF-IDF in long form. With a vocabulary
+    no larger than the cut makes it, a document is weighed and normalised in its
+    row; a larger one is joined, and lengths are summed by document."""
+    known = with_idf(vocab).select("term", "idf").limit(MAX_TERMS + 1).collect()
+    if not known:
+        return docs.selectExpr(key, "CAST(NULL AS STRING) AS term", "CAST(NULL AS DOUBLE) AS weight").limit(0)
+    if len(known) <= MAX_TERMS:
+        model = TfidfModel(*map(list, zip(*known)))
+        entries = F.inline(_entries(F.col("_v")))
+        weighed = model.transform(docs.select(key, column), column, "_v").select(key, entries)
+        names = docs.sparkSession.createDataFrame(list(enumerate(model.terms)), "at int, term string")
+        return weighed.join(F.broadcast(names), "at").select(key, "term", "weight")
     weighted = lookup_join(
         term_counts(docs, key, column), with_idf(vocab).select("term", "idf"), "term", key
     ).withColumn("w", F.col("tf") * F.col("idf"))
-    # One document holds at most as many rows as the vocabulary has terms.
     of_document = Window.partitionBy(key)
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_document))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+@F.arrow_udf("array<struct<at:int,weight:double>>")
+def _entries(vectors: pa.Array) -> pa.Array:
+    """Places and values of sparse vectors."""
+    at, weight = vectors.field("indices"), vectors.field("values")
+    flat = pa.StructArray.from_arrays([at.flatten(), weight.flatten()], names=["at", "weight"])
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(at), 0), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """Fitted vocabulary (at most the cut's size) with idf weights."""

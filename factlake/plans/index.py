@@ -15,6 +15,7 @@ from factlake.operators.scale import scratch_path
 from factlake.operators.scoring import Encoder, embed_variants
 from factlake.sources.growing_index import catch_up, insert_batch
 from factlake.sources.kb import read_batch, read_kb, snapshot_kb, with_vec_id, write_kb
+from factlake.sources.versions import free_batch, snapshot
 
 # Rows per call of an encoder, and calls between two snapshots.
 EMBED_BATCH = 128
@@ -55,7 +56,9 @@ def build_kb(
     """Indexes the documents after the resume point, one commit for each range
     of `rows_per_commit` positions, all variants together. Returns the number
     of commits. A folder left unfinished by a crash is not read, and the range
-    it belongs to is written again under the same name. With `index_root` the
+    it belongs to is written again under the same name. Every `snapshot_every`
+    commits the state is named as a version, which writes no data; with
+    `snapshot_root` it is copied there as well. With `index_root` the
     inverted lists of every variant grow with each commit; batches that a killed
     run has written but not indexed come first."""
     spark = news.sparkSession
@@ -69,13 +72,15 @@ def build_kb(
     commits = 0
     for start in range(reached + 1, last + 1, rows_per_commit):
         part = spark.read.schema(news.schema).parquet(f"{ranges}/_commit={commits}")
-        write_kb(kb_rows(part, encoders), path, f"{start:012d}")
+        name = free_batch(spark, path, f"{start:012d}")
+        write_kb(kb_rows(part, encoders), path, name)
         if index_root:
-            batch = read_batch(spark, path, f"{start:012d}")
-            insert_batch(with_vec_id(batch), index_root, f"{start:012d}", lists)
+            insert_batch(with_vec_id(read_batch(spark, path, name)), index_root, name, lists)
         commits += 1
-        if snapshot_root and commits % snapshot_every == 0:
-            snapshot_kb(read_kb(spark, path), snapshot_root)
+        if commits % snapshot_every == 0:
+            snapshot(spark, path)
+            if snapshot_root:
+                snapshot_kb(read_kb(spark, path), snapshot_root)
     if snapshot_root:
         snapshot_kb(read_kb(spark, path), snapshot_root)
     return commits
@@ -92,7 +97,10 @@ def _by_commit(news: DataFrame, first: int, rows: int) -> str:
 
 
 def resume_point(spark: SparkSession, path: str, encoders: Mapping[str, Encoder]) -> int:
-    return index_checkpoint(read_kb(spark, path), variants_of(encoders)).first()["checkpoint"]
+    """What every model has reached. A commit holds all chunkings, so whole
+    articles tell: a blank article at the end has no windows."""
+    whole = [(m, c) for m, c in variants_of(encoders) if CHUNK_TYPE[c] == "full"]
+    return index_checkpoint(read_kb(spark, path), whole).first()["checkpoint"]
 
 
 def consistent_kb(kb: DataFrame, variants: list[tuple[str, str]]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factlake.functions.prompt import snapshot_id
 from factlake.schemas import KB
 from factlake.sources.files import committed_folders
+from factlake.sources.versions import current_state, read_state, state_of
 
 VARIANT = ["embedding_model", "chunking"]
 CHUNK_BITS = 20
@@ -36,10 +37,16 @@ def _read_folders(spark: SparkSession, folders: dict[str, str], root: str) -> Da
 
 
 def read_kb(
-    spark: SparkSession, path: str, model: str | None = None, chunking: str | None = None
+    spark: SparkSession,
+    path: str,
+    model: str | None = None,
+    chunking: str | None = None,
+    version: str | None = None,
 ) -> DataFrame:
-    """The finished batches; the filters prune folders."""
-    kb = _read_folders(spark, committed_folders(spark, path, "batch"), path)
+    """The current state, or that of a version; the filters prune folders."""
+    state = current_state(spark, path) if version is None else state_of(spark, path, version)
+    kb = read_state(spark, path, state, KB)
+    kb = empty_kb(spark) if kb is None else kb
     if model is not None:
         kb = kb.where(F.col("embedding_model") == model)
     if chunking is not None:

@@ -9,7 +9,7 @@ from factlake.operators import chunking, kb as state, sampling
 from factlake.operators.scale import materialize, scratch_path
 from factlake.plans import index
 from factlake.schemas import NEWS as NEWS_SCHEMA
-from factlake.sources import kb as store
+from factlake.sources import kb as store, versions
 from factlake.sources.growing_index import variant_index
 from factlake.streaming.index_stream import index_stream, news_stream
 from registry.news import DOCUMENT, sliding_sql, words_sql
@@ -115,6 +115,42 @@ def kb_snapshot(spark, sf):
     return _shown(store.restore_kb(spark, root))
 
 
+THIRDS = """sized AS (SELECT CAST(ceil(count(*) / 3) AS INTEGER) AS size FROM news),
+told AS (SELECT rows.*, CAST(source_index // size AS INTEGER) AS part, size FROM rows, sized)"""
+TOLD = "embedding_model, chunking, source_index, chunk_no, label, content_md5"
+
+
+@query(
+    with_(ROWS, THIRDS)
+    + f"""SELECT 'first' AS state, {TOLD} FROM told WHERE part < 1
+UNION ALL SELECT 'second' AS state, {TOLD} FROM told WHERE part < 2
+UNION ALL SELECT 'rolled back' AS state, {TOLD} FROM told WHERE source_index <= size + 4
+UNION ALL SELECT 'gap' AS state, {TOLD} FROM told WHERE source_index <= size + 4 AND source_index NOT BETWEEN 2 AND 5
+UNION ALL SELECT 'restored' AS state, {TOLD} FROM told WHERE part < 2
+UNION ALL SELECT 'grown' AS state, {TOLD} FROM told"""
+)
+def kb_versions(spark, sf):
+    """Named states of one knowledge base, without a copy: two of its growth, a
+    rollback, a deleted range, the second one restored, and what came later."""
+    path = scratch_path(spark, "kb")
+    docs = materialize(numbered(spark, sf), "news")
+    size = docs.agg(F.ceil(F.count("*") / 3).cast("int")).first()[0]
+    names = {}
+    for state, parts in (("first", 1), ("second", 2)):
+        index.build_kb(docs.filter(F.col("source_index") < parts * size), path, ENCODERS, rows_per_commit=size)
+        names[state] = versions.snapshot(spark, path)
+    names["rolled back"] = versions.roll_back(spark, path, size + 4)
+    names["gap"] = versions.delete_range(spark, path, 2, 5)
+    names["restored"] = versions.restore(spark, path, names["second"])
+    index.build_kb(docs, path, ENCODERS, rows_per_commit=size)
+    names["grown"] = versions.snapshot(spark, path)
+    out = None
+    for state, version in names.items():
+        part = _shown(store.read_kb(spark, path, version=version)).withColumn("state", F.lit(state))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _uneven(spark, sf):
     """A knowledge base whose variants stopped at different documents."""
     docs = chunking.with_document(numbered(spark, sf)).select("source_index", "label", "content")

@@ -113,7 +113,7 @@ def test_mean_vectors_count_unknown_words_as_zeros(spark, monkeypatch, limit):
     assert got == {1: [0.5, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
 
 
-def test_tfidf_by_hand(spark):
+def test_tfidf_by_hand(spark, monkeypatch):
     texts = ["aa bb bb", "aa cc", "aa bb dd", "aa ee ee ee", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
     model = ft.fit_tfidf(docs)
@@ -128,6 +128,11 @@ def test_tfidf_by_hand(spark):
     long = ft.tfidf_long(docs, ft.top_terms(ft.vocabulary(docs)))
     for r in long.collect():
         assert r["weight"] == pytest.approx(got[r["doc_id"], model.terms.index(r["term"])])
+    monkeypatch.setattr(ft, "MAX_TERMS", 1)  # more terms than a row may hold
+    joined = ft.tfidf_long(docs, ft.vocabulary(docs)).collect()
+    shown = lambda rows: {(r.doc_id, r.term): round(r.weight, 12) for r in rows}
+    assert shown(joined) == shown(long.collect()) and len(joined) == 6
+    assert ft.tfidf_long(docs, ft.vocabulary(docs).limit(0)).collect() == []
     assert ft.fit_tfidf(docs, max_df=0.7).terms == ["bb"]
     assert ft.fit_tfidf(docs, max_terms=1).terms == ["aa"]
 

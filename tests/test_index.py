@@ -13,6 +13,7 @@ from factlake.settings import Settings
 from factlake.sources import files
 from factlake.sources import kb as store
 from factlake.sources import news as src
+from factlake.sources import versions
 from factlake.streaming.index_stream import index_stream, news_stream
 
 ENCODERS = {"EMB-A": hashing_encoder(0), "EMB-B": hashing_encoder(1)}
@@ -212,3 +213,51 @@ def test_positions_as_bitmaps(spark):
     assert prefix(filled, a) == 39_999 and prefix(filled, a, b) == 32_999 and prefix(filled.limit(0), a) == -1
     whole = kb.filter("embedding_model = 'B' AND source_index < 32768")
     assert prefix(whole, b) == 32_767
+
+
+def data_files(path):
+    return sorted(str(p) for p in path.rglob("*.parquet") if "_versions" not in str(p))
+
+
+def test_versions_write_no_data(spark, news, tmp_path):
+    path = str(tmp_path / "kb")
+    index.build_kb(news.filter("source_index < 12"), path, ENCODERS, rows_per_commit=6)
+    before = data_files(tmp_path)
+    first = versions.snapshot(spark, path)
+    whole = rows(store.read_kb(spark, path))
+    back = versions.roll_back(spark, path, 7)
+    assert {r[2] for r in rows(store.read_kb(spark, path))} == set(range(8)) and index.resume_point(spark, path, ENCODERS) == 7
+    versions.delete_range(spark, path, 2, 3)
+    assert {r[2] for r in rows(store.read_kb(spark, path))} == {0, 1, 4, 5, 6, 7}
+    versions.restore(spark, path, first)
+    assert rows(store.read_kb(spark, path)) == whole and data_files(tmp_path) == before
+    assert {r[2] for r in rows(store.read_kb(spark, path, version=back))} == set(range(8))
+    plan = store.read_kb(spark, path, version=back)._jdf.queryExecution().toString()
+    assert "LessThan(source_index,8)" in plan  # reaches the scan
+
+
+def test_positions_rolled_back_are_indexed_again(spark, news, clean, tmp_path):
+    """Batches of the same name do not replace what older versions hold."""
+    path = str(tmp_path / "kb")
+    index.build_kb(news, path, ENCODERS, rows_per_commit=6)
+    whole = versions.snapshot(spark, path)
+    versions.roll_back(spark, path, 5)
+    held = data_files(tmp_path)
+    assert index.build_kb(news, path, ENCODERS, rows_per_commit=6) == 3
+    assert set(held) < set(data_files(tmp_path))
+    assert rows(store.read_kb(spark, path)) == clean == rows(store.read_kb(spark, path, version=whole))
+
+
+def test_unfinished_version_and_unknown_positions(spark, news, tmp_path):
+    path = str(tmp_path / "kb")
+    index.build_kb(news.filter("source_index < 5"), path, ENCODERS)
+    lost = store.read_kb(spark, path).limit(3).withColumn("source_index", F.lit(None).cast("long"))
+    store.write_kb(lost, path, "lost")
+    assert store.read_kb(spark, path).filter("source_index IS NULL").count() == 3
+    versions.delete_range(spark, path, 4)
+    assert store.read_kb(spark, path).filter("source_index IS NULL").count() == 3
+    last = versions.roll_back(spark, path, 3)
+    assert store.read_kb(spark, path).filter("source_index IS NULL OR source_index > 3").isEmpty()
+    (tmp_path / "kb" / "_versions" / f"version={last}" / "_SUCCESS").unlink()
+    assert store.read_kb(spark, path).filter("source_index IS NULL").count() == 3
+    assert store.read_kb(spark, str(tmp_path / "none")).count() == 0
