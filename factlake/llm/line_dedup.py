@@ -390,8 +390,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         renamed = [F.col(a).alias(b) for a, b in zip(("doc", "line"), names)]
         return sets.select(*renamed, F.col("words").alias(words))
 
-    pairs = pairs.filter("y_doc <> x_doc or y_line <> x_line")
-    whole = pairs.join(side(Y, "_y"), Y).join(side(X, "_x"), X)
+    pairs = pairs.filter("y_doc <> x_doc or y_line <> x_line").select(*Y, *X)
+    # Few pairs go to the sets, which then are shuffled once instead of twice
+    few = has_at_most(pairs, BROADCAST_LINES // 10)
+    whole = side(Y, "_y").join(F.broadcast(pairs) if few else pairs, Y).join(side(X, "_x"), X)
     common = F.size(F.array_intersect("_y", "_x"))
     need = F.ceil(threshold / (1 + threshold) * (F.size("_y") + F.size("_x")) - 1e-9)
     return whole.filter(common >= need).select(*Y).distinct()

@@ -316,7 +316,6 @@ def one_of_each(
     found = near_duplicates(rows.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), "doc", "_text", radius)
     kept = _without(rows, doc, found.filter("component_id <> doc"), "later")
     if threshold is not None:
-        kept = materialize(kept, "first-documents")
         body = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", " ")
         texts = kept.select(F.col(doc).alias("doc"), body.alias("_text"))
         kept = _without(kept, doc, removed_lines(texts, threshold, run_words=run_words)[1], "similar")
