@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.functions.text import head_chars, tally, terms, words
 from factlake.operators.scale import lookup_join
@@ -40,6 +41,11 @@ FEATURE_NAMES = (
 )
 
 
+ENTRIES = T.ArrayType(
+    T.StructType([T.StructField("at", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+)
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", column: str = "content") -> DataFrame:
     """key, term, tf: how often each term occurs in each document. The terms of
     a document are counted in its row, so nothing is shuffled by document."""
@@ -102,7 +108,7 @@ def tfidf_long(
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
-@F.arrow_udf("array<struct<at:int,weight:double>>")
+@F.arrow_udf(ENTRIES)
 def _entries(vectors: pa.Array) -> pa.Array:
     """Places and values of sparse vectors."""
     at, weight = vectors.field("indices"), vectors.field("values")
