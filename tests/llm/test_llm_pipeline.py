@@ -86,7 +86,8 @@ def odd_folder(spark, sf):
 
 def test_odd_rows(spark, odd_folder):
     out = corpus_pipeline.run(spark, odd_folder()).collect()
-    assert sorted(str(r.doc_id) for r in out) == ["1", "4", "5", "None"]
+    # the row without an id is empty by then, like 4 and 7, of which the first stays
+    assert sorted(str(r.doc_id) for r in out) == ["1", "4", "5"]
     by = {r.doc_id: r for r in out}
     assert by[4].text.strip("\n") == "" or by[4].n_chars == len(by[4].text)
 
