@@ -87,7 +87,7 @@ def list_finder(
             rows = unit_matrix(embedding.slice(at, BLOCK), centres.shape[1])
             d = np.round(1.0 - rows @ centres.T, DISTANCE_DIGITS)
             d[np.isnan(d)] = np.inf
-            found.append(ids[np.argsort(d, axis=1, kind="stable")[:, :probes]])
+            found.append(ids[_smallest(d, min(probes, len(ids)))])
         lists = np.concatenate(found)
         ends = np.arange(len(lists) + 1, dtype=np.int32) * lists.shape[1]
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.ravel(), pa.int32()))
@@ -95,6 +95,18 @@ def list_finder(
     return nearest
 
 
+def _smallest(d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n smallest numbers of every row in order, ties by place,
+    without sorting the others."""
+    if n == 1:
+        return d.argmin(1)[:, None]
+    nth = np.partition(d, n - 1, axis=1)[:, n - 1]
+    row, at = np.nonzero(d <= nth[:, None])
+    order = np.lexsort((at, d[row, at], row))
+    row, at = row[order], at[order]
+    return at[np.arange(len(row)) - np.searchsorted(row, row) < n].reshape(len(d), n)
+
+
 def _far_lists(
     df: DataFrame, key: str, centroids: DataFrame, probes: int, max_bytes: int
 ) -> DataFrame:

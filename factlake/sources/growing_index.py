@@ -1,15 +1,18 @@
 """Inverted lists that grow with the knowledge base.
 
-Layout below one folder: `members/folder=f/list_id=l` holds rows, `lists/commit=c`
-the centroids of the lists that a commit has made, and `log/commit=c` what the
-commit did: which folder got how many rows of which list, and which lists are
-retired. A commit counts once its log entry is finished; it is written last, so
+Layout below one folder: `members/folder=f/list_ids=g` holds the rows of 64
+neighbouring lists, sorted by list, `lists/commit=c` the centroids of the lists
+that a commit has made, and `log/commit=c` what the commit did: which folder got
+how many rows of which list, and which lists are retired. A commit counts once its log entry is finished; it is written last, so
 a job that dies half-way changes nothing, and its commit can be run again.
 
 New rows go to their nearest list and into files of their own: files that stand
 are never written again. A list above `max_rows` is retired, and its rows move
 to two new lists by two-means over this list alone, again and again until every
-list fits. Which lists and files are alive follows from the log in any order.
+list fits. A list that fits a task is cut down there, level by level, and only
+the lists that remain are numbered and written; a larger one is halved by all
+tasks together. Which lists and files are alive follows from the log in any
+order.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.functions.vectors import norm
 from factlake.operators.grid import CHUNK_TYPE
@@ -32,6 +36,12 @@ from factlake.sources.kb import read_batch, with_vec_id
 
 MAX_LIST_ROWS = 1_000_000
 ROUNDS = 8
+# A list whose vectors stay below this is split to the end in one task.
+MAX_TASK_BYTES = 16 << 20
+# Lists of one folder, so that many small lists do not become as many files.
+LISTS_PER_FOLDER = 64
+# More lists than this are looked up in a table, not in an expression.
+MAX_NAMED_LISTS = 1000
 CREATED = "created"
 LOG = "list_id int, folder string, n_rows bigint, retired boolean"
 
@@ -101,19 +111,26 @@ class GrowingIndex:
             raise ValueError("an index needs a list: create it with centroids")
         log = self._store(assign_lists(rows, lists), commit)
         made = self.spark.createDataFrame([], CENTROIDS)
+        in_task = max(1, MAX_TASK_BYTES // (8 * len(lists.first()["embedding"])))
         step = 0
         while True:
             live = self.live().unionByName(log.filter("not retired").drop("retired"))
             gone = log.filter("retired").select("list_id")
             live = live.join(gone, "list_id", "left_anti")
             sizes = live.groupBy("list_id").agg(F.sum("n_rows").alias("n"))
-            large = materialize(sizes.filter(F.col("n") > self.max_rows).select("list_id"), "large-lists")
+            large = materialize(sizes.filter(F.col("n") > self.max_rows), "large-lists")
             if large.isEmpty():
                 break
+            huge = large.filter(F.col("n") > in_task)
+            whole = huge.isEmpty()
+            large = (large if whole else huge).select("list_id")
             everything = lists.unionByName(made)
             moved = self._rows_of(live.join(large, "list_id", "left_semi"))
             next_id = everything.agg(F.max("list_id")).first()[0] + 1
-            halves, moved = split_lists(moved, everything.join(large, "list_id"), next_id)
+            if whole:
+                halves, moved = split_in_tasks(moved, self.max_rows, next_id)
+            else:
+                halves, moved = split_lists(moved, everything.join(large, "list_id"), next_id)
             made = materialize(made.unionByName(halves), "made-lists")
             step += 1
             stored = self._store(moved, f"{commit}-{step}")
@@ -123,11 +140,18 @@ class GrowingIndex:
         return True
 
     def _rows_of(self, live: DataFrame) -> DataFrame | None:
-        """Rows of the lists and folders given; the filter prunes folders."""
+        """Rows of the lists and folders given; the filters prune folders, and
+        parts of their files."""
         out = None
         for row in sorted(live.groupBy("folder").agg(F.collect_set("list_id").alias("ids")).collect()):
             stored = self.spark.read.parquet(f"{self.path}/members/folder={row.folder}")
-            part = stored.filter(F.col("list_id").isin(row.ids))
+            part = stored.filter(F.col("list_ids").isin(sorted({i // LISTS_PER_FOLDER for i in row.ids})))
+            part = part.drop("list_ids")
+            if len(row.ids) <= MAX_NAMED_LISTS:
+                part = part.filter(F.col("list_id").isin(row.ids))
+            else:
+                named = self.spark.createDataFrame([(i,) for i in row.ids], "list_id int")
+                part = part.join(F.broadcast(named), "list_id", "left_semi")
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
@@ -135,8 +159,9 @@ class GrowingIndex:
         """Writes rows into a new folder, a hot list by many tasks; returns its
         entries in the log."""
         path = f"{self.path}/members/folder={folder}"
-        ranged = rows.repartitionByRange("list_id", "vec_id")
-        ranged.write.mode("overwrite").partitionBy("list_id").parquet(path)
+        ranged = rows.withColumn("list_ids", F.floor(F.col("list_id") / LISTS_PER_FOLDER).cast("int"))
+        ranged = ranged.repartitionByRange("list_id", "vec_id").sortWithinPartitions("list_ids", "list_id")
+        ranged.write.mode("overwrite").partitionBy("list_ids").parquet(path)
         if rows.sparkSession.read.schema("vec_id bigint, list_id int").parquet(path).isEmpty():
             return self.spark.createDataFrame([], LOG)
         counts = self.spark.read.parquet(path).groupBy("list_id").agg(F.count("*").alias("n_rows"))
@@ -222,6 +247,86 @@ def split_lists(rows: DataFrame, lists: DataFrame, next_id: int) -> tuple[DataFr
     return rows.sparkSession.createDataFrame(made, CENTROIDS), renamed
 
 
+def split_in_tasks(rows: DataFrame, max_rows: int, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """The lists that remain of each list of `rows` once none has more than
+    `max_rows`, and the rows with their new list_id. Every list is one group,
+    so it has to fit a task."""
+    kind = T.StructType([*rows.schema, T.StructField("_leaf", T.LongType()), T.StructField("_centre", T.ArrayType(T.DoubleType()))])
+
+    def split(table: pa.Table) -> pa.Table:
+        dim = len(next((v for v in table["embedding"].to_pylist() if v is not None), []))
+        leaf, centres = bisect(unit_matrix(table["embedding"], dim), _int64(table["vec_id"]), max_rows)
+        first = {n: at for at, n in reversed(list(enumerate(leaf.tolist())))}
+        shown = [centres[n].tolist() if first[n] == at else None for at, n in enumerate(leaf.tolist())]
+        table = table.append_column("_leaf", pa.array(leaf))
+        return table.append_column("_centre", pa.array(shown, pa.list_(pa.float64())))
+
+    placed = materialize(rows.groupBy("list_id").applyInArrow(split, kind), "split-lists")
+    # one row per list: as many as there are centroids
+    ends = placed.groupBy("list_id").agg(F.max("_leaf").alias("n")).orderBy("list_id").collect()
+    starts = np.cumsum([next_id, *(2 * (r.n // 2 + 1) for r in ends)])
+    shift = rows.sparkSession.createDataFrame(
+        [(r.list_id, int(at)) for r, at in zip(ends, starts)], "list_id int, _start bigint"
+    )
+    numbered = placed.join(F.broadcast(shift), "list_id").withColumn(
+        "list_id", (F.col("_start") + F.col("_leaf")).cast("int")
+    )
+    made = numbered.filter("_centre is not null").select("list_id", F.col("_centre").alias("embedding"))
+    return made, numbered.select(*rows.columns)
+
+
+def bisect(x: np.ndarray, ids: np.ndarray, max_rows: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Number of each unit row's list after two-means, repeated until no list
+    has more than `max_rows`, and the centres of the lists. The halves of one
+    split have the numbers 2i and 2i + 1. Rows without a direction, and all rows
+    where no half is nearer, are dealt in turn by id."""
+    leaf, centres = np.zeros(len(x), np.int64), {}
+    open_, number = [np.argsort(ids, kind="stable")], 0
+    while open_:
+        at = open_.pop(0)
+        half, pair = _two_means(x[at])
+        for side in (0, 1):
+            part = at[half == side]
+            if len(part) > max_rows:
+                open_.append(part)
+            else:
+                leaf[part], centres[number + side] = number + side, pair[side]
+        number += 2
+    return leaf, centres
+
+
+def _two_means(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The half of every unit row, and both means. The first centres are the
+    mean of all and the row farthest from it."""
+    known = ~np.isnan(x).any(1)
+    usable, dealt = x[known], np.arange(len(x)) & 1
+    if not len(usable):
+        return dealt, np.zeros((2, x.shape[1]))
+    mean = usable.mean(0)
+    pair = np.stack([mean, usable[np.round(usable @ mean, 9).argmin()]])
+    for _ in range(ROUNDS):
+        half = _nearer_of(usable, pair)
+        moved = np.stack([usable[half == s].mean(0) if (half == s).any() else pair[s] for s in (0, 1)])
+        if np.allclose(moved, pair, atol=1e-9):
+            break
+        pair = moved
+    half = _nearer_of(usable, pair)
+    unit = _unit(pair)
+    if half.min() == half.max() or ((unit[0] - unit[1]) ** 2).sum() < 1e-18:
+        return dealt, np.stack([mean, mean])
+    dealt[known] = half
+    return dealt, pair
+
+
+def _nearer_of(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    unit = _unit(pair)
+    return (x @ unit[1] > x @ unit[0]).astype(np.int64)
+
+
+def _int64(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column, dtype=np.int64)
+
+
 def _unit(centres: np.ndarray) -> np.ndarray:
     length = np.sqrt((centres**2).sum(-1, keepdims=True))
     return centres / np.where(length > 0, length, 1.0)

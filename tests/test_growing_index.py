@@ -148,3 +148,35 @@ def test_killed_between_batch_and_index(spark, tmp_path, monkeypatch):
         stored = store.with_vec_id(store.read_kb(spark, path, model, chunking))
         assert sorted(r.vec_id for r in grown.members().collect()) == sorted(r.vec_id for r in stored.collect())
         assert len(grown.commits()) == 2 and growing_index.MAX_LIST_ROWS == 1_000_000
+
+
+def test_many_small_lists_share_folders_and_one_step(spark, tmp_path):
+    """Hundreds of splits are one step of tasks, not one step for each level,
+    and small lists do not have a folder each."""
+    rows = vectors(3000)
+    grown = made(spark, tmp_path, rows, max_rows=20)
+    grown.insert(spark.createDataFrame(rows, SCHEMA), "c0")
+    sizes = [r.n for r in grown.live().groupBy("list_id").agg(F.sum("n_rows").alias("n")).collect()]
+    assert len(sizes) > 150 and max(sizes) <= 20 and sum(sizes) == 3000
+    folders = os.listdir(tmp_path / "members")
+    assert sorted(folders) == ["folder=c0", "folder=c0-1"]
+    assert len([f for f in os.listdir(tmp_path / "members" / "folder=c0-1") if "=" in f]) < len(sizes) / 10
+    assert sorted(r.vec_id for r in grown.members().collect()) == list(range(3000))
+    centres = {r.list_id: np.array(r.embedding) for r in grown.centroids().collect()}
+    assert len(centres) == len(sizes)
+    unit = {i: c / np.sqrt(c @ c) for i, c in centres.items()}
+    for r in grown.members().collect():
+        other = r.list_id + 1 if r.list_id % 2 else r.list_id - 1  # the first three were given
+        if other in unit:
+            assert unit[r.list_id] @ np.array(r.embedding) >= unit[other] @ np.array(r.embedding) - 1e-6
+
+
+@pytest.mark.parametrize("in_task", [16 << 20, 8 * 8 * 500])
+def test_lists_too_large_for_a_task_are_halved_first(spark, tmp_path, monkeypatch, in_task):
+    monkeypatch.setattr(growing_index, "MAX_TASK_BYTES", in_task)
+    rows = vectors(2000, seed=4)
+    grown = made(spark, tmp_path, rows, lists=2, max_rows=50)
+    grown.insert(spark.createDataFrame(rows, SCHEMA), "c0")
+    sizes = [r.n for r in grown.live().groupBy("list_id").agg(F.sum("n_rows").alias("n")).collect()]
+    assert max(sizes) <= 50 and sum(sizes) == 2000
+    assert sorted(r.vec_id for r in grown.members().collect()) == list(range(2000))
