@@ -1,6 +1,7 @@
 """Exact and inverted-file search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,40 @@ def test_stored_lists_and_clamped_number(spark):
     asked = frame(spark, points(9, 4, 12), "query_id")
     a = rows(ivf.ivf_search(asked, stored, centroids, 2, 3))
     assert a == rows(ivf.ivf_search(asked, kb, centroids, 2, 3))
+
+
+def test_small_cells_do_not_repeat_rows_without_bound(spark):
+    """Ten times the rows are shuffled ten times as often, not a hundred."""
+    repeated = {}
+    for n in (400, 4000):
+        kb = spark.range(n).select(
+            F.col("id").alias("vec_id"), F.col("id").alias("query_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding")
+        )
+        both = similarity.cut_whole(kb.drop("vec_id"), kb.drop("query_id"), 20)
+        lists = [df.withColumn("cell", F.lit(1)) for df in (kb.drop("vec_id"), kb.drop("query_id"))]
+        repeated[n] = [df.count() for df in (*both, *similarity.cut_lists(*lists, 20))]
+    assert [10 * a for a in repeated[400]] == repeated[4000] and min(repeated[400]) > 400
+
+
+@pytest.mark.parametrize("copies", [0, 700])
+def test_best_of_many_batches_and_queries(copies):
+    """Near ties below single precision, copies, and batches in any order."""
+    rng = np.random.default_rng(5)
+    corpus = rng.standard_normal((3000, 16)).astype(np.float32)
+    corpus[100:600] = corpus[0] * (1 + 1e-7 * rng.standard_normal((500, 16)))
+    corpus[2000 : 2000 + copies] = corpus[7]
+    unit = corpus / np.sqrt((corpus.astype(float) ** 2).sum(1))[:, None]
+    ids = rng.permutation(3000)
+    asked = np.concatenate([unit[:1300], unit[2000:2050]])
+    best = similarity._Best(np.arange(len(asked)), asked, None, 5)
+    for at in range(0, 3000, 700):
+        part = slice(at, at + 700)
+        best.offer(
+            pa.table({"vec_id": ids[part], "embedding": pa.array(list(corpus[part]), pa.list_(pa.float32()))})
+        )
+    found = best.table()
+    double = similarity.unit_matrix(pa.array(list(corpus), pa.list_(pa.float32())), 16)
+    distance = np.round(1 - asked @ double.T, 9)
+    for q in range(len(asked)):
+        order = np.lexsort((ids, distance[q]))[:5]
+        assert found["vec_id"].to_pylist()[5 * q : 5 * q + 5] == ids[order].tolist()
