@@ -29,12 +29,32 @@ def read_news(spark: SparkSession, path: str, split: str) -> DataFrame:
     return news.withColumn("content", compose_content(F.col("title"), F.col("text")))
 
 
+def write_files(df: DataFrame, key: str, path: str, compression: str = "none") -> None:
+    """The text of every `key` as a file of its own, below `key`=value. The
+    files are dealt over all tasks by a fixed number, as they cost much and
+    weigh little, and every task moves its own files into place: the default
+    commit moves one after the other on the driver."""
+    tasks = max(
+        df.sparkSession.sparkContext.defaultParallelism,
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
+    writer = df.repartition(tasks, key).write.option("compression", compression)
+    writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(key).text(path)
+
+
 def read_documents(
-    spark: SparkSession, glob: str, decoders: dict[str, Decoder] | None = None
+    spark: SparkSession,
+    glob: str,
+    decoders: dict[str, Decoder] | None = None,
+    recursive: bool = False,
 ) -> DataFrame:
-    """path, text of the files that match. Files whose suffix has a decoder
-    (bytes to text) go through it in batches; the others are UTF-8 text."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    """path, text of the files that match, or of all files below a folder
+    (`recursive`): many folders are then listed by tasks, where a pattern is
+    resolved by the driver alone. Files whose suffix has a decoder (bytes to
+    text) go through it in batches; the others are UTF-8 text."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    files = reader.load(glob).select("path", "content")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     plain = files.filter(~suffix.isin(*(decoders or {}))) if decoders else files
     text = plain.select("path", F.decode("content", "UTF-8").alias("text"))
