@@ -24,8 +24,12 @@ ROWS_PER_COMMIT = 1_000_000
 
 
 def kb_rows(news: DataFrame, encoders: Mapping[str, Encoder]) -> DataFrame:
-    """Rows of the knowledge base for every model and chunking."""
+    """Rows of the knowledge base for every model and chunking. The articles
+    are dealt over all cores first: a file that has just arrived, or a range of
+    one commit, may be a single split, and the encoders are the costly part."""
+    cores = news.sparkSession.sparkContext.defaultParallelism
     docs = with_document(news).select("source_index", "label", "content")
+    docs = docs.repartition(2 * cores, "source_index")
     chunks = docs.select("source_index", "label", F.inline(F.concat(*map(_chunks, CHUNKINGS))))
     models = F.explode(F.array(*[F.lit(m) for m in encoders])).alias("embedding_model")
     return embed_variants(chunks.select("*", models), encoders, EMBED_BATCH)

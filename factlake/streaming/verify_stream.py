@@ -26,7 +26,9 @@ def verify_stream(
     one replaceable folder per batch."""
 
     def run(batch: DataFrame, number: int) -> None:
-        queries = embed(batch, encoder, column="news")
+        # a few files that have arrived are a few splits
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        queries = embed(batch.repartition(2 * cores, "query_id"), encoder, column="news")
         verified = verify(queries, kb, settings, scorer, index=index)
         log_verifications(verified, f"{log_path}/batch={number}", mode="overwrite")
 
