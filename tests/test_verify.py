@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.encoders import hashing_encoder
 from factlake.functions.prompt import SYSTEM_PROMPT
+from factlake.operators import scoring
 from factlake.operators.grid import config_grid
 from factlake.operators.scoring import embed
 from factlake.plans import ablation, verify
@@ -184,3 +185,19 @@ def test_settings_of_an_article(kb, queries):
     assert (len(rows[10]["docs"]), len(rows[11]["docs"])) == (4, 1)
     with pytest.raises(ValueError):
         verify.verify(queries.withColumn("top_k", F.lit(0)), kb, Settings())
+
+
+def test_scorer_gets_few_rows_at_a_time_and_nulls_as_they_are(spark):
+    """Only the request is made of Python objects; other columns pass by."""
+    rows = [(i, f"p{i}", None if i % 2 else i, [float(i), None]) for i in range(600)]
+    df = spark.createDataFrame(rows, "query_id long, prompt string, n int, other array<double>").coalesce(1)
+
+    def scorer(request):
+        assert set(request) == {"query_id", "prompt", "n"} and "pandas" not in type(request["n"]).__module__
+        return f"{request['n']}", request["prompt"]
+
+    out = scoring.score(df, scorer, request=["query_id", "prompt", "n"]).collect()
+    assert [(r.query_id, r.raw, r.thought, r.other) for r in sorted(out)] == [
+        (i, str(n), p, o) for i, p, n, o in rows
+    ]
+    assert all(r.call_error is None and r.latency_sec >= 0 for r in out)
