@@ -289,6 +289,8 @@ def write_tokens(
     # Only the rows of a hot key need their texts to be told apart
     hot = not df.groupBy(key).count().filter(F.col("count") > rows_per_key).isEmpty()
     ranges = [known, F.substring("_text", 1, CUT_CHARS)] if hot else [known]
+    if hot:  # a given number: small ranges would be put together again
+        ranges.insert(0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.select(F.col(key), whole).repartitionByRange(*ranges).sortWithinPartitions(known, "_text")
     ordered.mapInArrow(run, out).write.parquet(path)
 
