@@ -175,6 +175,22 @@ def test_hot_word_is_split(spark, monkeypatch):
     assert got == {i: pytest.approx((3.0 + i % 50) / 3) for i in range(300)}
 
 
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_mean_vectors_of_common_and_other_words(spark, common):
+    """Ids may repeat or be missing, and few rows of the exploded words are
+    joined once the common words are summed up in place."""
+    lists = [(1, ["a", "b", "a", "x", None]), (1, ["c"]), (None, ["a", "d"]), (3, []), (4, None), (5, ["b", "c", "c"])]
+    docs = spark.createDataFrame(lists, "doc_id long, words array<string>").repartition(3)
+    given = {"a": [1.0, 2.0], "b": [0.0, 4.0], "c": [3.0, 0.0], "d": [0.5, 0.5]}
+    vectors = spark.createDataFrame(list(given.items()), "word string, vector array<double>")
+    expected = []
+    for doc, words in lists:
+        rows = [given.get(w, [0.0, 0.0]) for w in words or []]
+        expected.append((doc or 0, [round(sum(r[j] for r in rows) / max(len(rows), 1), 9) for j in (0, 1)]))
+    found = embed_mean(docs, vectors, 2, max_bytes=0, common=common)
+    assert sorted((r.doc_id or 0, [round(x, 9) for x in r.vector]) for r in found.collect()) == sorted(expected)
+
+
 @pytest.mark.parametrize("max_bytes", [0, 1 << 20])
 def test_mean_vectors_with_gaps(spark, max_bytes):
     from factlake.operators.scoring import embed_mean
