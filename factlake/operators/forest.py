@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.operators.features import FEATURE_NAMES
-from factlake.operators.scale import materialize
+from factlake.operators.scale import deal, materialize
 
 # Trees and seed.
 TREES = 100
@@ -158,15 +158,14 @@ class Forest:
 def train_forest(
     df: DataFrame, trees: int = TREES, seed: int = SEED, key: str = "doc_id", small: int = SMALL
 ) -> Forest:
-    """Fits (key, features, label)."""
-    rows = materialize(
-        df.select(
-            F.xxhash64(key).alias("row"),
-            vector_to_array("features").alias("x"),
-            F.col("label").cast("int").alias("y"),
-        ),
-        "forest-rows",
+    """Fits (key, features, label). The rows are dealt over all cores, as a
+    small file would be read by one task in every pass."""
+    rows = df.select(
+        F.xxhash64(key).alias("row"),
+        vector_to_array("features").alias("x"),
+        F.col("label").cast("int").alias("y"),
     )
+    rows = materialize(deal(rows, "row"), "forest-rows")
     n, width = rows.agg(F.count("*"), F.max(F.size("x"))).first()
     if not n:
         raise ValueError("a forest needs rows")
@@ -237,36 +236,46 @@ def _histograms(rows: DataFrame, tops: list[Nodes], cuts: list[np.ndarray], samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops, looked, cuts, seed = shared.value
-        total: dict[tuple[int, int, int], np.ndarray] = {}
-        by_tree = defaultdict(list)
+        # Nodes of one tree that look at equally many features are added up
+        # together: a batch costs the same for few nodes and for many.
+        groups = defaultdict(list)
         for t, node in looked:
-            by_tree[t].append(node)
+            groups[t, len(looked[t, node])].append(node)
+        size = max(map(len, cuts)) + 1
+        by_tree = defaultdict(list)
+        for (t, n), nodes in groups.items():
+            slot = np.full(len(tops[t][0]), -1)
+            slot[nodes] = np.arange(len(nodes))
+            sums = np.zeros((n, 5, len(nodes) * size))
+            sums[:, 3], sums[:, 4] = np.inf, -np.inf
+            by_tree[t].append((np.array(nodes), slot, np.stack([looked[t, node] for node in nodes]), sums))
         for batch in batches:
             x, y = _matrix(batch), batch.column("y").to_numpy()
             hashes = batch.column("row").to_numpy()
             binned = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)
-            for t, nodes in by_tree.items():
+            for t, parts in by_tree.items():
                 w = weights(hashes, t, seed)
                 drawn = np.flatnonzero(w)
                 ends = walk(tops[t], x[drawn])
-                for node in nodes:
-                    own = drawn[ends == node]
-                    for f in looked[t, node] if len(own) else ():
-                        size = len(cuts[f]) + 1
-                        sums = total.get((t, node, f))
-                        if sums is None:
-                            sums = total[t, node, f] = np.zeros((5, size))
-                            sums[3], sums[4] = np.inf, -np.inf
-                        at = binned[own, f]
-                        for k, values in enumerate((w[own], w[own] * y[own], np.ones(len(own)))):
-                            sums[k] += np.bincount(at, values, size)
-                        np.minimum.at(sums[3], at, x[own, f])
-                        np.maximum.at(sums[4], at, x[own, f])
-        for (t, node, f), sums in total.items():
-            bins = np.flatnonzero(sums[2])
-            same = [pa.array(np.full(len(bins), v, np.int32)) for v in (t, node, f)]
-            columns = [*same, pa.array(bins.astype(np.int32)), *(pa.array(s[bins]) for s in sums)]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "feature", "bin", "w", "one", "m", "low", "high"])
+                for _, slot, features, sums in parts:
+                    at = slot[ends]
+                    own, at = drawn[at >= 0], at[at >= 0]
+                    weight, one = w[own], w[own] * y[own]
+                    for f, total in zip(features.T, sums):
+                        feature = f[at]
+                        bins, values = at * size + binned[own, feature], x[own, feature]
+                        for k, added in enumerate((weight, one, None)):
+                            total[k] += np.bincount(bins, added, total.shape[1])
+                        np.minimum.at(total[3], bins, values)
+                        np.maximum.at(total[4], bins, values)
+        for t, parts in by_tree.items():
+            for nodes, _, features, sums in parts:
+                for f, total in zip(features.T, sums):
+                    bins = np.flatnonzero(total[2])
+                    of = bins // size
+                    same = (np.full(len(bins), t), nodes[of], f[of], bins % size)
+                    columns = [*(pa.array(c.astype(np.int32)) for c in same), *(pa.array(c[bins]) for c in total)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "feature", "bin", "w", "one", "m", "low", "high"])
 
     kind = "tree int, node int, feature int, bin int, w double, one double, m double, low double, high double"
     added = [F.sum(c).alias(c) for c in ("w", "one", "m")]
@@ -359,7 +368,8 @@ def _upper(model: Forest) -> list[tuple[np.ndarray, ...]]:
 
 def predict(model: Forest, df: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """`df` with y_pred instead of features: the class whose mean share in the
-    ends of all trees is larger, 0 where both are equal."""
+    ends of all trees is larger, 0 where both are equal. `df` is walked where
+    its rows are."""
     nodes = model.parts.agg(F.sum(F.size("feature"))).first()[0] or 0
     if nodes <= broadcast_nodes:
         return _predict_here(model, df)

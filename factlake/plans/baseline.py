@@ -22,7 +22,7 @@ from factlake.operators.features import (
 )
 from factlake.operators.forest import Forest, predict, train_forest
 from factlake.operators.pca import PcaModel, fit_pca
-from factlake.operators.scale import materialize
+from factlake.operators.scale import deal, materialize
 from factlake.operators.scoring import embed_mean
 
 HEAD_CHARS = 1000
@@ -97,7 +97,8 @@ def run_baseline(
     forest = train_forest(materialize(features.transform(train_docs), "features"))
     start = time.perf_counter()
     test_docs = materialize(cleaned(test), "test")
-    scored = materialize(predict(forest, materialize(features.transform(test_docs), "features")), "predictions")
+    test_features = materialize(deal(features.transform(test_docs), "doc_id"), "features")
+    scored = materialize(predict(forest, test_features), "predictions")
     seconds = time.perf_counter() - start
     predictions = scored.withColumnRenamed("label", "y_true")
     latency = seconds / max(1, predictions.count())

@@ -278,6 +278,43 @@ def test_levels_and_subtrees_make_one_forest(spark):
     assert again == got
 
 
+def test_rows_of_one_file_are_read_by_many_tasks(spark, monkeypatch):
+    from factlake.operators import forest
+
+    made = []
+    monkeypatch.setattr(forest, "_finished", lambda rows, *rest, own=forest._finished: made.append(rows) or own(rows, *rest))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    train_forest(labelled(spark, x, x[:, 0] > 0).coalesce(1), trees=2, small=50)
+    files = {r.f for r in made[0].select(F.input_file_name().alias("f")).collect()}
+    assert len(files) >= spark.sparkContext.defaultParallelism
+
+
+def test_histograms_of_all_nodes_against_each_by_itself(spark):
+    from factlake.operators import forest
+
+    rng = np.random.default_rng(7)
+    x, y = np.round(rng.normal(size=(300, 5)), 1), rng.integers(0, 2, 300)
+    rows = [(i * 7919, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))]
+    frame = spark.createDataFrame(rows, "row long, x array<double>, y int").repartition(3)
+    top = Nodes()
+    top.cut(0, 1, 0.0, 1.0, top.add(0.5, "open"), top.add(0.5, "open"))
+    top.cut(2, 0, 0.3, 1.0, top.add(0.5, "open"), top.add(0.5, "leaf"))
+    top.stubborn.add(1)  # looks at all features
+    cuts = [np.unique(np.quantile(x[:, f], [0.2, 0.5, 0.9])[: 3 - f % 2]) for f in range(5)]
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in forest._histograms(frame, [top], cuts, 2, 42).collect()}
+    ids = np.array([r[0] for r in rows])
+    w, ends, expected = weights(ids, 0, 42), walk(top.arrays(), x), {}
+    for node, n in ((1, 5), (3, 2)):
+        for f in np.random.default_rng([42, 0, node]).permutation(5)[:n]:
+            for b in range(len(cuts[f]) + 1):
+                own = (w > 0) & (ends == node) & (np.searchsorted(cuts[f], x[:, f]) == b)
+                if own.any():
+                    v = x[own, f]
+                    expected[0, node, f, b] = (w[own].sum(), (w * y)[own].sum(), own.sum(), v.min(), v.max())
+    assert got == expected
+
+
 def test_alike_rows_one_class_and_no_rows(spark):
     same = labelled(spark, [[1.0, 2.0]] * 40, [0, 1, 1, 1] * 10)
     for small in (5, 100):
