@@ -45,7 +45,7 @@ def assign_shards(df: DataFrame, size: Column, limit: int, key: str = "doc_id")
     rows = df.select(
         F.struct(*own).alias("_row"), F.coalesce(size.cast("bigint"), F.lit(0)).alias("n_bytes"), code.alias("_code")
     )
-    return _extend(materialize(rows, "shard-rows"), limit).select("_row.*", "n_bytes", "depth", "shard")
+    return _extend(materialize(rows, "shard-rows", "zstd"), limit).select("_row.*", "n_bytes", "depth", "shard")
 
 
 def _extend(rows: DataFrame, limit: int) -> DataFrame:

@@ -69,3 +69,24 @@ def test_empty_table_and_files(spark):
     )
     with pytest.raises(ValueError):
         read_shards(spark, path, F.octet_length("text"), 100)
+
+
+def test_the_copy_of_all_rows_takes_little_disk(spark):
+    """Rows are written twice (a copy with their codes, the shards) and
+    shuffled once; the copy is packed more tightly than the session's files."""
+    import os
+
+    rows = [(i, " ".join(f"word{i * j % 97}" for j in range(200))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = assign_shards(frame, F.octet_length("text"), 20_000)
+    copies = {os.path.dirname(f) for f in out.inputFiles() if "/shard-rows-" in f}
+    assert len(copies) == 1
+
+    def size(path):
+        path = path.removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+
+    plain = scratch_path(spark, "plain")
+    frame.write.parquet(plain)
+    assert size(copies.pop()) < 0.9 * size(plain)
+    assert out.count() == 400
