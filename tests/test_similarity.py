@@ -175,3 +175,32 @@ def test_best_of_many_batches_and_queries(copies):
     for q in range(len(asked)):
         order = np.lexsort((ids, distance[q]))[:5]
         assert found["vec_id"].to_pylist()[5 * q : 5 * q + 5] == ids[order].tolist()
+
+
+def test_cells_are_tasks_of_their_own(spark):
+    """Their rows are few bytes, but much work: they are not put together."""
+    n = 4 * similarity.LEAST_ROWS
+    kb = spark.range(n).select(
+        F.col("id").alias("vec_id"), F.col("id").alias("query_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding")
+    )
+    left, right = similarity.cut_whole(kb.drop("vec_id"), kb.drop("query_id"), n)
+    assert left.select(*similarity.CELL).distinct().count() == 4
+    assert (left.count(), right.count()) == (n, 4 * n)
+    found = similarity.best_in_cells(left, right, 1, 2)
+    used = found.select(F.spark_partition_id().alias("task"), "query_id").cache()
+    assert used.count() == n and used.select("task").distinct().count() > 1
+    used.unpersist()
+
+
+def test_pairs_that_wait_are_the_best_ones():
+    """Many blocks of one batch, the nearest rows anywhere among them."""
+    rng = np.random.default_rng(8)
+    corpus, asked = rng.standard_normal((9001, 16)), rng.standard_normal((300, 16))
+    asked = similarity.unit_matrix(pa.array(list(asked)), 16)
+    best = similarity._Best(np.arange(300), asked, np.arange(300), 4)
+    own = np.arange(9001)
+    best.offer(pa.table({"vec_id": own[::-1], "embedding": pa.array(list(corpus)), "source_index": own}))
+    distance = np.round(1 - asked @ similarity.unit_matrix(pa.array(list(corpus)), 16).T, 9)
+    distance[np.arange(300), np.arange(300)] = np.inf
+    order = np.stack([np.lexsort((own[::-1], row))[:4] for row in distance])
+    assert best.table()["vec_id"].to_pylist() == own[::-1][order].ravel().tolist()
