@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from factlake.operators.scoring import (
 )
 from factlake.plans.verify import nearest_documents
 from factlake.schemas import results_schema
+from factlake.sources.files import is_committed
 from factlake.sources.tables import append_results
 
 Variant = tuple[str, str]
@@ -43,15 +45,28 @@ def retrieve_variants(
     exclude_own: bool = False,
     columns: Sequence[str] = (),
     indexes: dict[Variant, ListIndex] | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """embedding, chunking, query_id, docs for every variant; `queries` holds
     the query vectors of each model, which are written down once. A variant
-    with an index is searched by its lists."""
+    with an index is searched by its lists. With a `store` every variant's
+    neighbours are written there as soon as they are found, and a variant that
+    was finished there is not searched again: a store is for one run and its
+    resumptions, over the same articles and vectors."""
     parts = []
-    asked = {model: materialize(queries[model], "queries") for model in {m for m, _ in kbs}}
-    for (embedding, chunking), kb in kbs.items():
-        index = (indexes or {}).get((embedding, chunking))
-        found = nearest_documents(asked[embedding], kb, k, exclude_own, columns, index)
+    spark = next(iter(kbs.values())).sparkSession
+    folders = {v: store and _folder(store, v, k, exclude_own, columns, indexes) for v in kbs}
+    open_ = [v for v, path in folders.items() if not path or not is_committed(spark, path)]
+    asked = {model: materialize(queries[model], "queries") for model in {m for m, _ in open_}}
+    for variant, path in folders.items():
+        embedding, chunking = variant
+        if variant in open_:
+            index = (indexes or {}).get(variant)
+            found = nearest_documents(asked[embedding], kbs[variant], k, exclude_own, columns, index)
+            if path:
+                found.write.mode("overwrite").parquet(path)
+        if path:
+            found = spark.read.parquet(path)
         parts.append(
             found.withColumns(
                 {"embedding": F.lit(embedding), "chunking": F.lit(chunking)}
@@ -61,6 +76,13 @@ def retrieve_variants(
     return collect_neighbours(every, ["embedding", "chunking", "query_id"])
 
 
+def _folder(store, variant, k, exclude_own, columns, indexes) -> str:
+    """Where the neighbours of a variant are, by all that was asked for."""
+    index = (indexes or {}).get(variant)
+    asked = [*variant, k, exclude_own, *columns, index and index.probes]
+    return f"{store.rstrip('/')}/{md5(repr(asked).encode()).hexdigest()}"
+
+
 def _small(grid: DataFrame) -> DataFrame:
     return F.broadcast(grid) if has_at_most(grid, MAX_BROADCAST_ROWS) else grid
 
@@ -135,15 +157,18 @@ def run_ablation(
     max_k: int = 10,
     context_cap: int = 8192,
     indexes: dict[Variant, ListIndex] | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Scores the configurations that `done` lacks; appends to the results at
-    `path` when given. `truth` holds (doc_id, label) of the queries."""
+    `path` when given. `truth` holds (doc_id, label) of the queries. `store` is
+    a folder of neighbours for a run that may be resumed, see
+    `retrieve_variants`."""
     todo = grid if done is None else pending_configs(grid, done)
     if scorer is None:
-        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, indexes=indexes)
+        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, indexes=indexes, store=store)
         predictions = vote_configs(retrieved, todo, max_distance)
     else:
-        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content",), indexes)
+        retrieved = retrieve_variants(queries, kbs, max_k, exclude_own, ("content",), indexes, store)
         news = next(iter(queries.values())).select("query_id", "news")
         predictions = score_configs(retrieved, news, todo, scorer, context_cap)
     table = summarise(predictions, truth, todo)

@@ -295,7 +295,7 @@ ABLATION = with_(
 )
 
 
-def run_grid(spark, sf, path=None, done=None, indexed=False):
+def run_grid(spark, sf, path=None, done=None, indexed=False, store=None):
     queries, kbs = variants(spark, sf)
     indexes = {}
     if indexed:
@@ -305,7 +305,7 @@ def run_grid(spark, sf, path=None, done=None, indexed=False):
             kbs[name], indexes[name] = read_index(spark, folder, probes=20)
     truth = kb(spark, sf).select(F.col("vec_id").alias("doc_id"), "label")
     return ablation.run_ablation(
-        grid.config_grid(spark), done, queries, kbs, truth, path, exclude_own=True, indexes=indexes
+        grid.config_grid(spark), done, queries, kbs, truth, path, exclude_own=True, indexes=indexes, store=store
     )
 
 
@@ -365,11 +365,12 @@ def ablation_results_ivf(spark, sf):
     "FROM metrics JOIN grid USING (config_id)"
 )
 def ablation_resumed(spark, sf):
-    """A run that stopped half-way and was taken up again, from its CSV files."""
-    path = scratch_path(spark, "results")
-    first = run_grid(spark, sf).filter("config_id % 2 = 0")
+    """A run that stopped half-way and was taken up again, from its CSV files
+    and the neighbours that it had found."""
+    path, store = scratch_path(spark, "results"), scratch_path(spark, "neighbours")
+    first = run_grid(spark, sf, store=store).filter("config_id % 2 = 0")
     tb.append_results(first, path)
-    run_grid(spark, sf, path, done=tb.read_results(spark, path))
+    run_grid(spark, sf, path, done=tb.read_results(spark, path), store=store)
     return tb.read_results(spark, path).drop("latency_mean_sec")
 
 

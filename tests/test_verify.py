@@ -107,6 +107,28 @@ def test_ablation_with_scorer_resumes(spark, kb, queries, tmp_path):
     assert [r["config_id"] for r in again.collect()] == [3]
 
 
+def test_resumed_ablation_searches_open_variants_only(spark, kb, queries, tmp_path, monkeypatch):
+    searched, search = [], ablation.nearest_documents
+
+    def counted(*args, **kwargs):
+        searched.append(args)
+        return search(*args, **kwargs)
+
+    monkeypatch.setattr(ablation, "nearest_documents", counted)
+    truth = spark.createDataFrame([(10, 1), (11, 0), (12, 1)], "doc_id long, label int")
+    own, kbs = variants(kb, queries)
+    grid, store = config_grid(spark), str(tmp_path / "store")
+    some = {v: kbs[v] for v in list(kbs)[:3]}
+    ablation.run_ablation(grid, None, own, some, truth, store=store).collect()
+    assert len(searched) == 3
+    again = ablation.run_ablation(grid, None, own, kbs, truth, store=store).drop("latency_mean_sec")
+    assert len(searched) == 4  # the variant that the stopped run lacks
+    plain = ablation.run_ablation(grid, None, own, kbs, truth).drop("latency_mean_sec")
+    assert sorted(map(str, again.collect())) == sorted(map(str, plain.collect()))
+    ablation.run_ablation(grid, None, own, kbs, truth, store=store, max_k=11).collect()
+    assert len(searched) == 12  # another k is another search
+
+
 def test_smaller_k_is_a_prefix(spark, kb, queries):
     own, kbs = variants(kb, queries)
     wide = ablation.retrieve_variants(own, kbs, 4).filter("embedding = 'EMB-A' and chunking = 'CHUNK-A'")
