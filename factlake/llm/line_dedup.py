@@ -51,6 +51,8 @@ BROADCAST_LINES = 1_000_000
 HOT = 1 << 30
 LAST = (1 << 63) - 1
 PLACE_BITS = 30
+# Bits of the sketches that pairs of long sets are compared by first
+SKETCH = 4096
 
 
 # ---- words ------------------------------------------------------------------
@@ -159,6 +161,12 @@ def least_overlap(a, b, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
+def is_wide(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Sets that may differ in more words than the 128 bits of unrelated sets
+    differ in: a bitmap tells nothing about them, and none is kept."""
+    return 2 * (size - least_overlap(size, size, threshold)) >= 72
+
+
 def describe_lines(
     texts: DataFrame, sums: np.ndarray, threshold: float, run_words: int = 1
 ) -> DataFrame:
@@ -181,6 +189,7 @@ def describe_lines(
             bit = np.uint64(1) << ((hashes >> np.uint64(57)) & np.uint64(63))
             upper = hashes >> np.uint64(63) == 1
             bits = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), starts) for x in (~upper, upper)]
+            bits = [np.where(is_wide(sizes, threshold), np.uint64(0), b) for b in bits]
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
             # A set that only its equals can match needs no keys
             alone = least_overlap(sizes, sizes + 1, threshold) > sizes
@@ -239,6 +248,7 @@ def _meet(threshold: float, closest: int | None):
         group = np.cumsum(new)
         place = (rows["kp"].to_numpy() & ((1 << PLACE_BITS) - 1))[order]
         bits = np.stack([rows[n].to_numpy().view(np.uint64)[order] for n in ("bits", "bits2")])
+        wide = is_wide(size, threshold)
         doc, line = rows["doc"].to_numpy()[order], (rows["ls"].to_numpy() >> 32)[order]
         half = rows["half"].to_numpy()[order] if "half" in rows.column_names else None
         wanted = rows["wanted"].to_numpy(zero_copy_only=False)[order] if closest is None else None
@@ -269,6 +279,7 @@ def _meet(threshold: float, closest: int | None):
             need = least_overlap(size[a], size[b], threshold)
             left = 1 + np.minimum(size[a] - place[a] - 1, size[b] - place[b] - 1)
             differ = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(0, dtype=np.int64)
+            differ[wide[a] | wide[b]] = 0
             ok = (left >= need) & (differ <= size[a] + size[b] - 2 * need)
             # Two words of one line may have the same key
             ok &= (doc[a] != doc[b]) | (line[a] != line[b])
@@ -354,8 +365,9 @@ def candidates(rows: DataFrame, threshold: float, closest: int | None) -> DataFr
     return pairs.groupBy(*Y, *X).agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
 
 
-def word_sets(texts: DataFrame, wanted: DataFrame, run_words: int = 1) -> DataFrame:
-    """(doc, line, words) of the wanted lines (doc, line): their hashes."""
+def word_sets(texts: DataFrame, wanted: DataFrame, run_words: int = 1, sketch: bool = False) -> DataFrame:
+    """(doc, line, words) of the wanted lines (doc, line): their hashes. Or
+    (doc, line, size, sketch)."""
     wanted = materialize(wanted, "wanted-lines")
     lists = wanted.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_lines"))
     if has_at_most(wanted, BROADCAST_LINES):
@@ -373,6 +385,11 @@ def word_sets(texts: DataFrame, wanted: DataFrame, run_words: int = 1) -> DataFr
             numbers, sizes, hashes = word_sets_of(own, run_words=run_words)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             who = pa.array(numbers)
+            if sketch:
+                columns = [pa.array(docs, pa.int64()).take(who), pa.array(places, pa.int64()).take(who),
+                           pa.array(sizes), pa.array(sketches_of(sizes, hashes), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "size", "sketch"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()).take(who), pa.array(places, pa.int64()).take(who),
                  pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
@@ -380,7 +397,51 @@ def word_sets(texts: DataFrame, wanted: DataFrame, run_words: int = 1) -> DataFr
             )
 
     joined = texts.join(lists, "doc").select("doc", "_text", "_lines")
-    return joined.mapInArrow(run, "doc bigint, line bigint, words array<bigint>")
+    kind = "size bigint, sketch binary" if sketch else "words array<bigint>"
+    return joined.mapInArrow(run, f"doc bigint, line bigint, {kind}")
+
+
+def sketches_of(sizes: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+    """Parities of the sets' hashes in SKETCH places: two sets differ in as
+    many words as their sketches in bits, or more."""
+    out, ends = [], np.cumsum(sizes)
+    place = (mixed(hashes, 0x5851F42D) >> np.uint64(40)).astype(np.int64) % SKETCH
+    for first in range(0, len(sizes), 256):
+        some = sizes[first : first + 256]
+        at = place[ends[first] - sizes[first] : ends[first + len(some) - 1]]
+        at = at + np.repeat(np.arange(len(some)), some) * SKETCH
+        odd = np.bincount(at, minlength=len(some) * SKETCH).reshape(-1, SKETCH) & 1
+        out += [row.tobytes() for row in np.packbits(odd.astype(bool), axis=1)]
+    return out
+
+
+def sketched(texts: DataFrame, pairs: DataFrame, threshold: float, run_words: int) -> DataFrame:
+    """The pairs with `may`: false if their sketches differ in more bits than
+    similar sets differ in words. So few whole sets are sent."""
+    ends = [pairs.select(*[F.col(a).alias(b) for a, b in zip(s, ("doc", "line"))]) for s in (Y, X)]
+    marks = word_sets(texts, ends[0].unionByName(ends[1]).distinct(), run_words, sketch=True)
+    marks = written(marks, "sketches")
+
+    def side(names: list[str], to: str) -> DataFrame:
+        renamed = [F.col(a).alias(b) for a, b in zip(("doc", "line"), names)]
+        return marks.select(*renamed, F.col("size").alias(f"{to}_size"), F.col("sketch").alias(to))
+
+    few = has_at_most(pairs, BROADCAST_LINES // 10)
+    whole = side(Y, "_y").join(F.broadcast(pairs) if few else pairs, Y).join(side(X, "_x"), X)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            bits = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(n, -1) for c in ("_y", "_x")]
+            y, x = (batch[c].to_numpy() for c in ("_y_size", "_x_size"))
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            may = apart <= y + x - 2 * least_overlap(y, x, threshold)
+            columns = [*(batch[c] for c in (*Y, *X)), pa.array(apart), batch["more"], pa.array(may)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*Y, *X, "apart", "more", "may"])
+
+    chosen = whole.select(*Y, *X, "more", "_y_size", "_x_size", "_y", "_x")
+    out = ", ".join(f"{n} bigint" for n in [*Y, *X, "apart"]) + ", more boolean, may boolean"
+    return chosen.mapInArrow(run, out)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -393,7 +454,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     pairs = pairs.filter("y_doc <> x_doc or y_line <> x_line").select(*Y, *X)
     # Few pairs go to the sets, which then are shuffled once instead of twice
     few = has_at_most(pairs, BROADCAST_LINES // 10)
-    whole = side(Y, "_y").join(F.broadcast(pairs) if few else pairs, Y).join(side(X, "_x"), X)
+    earlier = pairs.select(*X).distinct()
+    whole = side(Y, "_y").join(F.broadcast(pairs) if few else pairs, Y)
+    # Sets that are later ones only are not sent
+    other = side(X, "_x").join(F.broadcast(earlier), X, "left_semi") if few else side(X, "_x")
+    whole = whole.join(other, X)
     common = F.size(F.array_intersect("_y", "_x"))
     need = F.ceil(threshold / (1 + threshold) * (F.size("_y") + F.size("_x")) - 1e-9)
     return whole.filter(common >= need).select(*Y).distinct()
@@ -481,14 +546,22 @@ def near_lines(
     """Places (y_doc, y_line) of first lines that an earlier line is similar
     to. A line's nearest candidate is verified first, the others only if that
     one does not hold, and those beyond `closest` only if none of them does."""
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """Runs make long sets: which pairs may hold is told by sketches."""
+        pairs = written(pairs, "line-pairs")
+        if run_words == 1:
+            return pairs.withColumn("may", F.lit(True))
+        return written(sketched(texts, pairs, threshold, run_words), "line-pairs")
+
     rows = prefix_rows(classes)
-    pairs = written(candidates(rows, threshold, closest), "line-pairs")
-    best = pairs.groupBy(*Y).agg(F.min(F.struct("apart", *X)).alias("_x")).select(*Y, "_x.*")
+    pairs = told(candidates(rows, threshold, closest))
+    best = pairs.filter("may").groupBy(*Y).agg(F.min(F.struct("apart", *X)).alias("_x")).select(*Y, "_x.*")
     near = _near(texts, best, threshold, run_words)
     rest = written(pairs.join(near, Y, "left_anti"), "line-pairs")
     if rest.isEmpty():
         return near
-    found = _near(texts, rest, threshold, run_words)
+    found = _near(texts, rest.filter("may"), threshold, run_words)
     near = near.unionByName(found)
     open_ = rest.filter("more").select(*Y).distinct().join(found, Y, "left_anti")
     open_ = written(open_.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("_line")), "open-lines")
@@ -504,8 +577,8 @@ def near_lines(
     if has_at_most(keys, BROADCAST_LINES):
         keys = F.broadcast(keys)
     flagged = flagged.join(keys, "_key", "left_semi").select(*rows.columns, "wanted")
-    again = written(candidates(flagged, threshold, None), "line-pairs")
-    return near.unionByName(_near(texts, again, threshold, run_words))
+    again = told(candidates(flagged, threshold, None))
+    return near.unionByName(_near(texts, again.filter("may"), threshold, run_words))
 
 
 def _near(texts: DataFrame, pairs: DataFrame, threshold: float, run_words: int) -> DataFrame:

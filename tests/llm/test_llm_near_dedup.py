@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from factlake.llm import line_dedup
 from factlake.llm import near_dedup
 from factlake.llm.near_dedup import (
     components, covering_masks, fingerprint,  links_within, local_links, near_duplicates, one_of_each, shingle_hashes,
@@ -189,3 +190,35 @@ def test_no_pair_of_kept_documents_is_similar(spark):
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     assert sorted(i for i in got if i not in (None, 900)) == sorted(i for i in expected if i is not None)
     assert None not in got and 900 in got
+
+
+def test_whole_sets_are_sent_of_similar_texts_only(spark, monkeypatch):
+    """Long texts that share a passage meet, but their sketches tell them apart."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(200)]
+    texts = [" ".join([f"w{i}" for i in rng.integers(0, 10**9, 600)] + passage) for _ in range(30)]
+    texts += [texts[4] + " and more", "x " + texts[9], texts[9] + " y"]
+    sent, plain = [], line_dedup.word_sets
+
+    def counted(texts, wanted, run_words=1, sketch=False):
+        if not sketch:
+            sent.append(wanted.count())
+        return plain(texts, wanted, run_words, sketch=sketch)
+
+    monkeypatch.setattr(line_dedup, "word_sets", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc bigint, _text string")
+    _, removed = line_dedup.removed_lines(docs, 0.8, run_words=5)
+    assert {r["doc"] for r in removed.collect()} == {30, 31, 32}
+    assert sum(sent) < 15
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.concatenate([common, rng.integers(0, 2**63, n).astype(np.uint64)]) for n in (1, 40, 400, 5000)]
+    sizes = np.array([len(s) for s in sets])
+    bits = [np.frombuffer(b, np.uint64) for b in line_dedup.sketches_of(sizes, np.concatenate(sets))]
+    for i in range(4):
+        for j in range(4):
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum()
+            assert apart <= (sizes[i] + sizes[j] - 1800 if i != j else 0)
