@@ -2,8 +2,8 @@
 
 Units (runs of pieces that no piece can cross) of equal length advance
 together, one character at a time. For every end the substrings of all
-possible lengths are looked up by rolling hash in the sorted hashes of the
-pieces; of the admissible candidates a vectorised maximum keeps one, whose
+possible lengths are looked up by rolling hash (a sieve of their first bits,
+then the sorted hashes of the pieces); of the admissible candidates a vectorised maximum keeps one, whose
 start is the backpointer; the ids are read off from the end.
 
 The given vocabulary is one of ranked merges, whose result is not the path of
@@ -37,6 +37,8 @@ LONG = 200
 CELLS = 400_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FAR = np.int64(1) << 40
+# Shifts that leave the 20 bits by which the sieve and the answers are found
+SIEVE = ASKED = np.uint64(44)
 
 
 class PieceCodec:
@@ -73,6 +75,11 @@ class PieceCodec:
         self.hashes, self.symbols = hashes[order], np.array(made, np.int64)[order]
         if (np.diff(self.hashes) == 0).any():
             raise ValueError(f"{path}: two pieces have one hash")
+        # Which values the mixed hashes of pieces begin with: most substrings
+        # are no pieces, and are told so without a search.
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.hashes * FACTOR) >> SIEVE] = True
+        self.asked = np.full(1 << 20, -1, np.int64)
         self.alphabet = np.array(sorted(ord(n) for n in self.names if len(n) == 1), np.uint32)
         newline = "" if "\n" in self.at else "\n"
         self.units = re.compile(rf"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + "|\n" * bool(newline))
@@ -152,6 +159,17 @@ class PieceCodec:
             a, b = np.where(take_a, self.second[a], a), np.where(take_a, b, self.first[b])
         return out
 
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`follows`, with the last answers remembered: few pairs are common."""
+        pair = left * (len(self.names) + 1) + right
+        at = (pair.astype(np.uint64) * FACTOR) >> ASKED
+        said = self.asked[at]
+        out, new = (said & 1).astype(bool), np.flatnonzero(said >> 1 != pair)
+        if len(new):
+            out[new] = self.follows(left[new], right[new])
+            self.asked[at[new]] = pair[new] << 1 | out[new]
+        return out
+
     # ---- encoding ----
 
     @staticmethod
@@ -170,24 +188,34 @@ class PieceCodec:
         for i in range(length):
             prefix[i + 1] = prefix[i] * FACTOR + chars[:, i].astype(np.uint64) + np.uint64(1)
         powers = FACTOR ** np.arange(min(length, self.longest) + 1, dtype=np.uint64)
+        # All pieces at all places, by their ends, shorter ones first
+        cells, symbols, sizes = [], [], []
+        for n in range(1, len(powers)):
+            hashed = (prefix[n:] - prefix[:-n] * powers[n]).ravel()
+            cell = np.flatnonzero(self.sieve[(hashed * FACTOR) >> SIEVE])
+            hashed = hashed[cell]
+            at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashed
+            cells.append(cell[hit] + n * count)
+            symbols.append(self.symbols[at[hit]])
+            sizes.append(np.full(len(cells[-1]), n))
+        ends, words = np.divmod(np.concatenate(cells), count)
+        order = np.argsort(ends.astype(np.uint16), kind="stable")
+        borders = np.searchsorted(ends[order], np.arange(length + 2))
+        words, symbols, sizes = (x[order] for x in (words, np.concatenate(symbols), np.concatenate(sizes)))
         best = np.full((length + 1, count), -1, np.int64)
         size = np.zeros((length + 1, count), np.int64)
+        best[1:], size[1:] = np.where(known.T, -1, self.unknown), ~known.T
         for end in range(1, length + 1):
-            best[end] = np.where(known[:, end - 1], -1, self.unknown)
-            size[end] = np.where(known[:, end - 1], 0, 1)
-            for n in range(1, min(end, self.longest) + 1):
-                start = end - n
-                hashed = prefix[end] - prefix[start] * powers[n]
-                at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-                who = np.flatnonzero(self.hashes[at] == hashed)
-                if start and len(who):
-                    before = best[start, who]
-                    ok = before >= 0
-                    who, before = who[ok], before[ok]
-                    who = who[self.follows(before, self.symbols[at[who]])]
-                # the longest admissible candidate so far stays
-                best[end, who] = self.symbols[at[who]]
-                size[end, who] = n
+            part = slice(borders[end], borders[end + 1])
+            who, symbol, n = words[part], symbols[part], sizes[part]
+            before = best[end - n, who]
+            ok = n == end
+            ask = np.flatnonzero(before >= 0)
+            ok[ask] = self.may_follow(before[ask], symbol[ask])
+            # of several admissible candidates the last, longest one stays
+            who = who[ok]
+            best[end, who], size[end, who] = symbol[ok], n[ok]
         return self._trace(best, size)
 
     @staticmethod

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factlake.llm import token_files
-from factlake.llm.piece_codec import add_pieces, codec, decode_pieces, encode_pieces
+from factlake.llm.piece_codec import PieceCodec, add_pieces, codec, decode_pieces, encode_pieces
 from factlake.llm.token_counts import MergeTable, count_tokens, counter
 from factlake.llm.token_files import Codes, digest, encoder, pack, read_documents, token_path, write_tokens
 
@@ -197,3 +197,18 @@ def test_limit_column(spark, sf):
 
     out = QUERIES["op1_token_counts"](spark, sf)
     assert out.filter(F.col("over_limit") != (F.col("n_tokens") > 1024)).isEmpty()
+
+
+def test_pairs_of_pieces_are_asked_for_once(monkeypatch):
+    """CHECK op6_piece_codec: forgotten units don't take their pieces apart again."""
+    own = PieceCodec(PIECES, remembered=10)
+    asked, follows = [], own.follows
+    monkeypatch.setattr(own, "follows", lambda a, b: (asked.append(len(a)), follows(a, b))[1])
+    parts = ["re", "na", "tion", "ing", "über", "каз", "ment", "or", "st", "中"]
+    texts = [" ".join(a + b + c for c in parts) for a in parts for b in parts]
+    pairs = []
+    for _ in range(2):
+        ids, counts = own.encode(texts)
+        assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == library_pieces.encode(texts)
+        pairs.append(sum(asked))
+    assert pairs[0] and pairs[1] - pairs[0] < pairs[0] / 10
