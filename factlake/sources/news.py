@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from factlake.functions.text import compose_content, strip_nul
 from factlake.schemas import NEWS
-from factlake.sources.files import is_committed
+from factlake.sources.files import (
+    SUFFIXES,
+    is_committed,
+    local_folder,
+    local_path,
+    read_files,
+    small_tasks,
+    write_texts,
+)
 
 Decoder = Callable[[bytes], str]
 
@@ -34,11 +42,10 @@ def write_files(df: DataFrame, key: str, path: str, compression: str = "none") -
     files are dealt over all tasks by a fixed number, as they cost much and
     weigh little, and every task moves its own files into place: the default
     commit moves one after the other on the driver."""
-    tasks = max(
-        df.sparkSession.sparkContext.defaultParallelism,
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-    )
-    writer = df.repartition(tasks, key).write.option("compression", compression)
+    spark = df.sparkSession
+    if local_path(spark, path) and compression in SUFFIXES:
+        return write_texts(df, key, path, compression)
+    writer = df.repartition(small_tasks(spark), key).write.option("compression", compression)
     writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.partitionBy(key).text(path)
 
@@ -53,8 +60,12 @@ def read_documents(
     (`recursive`): many folders are then listed by tasks, where a pattern is
     resolved by the driver alone. Files whose suffix has a decoder (bytes to
     text) go through it in batches; the others are UTF-8 text."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    files = reader.load(glob).select("path", "content")
+    folder = local_folder(spark, glob) if recursive else None
+    if folder:
+        files = read_files(spark, folder)
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+        files = reader.load(glob).select("path", "content")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     plain = files.filter(~suffix.isin(*(decoders or {}))) if decoders else files
     text = plain.select("path", F.decode("content", "UTF-8").alias("text"))
