@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from factlake.sources.files import (
 )
 
 Decoder = Callable[[bytes], str]
+SUFFIX = re.compile(r"\.([^./]+)$")
 
 
 def cache_splits(df: DataFrame, path: str) -> str:
@@ -59,24 +61,27 @@ def read_documents(
     """path, text of the files that match, or of all files below a folder
     (`recursive`): many folders are then listed by tasks, where a pattern is
     resolved by the driver alone. Files whose suffix has a decoder (bytes to
-    text) go through it in batches; the others are UTF-8 text."""
+    text) go through it; the others are UTF-8 text. Every file is read once."""
     folder = local_folder(spark, glob) if recursive else None
     if folder:
         files = read_files(spark, folder)
     else:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
         files = reader.load(glob).select("path", "content")
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    plain = files.filter(~suffix.isin(*(decoders or {}))) if decoders else files
-    text = plain.select("path", F.decode("content", "UTF-8").alias("text"))
+    text = F.decode("content", "UTF-8")
     if decoders:
 
-        def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                kinds = frame["path"].str.rsplit(".", n=1).str[1].str.lower()
-                texts = [decoders[k](bytes(b)) for k, b in zip(kinds, frame["content"])]
-                yield pd.DataFrame({"path": frame["path"], "text": texts})
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                plain, texts = [], []
+                for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
+                    suffix = SUFFIX.search(path)
+                    decoder = decoders.get(suffix[1].lower()) if suffix else None
+                    plain.append(None if decoder else content)
+                    texts.append(decoder(content) if decoder else None)
+                columns = {"content": pa.array(plain, pa.binary()), "text": pa.array(texts, pa.string())}
+                yield pa.RecordBatch.from_pydict({"path": batch.column("path"), **columns})
 
-        special = files.filter(suffix.isin(*decoders))
-        text = text.unionByName(special.mapInPandas(decode, "path string, text string"))
-    return text.withColumn("text", strip_nul(F.col("text")))
+        files = files.mapInArrow(decode, "path string, content binary, text string")
+        text = F.coalesce("text", text)
+    return files.select("path", strip_nul(text).alias("text"))

@@ -50,8 +50,8 @@ def test_files_are_those_of_the_partitioned_writer(spark, tmp_path, compression)
         src.write_files(df, "k", str(tmp_path / "own"), compression)
 
 
-def test_many_files_are_few_tasks(spark, tmp_path):
-    """Tasks used to grow with the files, 32 in each."""
+def test_many_files_are_few_tasks_and_read_once(spark, tmp_path):
+    """Tasks used to grow with the files, 32 in each, and every kind read all."""
     rows = [(i, f"text {i}") for i in range(600)]
     df = spark.createDataFrame(rows, "page_id long, text string")
     path = str(tmp_path / "files")
@@ -60,7 +60,9 @@ def test_many_files_are_few_tasks(spark, tmp_path):
     for name in ("_hidden", ".hidden", "empty"):
         (tmp_path / "files" / name).write_bytes(b"" if name == "empty" else b"x")
     read = src.read_documents(spark, path, {"gz": lambda b: gzip.decompress(b).decode()}, recursive=True)
-    assert read.rdd.getNumPartitions() <= 16
+    assert read.rdd.getNumPartitions() <= 8
+    # one pass reads, whatever the kinds
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("_contents(") == 1
     page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
     assert sorted(read.select(page, "text").collect()) == [(i, t + "\n") for i, t in rows]
     spark_paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
