@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factlake.operators import pivots
 from factlake.operators.pivots import build_pivots, choose_pivots, pivot_join
+from factlake.operators.scale import materialize
 from factlake.operators.similarity import similarity_join
 
 SCHEMA = "vec_id long, source_index long, label int, embedding array<float>"
@@ -63,3 +64,36 @@ def test_cells_are_left_out(spark):
     assert index.members.groupBy("cell").count().filter(F.col("count") < 1).isEmpty()
     with pytest.raises(ValueError):
         pivot_join(queries, corpus, 0)
+
+
+def test_queries_are_not_repeated_for_every_cell(spark, monkeypatch):
+    """Where nothing can be left out, a query used to be written once for each
+    cell, and k rows of it for each: here 36,000 and 108,000 rows of 600."""
+    corpus = spark.createDataFrame(rows_of(clustered(600, 20, 3.0, 32)), SCHEMA)
+    queries = corpus.withColumnRenamed("vec_id", "query_id").drop("label")
+    index = build_pivots(corpus, choose_pivots(corpus, 60))
+    written = []
+
+    def counted(df, name):
+        df = materialize(df, name)
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(pivots, "materialize", counted)
+    found = pivot_join(queries, corpus, 3, index=index)
+    assert index.searched > 0.9 * index.possible
+    assert max(written) < 16 * 3 * 600
+    assert sorted(found.collect(), key=str) == sorted(similarity_join(queries, corpus, 3).collect(), key=str)
+
+
+def test_groups_hold_all_cells_and_hot_cells_are_cut():
+    rng = np.random.default_rng(0)
+    sizes = np.array([5, 0, 900, 40, 3, 60, 0, 7])
+    groups = pivots.group_cells(rng.normal(size=(8, 4)), sizes, 100)
+    assert sorted(groups.order) == [0, 2, 3, 4, 5, 7]
+    for cells, cuts in zip(np.split(groups.order, groups.starts[1:]), groups.cuts):
+        assert sizes[cells].sum() <= 100 * cuts and (cuts == 1 or len(cells) == 1)
+    marked = np.zeros((1, 8), bool)
+    marked[0, 2] = True
+    (pieces,) = groups.of(marked)
+    assert len(pieces) == 9 and len(set(pieces)) == 9
