@@ -204,3 +204,23 @@ def test_pairs_that_wait_are_the_best_ones():
     distance[np.arange(300), np.arange(300)] = np.inf
     order = np.stack([np.lexsort((own[::-1], row))[:4] for row in distance])
     assert best.table()["vec_id"].to_pylist() == own[::-1][order].ravel().tolist()
+
+
+def test_only_queries_with_something_near_are_compared(monkeypatch):
+    """Once the limits are tight, a block is compared for the few queries whose
+    largest product reaches theirs; it used to be compared for all."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6 * similarity.BLOCK, 16))
+    ids = np.arange(similarity.QUERIES)
+    queries = similarity.unit_matrix(pa.array(list(rng.normal(size=(len(ids), 16)))), 16)
+    best = similarity._Best(ids, queries, None, 3)
+    compared, pairs = [], similarity._pairs
+    monkeypatch.setattr(similarity, "_pairs", lambda near: compared.append(near.size) or pairs(near))
+    for at in range(0, len(x), similarity.BLOCK):
+        some = slice(at, at + similarity.BLOCK)
+        vec = pa.array(np.arange(len(x))[some])
+        best.offer(pa.table({"vec_id": vec, "embedding": pa.array(list(x[some]))}))
+    assert max(compared[-3:]) < similarity.QUERIES * similarity.BLOCK
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    nearest = np.argsort(-(queries @ unit.T), axis=1, kind="stable")[:, :3]
+    assert best.table()["vec_id"].to_pylist() == nearest.reshape(-1).tolist()
